@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, secret_scan, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op7_chat_format": chat_format.op7_chat_format,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_chat_format": chat_format.ORACLE,
 }
