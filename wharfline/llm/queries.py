@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, secret_scan, token_counts
+from . import chat_format, decontaminate, exact_dedup, secret_scan, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
