@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, packing, secret_scan, token_counts
+from . import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op8_packing": packing.op8_packing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
