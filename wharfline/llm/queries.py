@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, token_counts
+from . import chat_format, decontaminate, exact_dedup, ngram_join, packing, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op7_chat_format": chat_format.op7_chat_format,
