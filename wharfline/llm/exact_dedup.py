@@ -15,10 +15,13 @@ PREFIX_CHARS = 32
 HOT_SHARE = 1000
 
 
-def _runs(rows: DataFrame, keep: str) -> DataFrame:
-    """Sort rows (id, text, head, fp, salt) by content; each run of equal neighbours gets its keeper and length."""
-    placed = rows.repartitionByRange("head", "fp", "salt")
-    run = Window.partitionBy("head", "fp", "salt", "text")
+def _runs(rows: DataFrame, keep: str, *salt: str) -> DataFrame:
+    """Sort rows (id, text, head, fp and any salt) by content; each run of equal neighbours gets its keeper and length.
+
+    The window's keys hold all keys of the range exchange, so the sort follows it without another shuffle.
+    """
+    placed = rows.repartitionByRange("head", "fp", *salt)
+    run = Window.partitionBy("head", "fp", *salt, "text")
     order = run.orderBy(F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last())
     return placed.select(
         "id", "fp", F.first("id").over(order).alias("keep_id"), (F.row_number().over(order) == 1).alias("kept"),
@@ -46,12 +49,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = {r.fp: -(-r.n // bar) for r in rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bar).collect()}
     out = ["id", "keep_id", "group_size", "kept", "text_sha256"]
     if not hot:
-        found = _runs(rows.withColumn("salt", F.lit(0).cast("long")), keep).select(out)
+        found = _runs(rows, keep).select(out)
     else:
         is_hot = F.col("fp").isin(list(hot))
-        found = _runs(rows.filter(~is_hot).withColumn("salt", F.lit(0).cast("long")), keep).select(out)
+        found = _runs(rows.filter(~is_hot), keep).select(out)
         spread = F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("fp"))
-        pieces = _runs(rows.filter(is_hot).withColumn("salt", F.pmod(F.xxhash64("id"), spread)), keep)
+        pieces = _runs(rows.filter(is_hot).withColumn("salt", F.pmod(F.xxhash64("id"), spread)), keep, "salt")
         best = F.max("keep_id") if keep == "max" else F.min("keep_id")
         merged = pieces.filter("kept").groupBy("text_sha256").agg(best.alias("keep_all"), F.sum("group_size").alias("size_all"))
         found = found.unionByName(
