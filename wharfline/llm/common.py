@@ -149,3 +149,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def lowered(data: np.ndarray) -> bytes:
     return data.tobytes().translate(_LOWER_BYTES)
+
+
+class Numbering:
+    """Finds 64-bit hashes in a sorted set of them: numbers from 1, 0 for absent ones. A direct table over the top bits leads to the few candidates."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(8, len(keys).bit_length() + 3)
+        self.slot = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.slot[top], self.slot[top + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.keys[at] == h[live]
+            out[live[hit]] = at[hit] + 1
+            at = at + 1
+            more = ~hit & (at < end)
+            live, at, end = live[more], at[more], end[more]
+        return out

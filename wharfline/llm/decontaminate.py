@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, CHUNK_BYTES, chunks, raw, table, word_hashes, word_spans
+from .common import ALNUM, CHUNK_BYTES, Numbering, chunks, raw, table, word_hashes, word_spans
 
 WINDOW = 10
 SAMPLE_EVERY = 8
@@ -175,24 +175,7 @@ class Phrases:
             self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1))
         else:
             self.patterns, self.lengths, self.items, self.item_from = np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        # a direct table over the top bits of the hash finds the few vocabulary words a document word can be
-        self.bits = max(8, len(self.vocabulary).bit_length() + 3)
-        self.slot = np.searchsorted(self.vocabulary >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """The number of each word, 0 for words outside the vocabulary."""
-        out = np.zeros(len(h), np.int64)
-        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end = self.slot[top], self.slot[top + 1]
-        live = np.flatnonzero(at < end)
-        at, end = at[live], end[live]
-        while len(live):
-            hit = self.vocabulary[at] == h[live]
-            out[live[hit]] = at[hit] + 1
-            at = at + 1
-            more = ~hit & (at < end)
-            live, at, end = live[more], at[more], end[more]
-        return out
+        self.numbering = Numbering(self.vocabulary)
 
 
 def search_shard(phrases: Phrases, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]], np.ndarray, np.ndarray]:
@@ -203,7 +186,7 @@ def search_shard(phrases: Phrases, data: np.ndarray, offs: np.ndarray) -> tuple[
     spans: list[list[tuple[int, int]]] = [[] for _ in range(docs)]
     items: list[list[str]] = [[] for _ in range(docs)]
     if len(starts) and len(phrases.patterns):
-        symbol = phrases.symbols(word_hashes(data, starts, ends))
+        symbol = phrases.numbering.of(word_hashes(data, starts, ends))
         border = np.zeros(len(starts), bool)
         border[first[:-1][n_words > 0]] = True
         known = symbol > 0
