@@ -6,15 +6,16 @@ share a shingle within their prefixes. Documents with identical prefix and size
 buckets of their prefix shingles, group pairs are filtered by size and position, then expanded to members and verified on whole
 texts.
 
-Components need no pairs within what is already connected. So the join runs in two rounds: first each group meets its
-neighbour and the head of every bucket (a number of pairs linear in the rows); then, exactly, only those members of a bucket meet
-that the first round left in different components. Large groups of near copies thus never emit all their pairs, and none is lost.
+Components need no pairs within what is already connected, so no bucket emits all its pairs. The members of one size in a bucket
+have a hub, the one that meets the bucket's shingle earliest (it has the fewest rarer shingles of its own). First every member meets
+the hubs of its own and the smaller sizes. What those links leave apart is found exactly by this fact: let s and m link, let h be the hub of
+m's size in the bucket of their first common shingle, and let s be no smaller than m. If s and m share nothing outside h,
+their intersection is at most that of s with h and that of m with h, so by size both link with h and are connected already. Otherwise they
+share a shingle outside h. So members that differ in component meet by (hub, shingle outside the hub), again with a prefix only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -82,9 +83,18 @@ def frequency_sketch(source: DataFrame, k: int) -> np.ndarray:
     return sketch.ravel()
 
 
-def signatures(source: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
+def rank_of(sketch: np.ndarray) -> np.ndarray:
+    """The order of shingles by sketched frequency, in 16 bits (monotone); ties go by hash."""
+    return np.round(512 * np.log2(1.0 + sketch)).astype(np.uint16)
+
+
+def by_rank(own: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A sorted set in the common order, rare shingles first."""
+    return own[np.argsort(rank[own >> np.uint64(64 - SKETCH_BITS)], kind="stable")]
+
+
+def signatures(source: DataFrame, order, k: int, percent: int) -> DataFrame:
     """Per document: set size n, keys of its set (s1, s2) and of its prefix and size (g1, g2), and the prefix."""
-    order = source.sparkSession.sparkContext.broadcast(np.round(512 * np.log2(1.0 + sketch)).astype(np.uint16))
 
     def sign(batches):
         rank = order.value
@@ -99,7 +109,7 @@ def signatures(source: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
                     keys.append((0, 0, 0, 0)), prefixes.append(own)
                     continue
                 want = size - (percent * size + 99) // 100 + 1
-                prefix = own[np.argsort(rank[own >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:want]]
+                prefix = by_rank(own, rank)[:want]
                 tag = np.uint64(size * 0x632BE59BD9B4E019 & (1 << 64) - 1)
                 keys.append((own.sum(), mix(own).sum(), mix(prefix ^ tag).sum(), mix(prefix + tag).sum()))
                 prefixes.append(prefix)
@@ -110,39 +120,73 @@ def signatures(source: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
     return source.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>")
 
 
-def possible(a: str, b: str, percent: int) -> Column:
-    """Size and position filter for a pair that meets at prefix positions ``pos``; holds at the first common shingle of every link."""
-    na, nb, pa_, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+def possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
+    """Size and position filter for two sets that meet at prefix positions pa, pb; holds at the first common shingle of every link."""
+    na, pa_, nb, pb = (F.col(c) for c in (na, pa_, nb, pb))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
 
 
+class Sets:
+    """Shingle sets of compressed texts, with a small cache."""
+
+    def __init__(self, k: int):
+        self.k, self.known, self.unpack = k, {}, zstandard.ZstdDecompressor()
+
+    def of(self, i: int, z: bytes) -> np.ndarray:
+        got = self.known.get(i)
+        if got is None:
+            if len(self.known) > 500:
+                self.known.clear()
+            data = np.frombuffer(self.unpack.decompress(z), np.uint8)
+            got = self.known[i] = np.unique(shingles(data, np.array([0, len(data)]), self.k)[0])
+        return got
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a, b) with both compressed texts."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *more, "za", "zb")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
 
     def links(batches):
-        unpack = zstandard.ZstdDecompressor()
-        sets: dict[int, np.ndarray] = {}
-
-        def of(i, z):
-            if i not in sets:
-                data = np.frombuffer(unpack.decompress(z), np.uint8)
-                if len(sets) > 500:
-                    sets.clear()
-                sets[i] = np.unique(shingles(data, np.array([0, len(data)]), k)[0])
-            return sets[i]
-
+        sets = Sets(k)
         for batch in batches:
             a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
             keep = []
             for i in range(batch.num_rows):
-                x, y = of(a[i].as_py(), za[i].as_py()), of(b[i].as_py(), zb[i].as_py())
+                x, y = sets.of(a[i].as_py(), za[i].as_py()), sets.of(b[i].as_py(), zb[i].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(links, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(links, "a long, b long")
+
+
+def outside(wanted: DataFrame, texts: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """For members a and hubs b the shingles of a outside b that a link may need: (hub, v, rep, n, hn).
+
+    A link with overlap ``need`` or more shares at least ``need`` less the overlap with the hub outside it; so a prefix is enough.
+    """
+
+    def differences(batches):
+        sets, rank = Sets(k), order.value
+        for batch in batches:
+            a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
+            for i in range(batch.num_rows):
+                rep, hub = a[i].as_py(), b[i].as_py()
+                x, y = sets.of(rep, za[i].as_py()), sets.of(hub, zb[i].as_py())
+                rest = np.setdiff1d(x, y, assume_unique=True)
+                need = -(-percent * (len(x) + len(y)) // (100 + percent)) - (len(x) - len(rest))
+                rest = by_rank(rest, rank)[: len(rest) - max(need, 1) + 1]
+                if len(rest):
+                    same = lambda v, n=len(rest): pa.array(np.full(n, v, np.int64))
+                    yield pa.RecordBatch.from_arrays([same(hub), pa.array(rest.view(np.int64)), same(rep), same(len(x)), same(len(y))], names=["hub", "v", "rep", "n", "hn"])
+
+    return with_texts(wanted, texts).mapInArrow(differences, "hub long, v long, rep long, n long, hn long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,50 +223,49 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
     Hashes of 64 bits stand for shingles.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = materialise(signatures(source, frequency_sketch(source, shingle), shingle, percent), "signatures")
+    order = docs.sparkSession.sparkContext.broadcast(rank_of(frequency_sketch(source, shingle)))
+    signed = materialise(signatures(source, order, shingle, percent), "signatures")
     real = signed.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
-    groups = real.groupBy("g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-
-    # neighbours and head of each bucket, in one order
-    order = Window.partitionBy("token").orderBy("n", "gid")
-    me = F.struct("gid", "n", "pos")
-    met = rows.select("token", me.alias("me"), F.lag(me).over(order).alias("prev"), F.lead("gid").over(order).alias("next"), F.first(me).over(order).alias("head"))
-    buckets = materialise(met.filter("prev is not null or next is not null").drop("next"), "buckets")
-
-    # groups of several sets: their members meet each other too
-    members = materialise(classes.join(groups.select("g1", "g2", "gid", "n"), ["g1", "g2"]).select("gid", "rep", F.col("n").cast("int").alias("n")), "members")
-    several = members.filter("rep != gid").select("gid", "n").distinct()
-    near = [
-        buckets.filter(F.col("prev").isNotNull() & possible("me", "prev", percent)).select(F.col("me.gid").alias("a"), F.col("prev.gid").alias("b")),
-        buckets.filter(F.col("me.gid") != F.col("head.gid")).filter(possible("me", "head", percent)).select(F.col("me.gid").alias("a"), F.col("head.gid").alias("b")),
-        members.filter("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")),
-    ]
-    unordered = lambda p: p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first = materialise(unordered(reduce(DataFrame.unionByName, near)), "pairs")
+    groups = real.groupBy("g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
 
-    need = members.join(buckets.select("me.gid").unionByName(several.select("gid")).distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"))
+    # buckets of prefix shingles with more than one group
+    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    along = Window.partitionBy("token").orderBy("gid")
+    shared = rows.select("token", "gid", "n", "pos", F.lag("gid").over(along).alias("prev"), F.lead("gid").over(along).alias("next"))
+    buckets = materialise(shared.filter("prev is not null or next is not null").select("token", "gid", "n", "pos"), "buckets")
+
+    # groups expand to their members (sets); the members of one group meet each other too
+    members = materialise(classes.join(groups.select("g1", "g2", "gid", "n"), ["g1", "g2"]).select("gid", "rep", "n", "g1"), "members")
+    several = members.join(members.filter("rep != gid").select("gid").distinct(), "gid", "left_semi").select(F.col("g1").alias("token"), "rep", "n", F.lit(0).alias("pos"))
+    entries = materialise(buckets.join(members.select("gid", "rep"), "gid").select("token", "rep", "n", "pos").unionByName(several), "entries")
+    hubs = entries.groupBy("token", "n").agg(F.min(F.struct("pos", "rep")).alias("h"), F.count(F.lit(1)).alias("crowd")).select("token", F.col("n").alias("hn"), F.col("h.rep").alias("hub"), F.col("h.pos").alias("hpos"), "crowd")
+    meet = lambda e, h: e.join(h, "token").filter(F.expr(f"hn <= n and 100 * hn >= {percent} * n"))
+
+    unordered = lambda p: p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = meet(entries, hubs).filter("rep != hub").filter(possible("n", "pos", "hn", "hpos", percent))
+    first = materialise(unordered(near.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "pairs")
 
     def packed(batches):
         for part, data, offs in chunks(batches, "text"):
             z, body = zstandard.ZstdCompressor(level=1), data.tobytes()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([z.compress(body[a:b]) for a, b in zip(offs[:-1], offs[1:])], pa.binary())], names=["doc_id", "z"])
 
+    need = entries.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(source.filter("doc_id is not null").mapInArrow(packed, "doc_id long, z binary").join(need, "doc_id", "left_semi"), "texts")
-    links = materialise(verify(first, texts, shingle, percent), "links")
-    roots = components(links)
-
-    # second round: within each bucket, members of different components
-    at = buckets.select("token", "me.gid", "me.pos").unionByName(several.join(groups.select("gid", "g1"), "gid").select(F.col("g1").alias("token"), "gid", F.lit(0).alias("pos")))
-    seen = at.join(members, "gid").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("label"))
-    split = seen.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    seen = materialise(seen.join(split, "token", "left_semi"), "split")
-    heads = seen.select("token", "label").distinct()
-    apart = heads.alias("x").join(heads.withColumnRenamed("label", "other").alias("y"), "token").filter("label < other")
-    left, right = seen.select("token", "label", F.struct("rep", "n", "pos").alias("x")), seen.select("token", F.col("label").alias("other"), F.struct("rep", "n", "pos").alias("y"))
-    cross = apart.join(left, ["token", "label"]).join(right, ["token", "other"]).filter(possible("x", "y", percent))
-    second = unordered(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).join(first, ["a", "b"], "left_anti")
+    roots = components(materialise(verify(first, texts, shingle, percent), "links"))
+
+    # what the hubs left apart: members of one bucket and size range in different components
+    label = roots.withColumnRenamed("id", "rep")
+    crowded = meet(entries, hubs.filter("crowd > 1")).join(label, "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+    split = crowded.groupBy("token", "hn").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "hn")
+    wanted = crowded.join(split, ["token", "hn"], "left_semi").filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    apart = materialise(outside(wanted, texts, order, shingle, percent).join(label, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root"), "outside")
+    split = apart.groupBy("hub", "v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hub", "v")
+    apart = materialise(apart.join(split, ["hub", "v"], "left_semi"), "split")
+    other = apart.select("hub", "v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    cross = apart.join(other, ["hub", "v"]).filter(F.expr(f"label != label2 and hn = n and n2 >= n and 100 * n >= {percent} * n2 and rep != rep2"))
+    second = unordered(cross.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))).join(first, ["a", "b"], "left_anti")
     more = materialise(verify(second, texts, shingle, percent), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
