@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_warc_fixity": fixity.op5_warc_fixity,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc_fixity": fixity.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
 }
