@@ -9,17 +9,17 @@ beforehand: full ones, and for the rest powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, table, word_hashes
 
 CAPACITY = 2048
 END_ID = 1
@@ -29,55 +29,98 @@ CACHE_WORDS = 1 << 19
 LOOK = 64
 
 
+#: byte classes of the splitter: 0 blank, 1 letter (any part of a Latin letter beyond ASCII too), 2 digit, 3 other
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[32, *range(9, 14)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+#: texts with anything else (other scripts, marks, special tokens, apostrophes as in contractions) are encoded whole
+_UNUSUAL = re.compile(r"[^\x00-\x26\x28-\x7fªµºÀ-ÖØ-öø-\u012f\u0131-\u024f]|<\|")
+
+
 class WordEncoder:
-    """Ids of a word-level BPE as the tokenizers library gives them, with a cache of whole words.
+    """Ids of a word-level BPE as the tokenizers library gives them, with a cache of words.
 
-    The model's splitter makes words independent, so a text's ids are its words' ids in order; the library encodes each distinct
-    word. Texts with characters beyond the Latin letters below, where its normaliser and Python's could differ, go through it whole.
+    The model's splitter makes words independent, so a text's ids are its words' ids in order. Words are found and hashed for a
+    whole slice of texts at once, and the library encodes each distinct word that the cache does not have.
     """
 
-    SAFE = 0x250
-
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.names = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.word_end = np.zeros(self.model.get_vocab_size(), bool)
-        self.word_end[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.model.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.flat = [np.empty(0, np.uint32)]
+        self.sizes = [np.empty(0, np.int64)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if (not text.isascii() and max(text) >= chr(self.SAFE)) or any(n in text for n in self.names):
-            return self.whole(text)
-        words = self.split(text.lower())
-        cache = self.cache
-        found = list(map(cache.get, words))
-        if None in found:
-            missing = [w for w, f in zip(words, found) if f is None]
-            missing = list(dict.fromkeys(missing))
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(dict.fromkeys(words))
-            ids = self.model.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids  # one call: words are split at spaces
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(missing):
-                return self.whole(text)
-            at = 0
-            for w, end in zip(missing, ends.tolist()):
-                cache[w] = tuple(ids[at:end])
-                at = end
-            found = map(cache.__getitem__, words)
-        return np.array(list(chain.from_iterable(found)), np.uint32)
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        """Encode new words, in one call as far as possible (words are split at blanks)."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(words):
+            parts = [self.whole(w) for w in words]
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        at = len(self.place)
+        self.place.update(zip(hashes, range(at, at + len(hashes))))
+        self.flat = [np.concatenate((*self.flat, ids))]
+        self.sizes = [np.concatenate((*self.sizes, np.diff(ends, prepend=0)))]
+
+    def batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and each text's offset among them (one more entry at the end)."""
+        n, docs = len(data), len(offs) - 1
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(docs + 1, np.int64)
+        kind = _CLASS[data]
+        border = np.ones(n + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=border[1:-1])
+        border[:-1] |= kind == 2
+        border[1:] |= kind == 2
+        border[offs] = True
+        edges = np.flatnonzero(border)
+        starts, ends = edges[:-1], edges[1:]
+        solid = kind[starts] != 0
+        starts, ends = starts[solid], ends[solid]
+        first = np.searchsorted(starts, offs)
+        body = data.tobytes()
+        odd = [d for d in range(docs) if _UNUSUAL.search(body[offs[d] : offs[d + 1]].decode())]
+        if odd:  # their words are left out here
+            usual = np.ones(len(starts), bool)
+            for d in odd:
+                usual[first[d] : first[d + 1]] = False
+            starts, ends = starts[usual], ends[usual]
+            first = np.searchsorted(starts, offs)
+        word, at, where = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = word.tolist()
+        if len(self.place) + len(keys) > CACHE_WORDS:
+            self.forget()
+        place = list(map(self.place.get, keys))
+        new = [i for i, p in enumerate(place) if p is None]
+        if new:
+            self._learn([keys[i] for i in new], [unicodedata.normalize("NFC", body[s:e].decode()).lower() for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            place = list(map(self.place.__getitem__, keys))
+        place = np.array(place, np.int64)
+        sizes, flat = self.sizes[0], self.flat[0]
+        begin = np.cumsum(sizes) - sizes
+        own = place[where] if len(keys) else np.empty(0, np.int64)
+        many = sizes[own]
+        upto = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(begin[own] - upto[:-1], many) + np.arange(upto[-1])]
+        cut = upto[first]
+        if odd:
+            parts = [ids[cut[d] : cut[d + 1]] for d in range(docs)]
+            for d in odd:
+                parts[d] = self.whole(body[offs[d] : offs[d + 1]].decode())
+            ids, cut = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, cut
 
 
 @lru_cache(maxsize=2)
@@ -170,10 +213,10 @@ def pack_sequences(docs: DataFrame, model_path: str, capacity: int = CAPACITY, b
             return batch
 
         for rows, data, offs in chunks(batches, "text"):
-            body = data.tobytes()
+            found, cut = enc.batch(data, offs)
             id_type = rows.column("doc_id").type
-            for name, a, b in zip(rows.column("doc_id").to_pylist(), offs[:-1], offs[1:]):
-                ids = np.append(enc.ids(body[a:b].decode()), np.uint32(END_ID))
+            for name, a, b in zip(rows.column("doc_id").to_pylist(), cut[:-1], cut[1:]):
+                ids = np.append(found[a:b], np.uint32(END_ID))
                 names.append(name), values.append(ids)
                 tokens += len(ids)
                 if tokens >= block_tokens:
