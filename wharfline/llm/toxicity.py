@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, table
@@ -203,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Restorer, Lexi
     """Character model from all texts; lexicon from at most ``rows`` labelled training documents of each class."""
     restorer = Restorer(CharModel(char_counts(docs)))
     seen = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_mod("doc_id", 3) != 1)
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = seen.withColumn("r", rank).filter(F.col("r") <= rows).select("doc_id", "toxic")
+    pick = lambda y: seen.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic")
+    chosen = pick(0).unionByName(pick(1))
     sample = docs.join(F.broadcast(chosen), "doc_id")
 
     def count(batches):
