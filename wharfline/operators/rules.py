@@ -165,7 +165,7 @@ def invoice_summary(counted: DataFrame, invoices: DataFrame) -> DataFrame:
     """Per live invoice: flags, error types in order of name, and the recoverable dollars, at most its total."""
     per = counted.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("n_flags"), F.array_join(F.array_sort(F.collect_set("error_type")), ";").alias("error_types"), F.sum(F.when(F.col("counted_in_recoverable"), F.col("dollar_impact"))).cast(MONEY).alias("sum"))
     d = live(invoices).select("invoice_id", "carrier_id", "invoice_number", "invoice_type", "match_method", "shipment_id", "total").join(per, "invoice_id", "left")
-    return d.withColumns({"n_flags": F.coalesce("n_flags", F.lit(0)), "error_types": F.coalesce("error_types", F.lit("")), "recoverable": F.coalesce(F.least("sum", "total"), F.lit(0)).cast(MONEY)}).drop("sum")
+    return d.withColumns({"n_flags": F.coalesce("n_flags", F.lit(0)), "error_types": F.coalesce("error_types", F.lit("")), "recoverable": F.when(F.col("sum").isNotNull(), F.least("sum", "total")).otherwise(F.lit(0)).cast(MONEY)}).drop("sum")
 
 
 def process_metrics(accessorials: DataFrame) -> DataFrame:
