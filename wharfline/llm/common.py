@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +56,21 @@ def crc_mod(column: str, modulus: int):
 # ---------------------------------------------------------------- Arrow chunks
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches, so that long texts do not pile up on either side of the Python workers."""
+    for key, bound in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.sub(r"\D", "", str(spark.conf.get(key)))
+        if not now or int(now) > bound:
+            spark.conf.set(key, str(bound))
+
+
+def release() -> None:
+    """Give freed memory back to the system; Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (from 0) of a string array; nulls are empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
@@ -73,6 +93,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+        del batch, data, offs
+    release()
 
 
 # ---------------------------------------------------------------- words and hashes

@@ -15,11 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, CHUNK_BYTES, Numbering, chunks, raw, table, word_hashes, word_spans
+from .common import ALNUM, Numbering, bounded_batches, chunks, raw, table, word_hashes, word_spans
 
 WINDOW = 10
 SAMPLE_EVERY = 8
 BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 2 << 20
 LOCATE_BLOCK = 1 << 20
 
 
@@ -248,7 +249,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col:
     yield ids, texts
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find benchmark windows in every text.
 
     Returns doc_id, n_words, spans array of (start, end) in words, byte_spans array of (start, end) in UTF-8 bytes of the text,
@@ -262,6 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     of its own). The benchmark goes out in blocks of ``block_bytes``; with several blocks the texts are scanned once per block
     and results are merged by row.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, chunks, materialise, mix, table, word_hashes, word_spans
+from .common import NON_SPACE, bounded_batches, chunks, materialise, mix, release, table, word_hashes, word_spans
 
 SHINGLE = 5
 PERCENT = 75
@@ -162,6 +162,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return with_texts(pairs, texts).mapInArrow(links, "a long, b long")
 
@@ -222,6 +223,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
     for verification; the largest shuffle is one row per prefix shingle. Only the count sketch, of fixed size, is broadcast.
     Hashes of 64 bits stand for shingles.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(rank_of(frequency_sketch(source, shingle)))
     signed = materialise(signatures(source, order, shingle, percent), "signatures")

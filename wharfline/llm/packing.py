@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, table, word_hashes
+from .common import bounded_batches, chunks, table, word_hashes
 
 CAPACITY = 2048
 END_ID = 1
@@ -182,6 +182,7 @@ def pack_sequences(docs: DataFrame, model_path: str, capacity: int = CAPACITY, b
     block are shorter than ``capacity`` (powers of two). A sequence's id is its task and its number there; a task that runs again
     gives the same rows.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
 

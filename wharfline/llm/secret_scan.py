@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import bounded_batches, chunks, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -190,6 +190,7 @@ def secret_scan(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND, margin: float
 
     Scale: two scans without a shuffle of texts; the automata are learned from a bounded sample and sent with the task.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     grammars = learn(source.select("text"), per_kind)
     kind = dict(source.dtypes)["doc_id"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import bounded_batches, chunks, table
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 9
@@ -117,6 +117,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 tokens[i] = count_huge(enc, body[offs[i] : offs[i + 1]], chunk, overlap)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     return source.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, table
+from .common import bounded_batches, chunks, crc_mod, table
 
 #: At most so many labelled rows of each class train the lexicon (those with the smallest hashes of their id).
 TRAIN_ROWS = 4000
@@ -242,6 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, i
 
     Scale: one scan for the character model (its counts are bounded), one for the training sample, one to score; no shuffle of texts.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     restorer, lexicon = train(source, labels.select("doc_id", "toxic"), train_rows)
     kind = dict(source.dtypes)["doc_id"]
