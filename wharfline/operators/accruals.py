@@ -54,9 +54,9 @@ def allowance(books: Books, config: Config, ends: DataFrame, modes: DataFrame) -
     return d.select("month_end", "carrier_id", F.when(F.col("n") > 0, history.cast("decimal(18,8)")).otherwise(default).alias("accessorial_allowance"), F.when(F.col("n") > 0, "history").otherwise("default").alias("accessorial_basis"))
 
 
-def accrue(books: Books, config: Config, ends: DataFrame, modes: DataFrame) -> DataFrame:
-    """The accrual detail of every month-end: linehaul, fuel and allowance of each delivered, unbilled shipment."""
-    d = population(price_shipments(books, config), books.invoices, ends).join(F.broadcast(allowance(books, config, ends, modes)), ["month_end", "carrier_id"], "left")
+def accrue(books: Books, config: Config, ends: DataFrame, modes: DataFrame, keep=lambda d: d) -> DataFrame:
+    """The accrual detail of every month-end: linehaul, fuel and allowance of each delivered, unbilled shipment (``keep`` may persist or write the priced shipments)."""
+    d = population(keep(price_shipments(books, config)), books.invoices, ends).join(F.broadcast(allowance(books, config, ends, modes)), ["month_end", "carrier_id"], "left")
     d = d.withColumn("accessorial_estimate", cents(F.col("accessorial_allowance")))
     return d.select("month_end", "shipment_id", "carrier_id", "cost_center", "mode", "ship_date", "delivery_date", "lh_estimate", "fsc_estimate", "accessorial_estimate", "accessorial_basis", (F.col("lh_estimate") + F.col("fsc_estimate") + F.col("accessorial_estimate")).cast(MONEY).alias("accrual_estimate"))
 

@@ -30,8 +30,9 @@ class AuditContext:
     config: Config
 
 
-def context(books: Books, config: Config) -> AuditContext:
-    return AuditContext(books, rerate_invoices(books, config), accessorial_lines(books, config.audit_as_of), config)
+def context(books: Books, config: Config, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> AuditContext:
+    """What the rules read; ``keep`` may persist or write the frames that several of them share."""
+    return AuditContext(books, keep(rerate_invoices(books, config)), keep(accessorial_lines(books, config.audit_as_of)), config)
 
 
 RULES: dict[str, Callable[[AuditContext], DataFrame]] = {}
@@ -175,10 +176,10 @@ def process_metrics(accessorials: DataFrame) -> DataFrame:
     return d.unpivot([], d.columns, "metric", "value")
 
 
-def audit(books: Books, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+def audit(books: Books, config: Config, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counted flags, the invoice summary and the process metrics."""
-    c = context(books, config)
-    counted = count_recoverable(run_rules(c), books.invoices)
+    c = context(books, config, keep)
+    counted = keep(count_recoverable(run_rules(c), books.invoices))
     return counted, invoice_summary(counted, books.invoices), process_metrics(c.accessorials)
 
 
@@ -197,13 +198,14 @@ def naive_books(books: Books) -> Books:
     return books.with_(rate_card=card, certificates=books.certificates.limit(0), invoices=inv)
 
 
-def naive_audit(books: Books, config: Config) -> DataFrame:
-    """The baseline's flags: the rules on naive books, authorizations only up to the invoice date, every later carrier-BOL repeat a
+def naive_audit(books: Books, config: Config, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """The baseline's flags: the rules on naive books (``keep`` may persist or write what several rules read), authorizations only up to the invoice date, every later carrier-BOL repeat a
     duplicate, and a weight error priced as a rate error (linehaul is compared at the shipped weight)."""
     n = naive_books(books)
-    rerated = rerate_invoices(n, config)
+    n = n.with_(invoices=keep(n.invoices))
+    rerated = keep(rerate_invoices(n, config))
     rerated = rerated.withColumns({"rate_gap": (F.col("billed_lh") - F.col("lh_at_reference")).cast(MONEY), "rate_impact": (F.col("billed_lh") - F.col("lh_at_reference")).cast(MONEY), "lh_at_billed": F.col("lh_at_reference")})
-    c = AuditContext(n, rerated, accessorial_lines(n, "invoice_date"), config)
+    c = AuditContext(n, keep(rerated), keep(accessorial_lines(n, "invoice_date")), config)
     w = Window.partitionBy("carrier_id", "_bol").orderBy(F.col("received_date").asc_nulls_last(), "invoice_id")
     again = n.invoices.filter("_bol != ''").withColumn("first_id", F.first("invoice_id").over(w)).filter("first_id != invoice_id")
     dup = flags(again, "duplicate_invoice", F.concat(F.lit("Same carrier and BOL digits as "), "first_id"), F.col("total"), F.col("total"), F.lit(0), F.col("first_id"))

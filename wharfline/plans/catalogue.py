@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CARRIERS
 from ..functions import formats, stats, tariff, text
 from ..operators import accruals, action, resolve, rules, scoring, temporal
-from ..operators.rerate import accessorial_lines, rerate_invoices
+from ..session import store
 from . import projection
 
 D = "double"
@@ -22,43 +22,46 @@ def money(*names: str) -> list:
 
 
 class Case:
-    """Intermediate tables of one data directory. They fan out to many queries, so they are persisted (memory, then disk; a lost part is computed again)."""
+    """Intermediate tables of one data directory. They fan out to many queries, so they are stored in the shared folder when first needed."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.config = spark, sf_dir, projection.config()
 
     @cached_property
     def books(self):
-        b = projection.books(self.spark, self.sf_dir)
-        return b.with_(**{k: getattr(b, k).persist() for k in ("shipments", "rate_card", "diesel", "certificates", "authorizations", "invoices", "lines")})
+        return self._made[0]
+
+    @cached_property
+    def _made(self):
+        return projection.books(self.spark, self.sf_dir, store)
 
     @cached_property
     def context(self) -> rules.AuditContext:
-        return rules.AuditContext(self.books, rerate_invoices(self.books, self.config).persist(), accessorial_lines(self.books, self.config.audit_as_of).persist(), self.config)
+        return rules.context(self.books, self.config, store)
 
     @cached_property
     def counted(self) -> DataFrame:
-        return rules.count_recoverable(rules.run_rules(self.context), self.books.invoices).persist()
+        return store(rules.count_recoverable(rules.run_rules(self.context), self.books.invoices))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return rules.invoice_summary(self.counted, self.books.invoices).persist()
+        return store(rules.invoice_summary(self.counted, self.books.invoices))
 
     @cached_property
     def naive(self) -> DataFrame:
-        return rules.count_recoverable(rules.naive_audit(self.books, self.config), self.books.invoices).persist()
+        return store(rules.count_recoverable(rules.naive_audit(self.books, self.config, store), self.books.invoices))
 
     @cached_property
     def labels(self) -> DataFrame:
-        return projection.labels(self.spark, self.sf_dir).persist()
+        return store(projection.labels(self._made[1]["inv"]))
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return scoring.outcomes(self.counted, self.labels).persist()
+        return store(scoring.outcomes(self.counted, self.labels))
 
     @cached_property
     def modes(self) -> DataFrame:
-        return self.books.shipments.select("carrier_id", "mode").distinct().persist()
+        return store(self.books.shipments.select("carrier_id", "mode").distinct())
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -66,11 +69,11 @@ class Case:
 
     @cached_property
     def detail(self) -> DataFrame:
-        return accruals.accrue(self.books, self.config, self.ends, self.modes).persist()
+        return store(accruals.accrue(self.books, self.config, self.ends, self.modes, store))
 
     @cached_property
     def actuals(self) -> DataFrame:
-        return accruals.shipment_actuals(self.books, self.counted, self.summary).persist()
+        return store(accruals.shipment_actuals(self.books, self.counted, self.summary))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -417,7 +420,7 @@ def accuracy_headline(c: Case) -> DataFrame:
 @query
 def accrual_sensitivity(c: Case) -> DataFrame:
     built = accruals.accuracy(c.detail, c.actuals, c.config)
-    other = accruals.accuracy(accruals.accrue(accruals.authorizations_at_delivery(c.books), c.config, c.ends, c.modes), c.actuals, c.config)
+    other = accruals.accuracy(accruals.accrue(accruals.authorizations_at_delivery(c.books), c.config, c.ends, c.modes, store), c.actuals, c.config)
     return accruals.sensitivity(built, other).select("month_end", "shipments_accrued", *money("actual_payable", "accrual_estimate_as_built", "accrual_estimate_auth_at_delivery", "late_auth_effect"))
 
 

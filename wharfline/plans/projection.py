@@ -104,30 +104,36 @@ def config() -> Config:
     return Config(start=date(1997, 7, 1), months=12, audit_as_of=date.fromisoformat(AS_OF))
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The projection's tables as DataFrames."""
-    text = projection()
+def views(spark: SparkSession, sf_dir: str, keep=lambda d: d) -> dict[str, DataFrame]:
+    """The projection's tables as DataFrames; ``keep`` may store what others are derived from."""
+    head, tail = projection().split("\nline AS (")
+    tail = "line AS (" + tail
+    tail, cert = tail.split("\ncert AS (")
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
-    return {step: spark.sql(f"WITH orders AS (SELECT * FROM {{orders}}), lineitem AS (SELECT * FROM {{lineitem}}), {text} SELECT * FROM {step}", **frames) for step in STEPS}
-
-
-def books(spark: SparkSession, sf_dir: str) -> Books:
-    """Matched and resolved books."""
-    v = views(spark, sf_dir)
+    out = {}
+    for step in ("ship", "card", "diesel", "inv"):
+        out[step] = keep(spark.sql(f"WITH orders AS (SELECT * FROM {{orders}}), lineitem AS (SELECT * FROM {{lineitem}}), {head.rstrip().rstrip(',')} SELECT * FROM {step}", **frames))
+    for step in ("line", "auth"):
+        out[step] = keep(spark.sql(f"WITH inv AS (SELECT * FROM {{inv}}), {tail.rstrip().rstrip(',')} SELECT * FROM {step}", inv=out["inv"]))
+    out["cert"] = keep(spark.sql(f"WITH ship AS (SELECT * FROM {{ship}}), cert AS ({cert} SELECT * FROM cert", ship=out["ship"]))
+    return out
+
+
+def books(spark: SparkSession, sf_dir: str, keep=lambda d: d) -> tuple[Books, dict[str, DataFrame]]:
+    """Matched and resolved books, and the projection's tables."""
+    v = views(spark, sf_dir, keep)
     sums = v["line"].groupBy("invoice_id").agg(F.sum("amount").cast("decimal(18,2)").alias("total"))
     inv = v["inv"].join(sums, "invoice_id", "left").select(
         "invoice_id", "carrier_id", "invoice_number", "pro_number", "bol_raw", "bol_canonical", "invoice_type", F.lit(None).cast("string").alias("supersedes_invoice_number"), "invoice_date", "received_date", "ship_date",
         F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("destination"), "billed_weight_lbs", "total",
     )
     ship = v["ship"].drop("lane_no")
-    inv = supersede(match_shipments(inv, ship, None, config().tolerances))
-    return Books(ship, v["card"], v["diesel"], v["cert"], v["auth"], inv, v["line"])
+    inv = keep(supersede(keep(match_shipments(inv, ship, None, config().tolerances))))
+    return Books(ship, v["card"], v["diesel"], v["cert"], v["auth"], inv, v["line"]), v
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer key: what the projection did to each invoice."""
-    v = views(spark, sf_dir)
-    inv = v["inv"]
+def labels(inv: DataFrame) -> DataFrame:
+    """The answer key: what the projection did to each invoice (its ``inv`` table)."""
     zero = F.lit(0).cast("decimal(18,2)")
     row = lambda kind, label, mode, dollars: F.struct(F.lit(kind).alias("label_kind"), F.lit(label).alias("label"), F.lit(mode).alias("mode"), dollars.cast("decimal(18,2)").alias("true_dollar_impact"))
     rated = F.col("invoice_type") != "balance_due"

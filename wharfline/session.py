@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> SparkSession:
@@ -15,3 +18,26 @@ def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> Sp
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one of our own where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="wharfline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    For tables that fan out to many consumers: they are computed once, survive lost executors, and later plans start from a scan
+    (a persisted frame keeps its whole logical plan, which is analysed again with every operation on it). The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path, schema = f"{shared_dir(spark)}/wharfline/table-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(schema).parquet(path)
