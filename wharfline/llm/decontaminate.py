@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Numbering, bounded_batches, chunks, raw, table, word_hashes, word_spans
+from .common import ALNUM, Numbering, bounded_batches, chunks, materialise, raw, table, word_hashes, word_spans
 
 WINDOW = 10
 SAMPLE_EVERY = 8
@@ -260,32 +260,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     counts as the empty string; items with equal ids count once. Other columns are not read.
 
     Scale: no shuffle. Each task builds and drops one index per shard of about ``shard_bytes`` of text (a longer text is a shard
-    of its own). The benchmark goes out in blocks of ``block_bytes``; with several blocks the texts are scanned once per block
-    and results are merged by row.
+    of its own). The benchmark goes out in blocks of ``block_bytes``; with several blocks the texts are written once with
+    row numbers, scanned once per block, and results are merged by row.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(Phrases(ids, texts, window)) for ids, texts in _blocks(docs.sparkSession, benchmark, item_col, item_text_col, block_bytes)]
+    source = source.withColumn("row", F.lit(0).cast("long") if len(blocks) == 1 else F.monotonically_increasing_id())
+    if len(blocks) > 1:  # the scans must agree on the rows
+        source = materialise(source, "rows")
     parts = []
-    for ids, texts in _blocks(docs.sparkSession, benchmark, item_col, item_text_col, block_bytes):
-        sent = sc.broadcast(Phrases(ids, texts, window))
+    for sent in blocks:
 
         def search(batches, sent=sent):
-            from pyspark import TaskContext
-
-            task, row = TaskContext.get().partitionId(), 0
             for rows, data, offs in chunks(batches, "text", shard_bytes):
                 n_words, spans, items, starts, ends = search_shard(sent.value, data, offs)
                 first = np.concatenate(([0], np.cumsum(n_words)))
                 places = [[{"start": int(starts[first[d] + s] - offs[d]), "end": int(ends[first[d] + e - 1] - offs[d])} for s, e in own] for d, own in enumerate(spans)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([(task << 40) + row + k for k in range(rows.num_rows)], pa.int64()), pa.array(n_words, pa.int64()),
+                    [rows.column("doc_id"), rows.column("row"), pa.array(n_words, pa.int64()),
                      pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], pa.list_(pair)), pa.array(places, pa.list_(pair)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
                     names=["doc_id", "row", "n_words", "spans", "byte_spans", "items"],
                 )
-                row += rows.num_rows
 
         parts.append(source.mapInArrow(search, f"doc_id {kind}, row long, n_words long, spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"))
     if len(parts) == 1:
