@@ -20,4 +20,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op5_warc_fixity": fixity.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
