@@ -154,7 +154,7 @@ def rule_order(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(e) for e in ERROR_TYPES]), c)
 
 
-def count_recoverable(found: DataFrame, invoices: DataFrame) -> DataFrame:
+def count_recoverable(found: DataFrame) -> DataFrame:
     """The flags with counted_in_recoverable: an invoice's first whole-invoice flag counts alone; otherwise all its flags do."""
     w = Window.partitionBy("invoice_id").orderBy(rule_order(F.col("error_type")), "related_invoice_id", "reason")
     whole = F.col("error_type").isin(*WHOLE_INVOICE)
@@ -179,7 +179,7 @@ def process_metrics(accessorials: DataFrame) -> DataFrame:
 def audit(books: Books, config: Config, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counted flags, the invoice summary and the process metrics."""
     c = context(books, config, keep)
-    counted = keep(count_recoverable(run_rules(c), books.invoices))
+    counted = keep(count_recoverable(run_rules(c)))
     return counted, invoice_summary(counted, books.invoices), process_metrics(c.accessorials)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ def outcomes(counted: DataFrame, labels: DataFrame, scope: DataFrame | None = No
     return both.select("invoice_id", "error_type", F.coalesce("flagged_dollars", none).alias("flagged_dollars"), F.coalesce("true_dollars", none).alias("true_dollars"), status.alias("status"))
 
 
-def measures(status: Column = None) -> list[Column]:
+def measures() -> list[Column]:
     s = F.col("status")
     n = lambda k: F.count_if(s == k).cast("long")
     cash = lambda c, *k: F.coalesce(F.sum(F.when(s.isin(*k), F.col(c))), F.lit(0)).cast(MONEY)
@@ -175,7 +173,3 @@ def recommend(points: DataFrame, config: Config) -> DataFrame:
     best = d.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
     change = (~F.col("current_meets")) | (F.col("net_value") - F.col("current_net") > F.lit(str(config.economics.min_material_gain)).cast(MONEY))
     return best.select("tolerance", "current_value", "current_net", F.col("value").alias("best_value"), F.col("net_value").alias("best_net"), F.when(change, F.col("value")).otherwise(F.col("current_value")).alias("recommended_value"), change.alias("changed"))
-
-
-def union(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

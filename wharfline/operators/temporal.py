@@ -57,7 +57,7 @@ def month_ends(spark, start, months: int) -> DataFrame:
     return spark.range(months).select(F.last_day(F.add_months(F.lit(start).cast("date"), F.col("id").cast("int"))).alias("month_end"))
 
 
-def forward_fill(spine: DataFrame, values: DataFrame, key: str, value: str, seconds_per_part: int = 366) -> DataFrame:
+def forward_fill(spine: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
     """Each spine date with the value of the latest date at or before it.
 
     A date index is small (one row a week), so one window orders it all.

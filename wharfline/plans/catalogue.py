@@ -41,7 +41,7 @@ class Case:
 
     @cached_property
     def counted(self) -> DataFrame:
-        return store(rules.count_recoverable(rules.run_rules(self.context), self.books.invoices))
+        return store(rules.count_recoverable(rules.run_rules(self.context)))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -49,7 +49,7 @@ class Case:
 
     @cached_property
     def naive(self) -> DataFrame:
-        return store(rules.count_recoverable(rules.naive_audit(self.books, self.config, store), self.books.invoices))
+        return store(rules.count_recoverable(rules.naive_audit(self.books, self.config, store)))
 
     @cached_property
     def labels(self) -> DataFrame:
