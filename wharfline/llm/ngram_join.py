@@ -28,6 +28,7 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 BLOCK = 4096
+EDGES_PER_FILE = 1_000_000
 _Q = np.uint64(0xA24BAED4963EE407)
 
 
@@ -135,7 +136,7 @@ class Sets:
     def of(self, i: int, z: bytes) -> np.ndarray:
         got = self.known.get(i)
         if got is None:
-            if len(self.known) > 500:
+            if len(self.known) > 200:
                 self.known.clear()
             data = np.frombuffer(self.unpack.decompress(z), np.uint8)
             got = self.known[i] = np.unique(shingles(data, np.array([0, len(data)]), self.k)[0])
@@ -177,15 +178,18 @@ def outside(wanted: DataFrame, texts: DataFrame, order, k: int, percent: int) ->
         sets, rank = Sets(k), order.value
         for batch in batches:
             a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
+            found: list[tuple[np.ndarray, int, int, int, int]] = []
             for i in range(batch.num_rows):
                 rep, hub = a[i].as_py(), b[i].as_py()
                 x, y = sets.of(rep, za[i].as_py()), sets.of(hub, zb[i].as_py())
                 rest = np.setdiff1d(x, y, assume_unique=True)
                 need = -(-percent * (len(x) + len(y)) // (100 + percent)) - (len(x) - len(rest))
-                rest = by_rank(rest, rank)[: len(rest) - max(need, 1) + 1]
-                if len(rest):
-                    same = lambda v, n=len(rest): pa.array(np.full(n, v, np.int64))
-                    yield pa.RecordBatch.from_arrays([same(hub), pa.array(rest.view(np.int64)), same(rep), same(len(x)), same(len(y))], names=["hub", "v", "rep", "n", "hn"])
+                found.append((by_rank(rest, rank)[: len(rest) - max(need, 1) + 1], hub, rep, len(x), len(y)))
+            many = [len(f[0]) for f in found]
+            if sum(many):
+                spread = lambda k: pa.array(np.repeat(np.array([f[k] for f in found], np.int64), many))
+                yield pa.RecordBatch.from_arrays([spread(1), pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), spread(2), spread(3), spread(4)], names=["hub", "v", "rep", "n", "hn"])
+        release()
 
     return with_texts(wanted, texts).mapInArrow(differences, "hub long, v long, rep long, n long, hn long")
 
@@ -194,9 +198,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root): for every vertex of the edges (a, b) but the roots, the smallest vertex it is connected with.
 
     Alternates large-star and small-star steps until every edge points at a root; logarithmically many rounds, each
-    written to the shared folder.
+    written to the shared folder in files of about EDGES_PER_FILE rows (not one for every shuffle partition). ``edges`` is a written table.
     """
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    files = max(4, edges.count() // EDGES_PER_FILE + 1)
+    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().coalesce(files), "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -204,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")
         small = down.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        e = materialise(small.coalesce(files), "edges")
         if e.select(F.col("v").alias("u")).join(e, "u", "left_semi").isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
