@@ -234,6 +234,29 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join(none).isEmpty()
 
 
+def test_components_of_chains(spark):
+    from wharfline.llm.ngram_join import components, ngram_join
+
+    # after one round document 3 of the first chain has two parents, neither of them a child
+    chains, at = [[1, 4, 3, 5, 2]], 10
+    for seed in range(12):
+        ids = list(range(at, at := at + 3 + seed * 3))
+        random.Random(seed).shuffle(ids)
+        chains.append(ids)
+    for some in (chains[:1], chains):
+        edges = spark.createDataFrame([e for c in some for e in zip(c, c[1:])], "a long, b long")
+        got = sorted((r.id, r.root) for r in components(edges).collect())
+        assert got == sorted((i, min(c)) for c in some for i in c if i != min(c))
+    text, texts = [f"w{k}" for k in range(100)], {}
+    for step, i in enumerate(chains[0]):
+        text = text[:]
+        if step:
+            text[10 + step * 18], text[18 + step * 18] = f"x{step}", f"y{step}"
+        texts[i] = " ".join(text)
+    d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join(d).collect()) == [(i, 1) for i in range(1, 6)]
+
+
 def test_lm_score(spark, docs, none):
     from wharfline.llm.lm_score import EliasFano, Trie, lm_score
 

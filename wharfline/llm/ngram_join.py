@@ -197,8 +197,8 @@ def outside(wanted: DataFrame, texts: DataFrame, order, k: int, percent: int) ->
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): for every vertex of the edges (a, b) but the roots, the smallest vertex it is connected with.
 
-    Alternates large-star and small-star steps until every edge points at a root; logarithmically many rounds, each
-    written to the shared folder in files of about EDGES_PER_FILE rows (not one for every shuffle partition). ``edges`` is a written table.
+    Alternates large-star and small-star steps until every vertex has one parent and every parent is a root (a vertex between
+    two parents still joins their components); logarithmically many rounds, each written to the shared folder in files of about EDGES_PER_FILE rows (not one for every shuffle partition). ``edges`` is a written table.
     """
     files = max(4, edges.count() // EDGES_PER_FILE + 1)
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().coalesce(files), "edges")
@@ -210,7 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.join(least, "u")
         small = down.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialise(small.coalesce(files), "edges")
-        if e.select(F.col("v").alias("u")).join(e, "u", "left_semi").isEmpty():
+        single = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        if single and e.select(F.col("v").alias("u")).join(e, "u", "left_semi").isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
