@@ -298,6 +298,42 @@ def test_lm_score(spark, docs, none):
     assert set(t.children(2).tolist()) == {int(k) % width for k in k2 if k // width == 2}
 
 
+def test_lm_score_keeps_all_grams(spark):
+    """Every word has an id and every gram counts: brute-force interpolated absolute discounting over words far rarer than 1e-4 of the tokens."""
+    import math
+
+    from wharfline.llm.lm_score import lm_score
+
+    g = random.Random(5)
+    texts = [" ".join(g.choice(VOCAB) for _ in range(900)) for _ in range(30)] + ["rare pair here", "rare pair here", "rare pair there", "new rare pair", None]
+    train = [i not in (3, 33) for i in range(len(texts))]
+    seqs = [[*(t or "").split(), "</s>"] for t in texts]
+    one, pairs = collections.Counter(), collections.defaultdict(collections.Counter)
+    for s, learn in zip(seqs, train):
+        for i, w in enumerate(s if learn else []):
+            one[w] += 1
+            pairs[(s[i - 1] if i else "<s>",)][w] += 1
+            if i:
+                pairs[(s[i - 2] if i > 1 else "<s>", s[i - 1])][w] += 1
+    mass = sum(one.values()) + len(one) + 1
+
+    def back(context, w, lower):
+        c = pairs.get(context)
+        return lower if not c else max(c[w] - 0.75, 0) / sum(c.values()) + 0.75 * len(c) / sum(c.values()) * lower
+
+    want = []
+    for s in seqs:
+        total = 0
+        for i, w in enumerate(s):
+            p = back((s[i - 1] if i else "<s>",), w, (one[w] + 1) / mass)
+            total += math.log10(back((s[i - 2] if i > 1 else "<s>", s[i - 1]), w, p) if i else p)
+        want.append(total)
+    d = spark.createDataFrame(list(zip(range(len(texts)), texts, train)), "doc_id long, text string, train boolean").repartition(3)
+    for chunk in (8 << 20, 3000):
+        got = {r.doc_id: (r.score, r.n_tokens) for r in lm_score(d, F.col("train"), chunk_text=chunk).collect()}
+        assert all(got[i][0] == pytest.approx(want[i], abs=3e-4 * got[i][1]) for i in range(len(texts)))
+
+
 def test_toxicity(spark, none):
     from wharfline.llm.toxicity import toxicity
 

@@ -1,13 +1,12 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-A trigram model with interpolated absolute discounting over a word list (words with a fixed share of the training tokens;
-all others are one class, spelled out by their own add-one unigram) is learned from the training documents. Its bigrams and
-trigrams are the levels of a trie: children are kept as one monotone Elias-Fano sequence of context-relative keys with monotone
-pointers to each context's first child, probabilities and back-off weights are quantised to 16 bits, and all lies in one flat
-buffer that can be memory-mapped. A query finds a word among a context's children by successor search in that sequence.
-
-Exact counts of all words (for the base score and for spelling out rare ones) never sit in one place: texts are cut into chunks,
-each chunk's distinct words go to hash shards, and the shards answer with their corpus counts.
+A trigram model with interpolated absolute discounting over all training words is learned from the training documents; every
+word has an id and every bigram and trigram is kept. Its levels lie in hash shards of contexts: in a shard the children of all
+contexts are one monotone Elias-Fano sequence of context-relative keys, with discounted probabilities and back-off weights
+quantised to 16 bits. A query finds a word among a context's children by successor search in that sequence.
+
+Nothing that is learned sits in one place: texts are cut into chunks, each chunk's distinct words and then grams go to hash
+shards, and the shards answer with counts and ids, then with probabilities. ``Trie`` is the same model in one flat buffer.
 """
 
 from __future__ import annotations
@@ -23,10 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, NON_SPACE, Numbering, bounded_batches, chunks, crc_mod, materialise, mix, release, table, word_hashes, word_spans
 
-#: A word of the list has at least this share of the training tokens; so the list has at most 1 / WORD_SHARE words at any size.
-WORD_SHARE = 1e-4
-#: Likewise for the bigrams and trigrams that are kept.
-GRAM_SHARE = 5e-7
+ABSENT = 65535
+UNKNOWN, END, START = 0, 1, 2  # ids before those of the words
+END_AND_START = 3
 DISCOUNT = 0.75
 CHUNK_TEXT = 8 << 20
 STEP = 4096.0  # quantisation: codes per unit of log10
@@ -96,12 +94,13 @@ class EliasFano:
         zero = self._select(~self.high, self.zeros_before, np.maximum(both, 0)) - both
         begin, end = np.where(high > 0, zero[: len(key)], 0), zero[len(key) :]
         target = (key & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        at = begin.copy()
+        at, end = begin.copy(), end.copy()
         live = np.flatnonzero(at < end)
-        while len(live):
-            short = self._low(at[live]) < target[live]
-            live = live[short]
-            at[live] += 1
+        while len(live):  # by halves: a frequent context has thousands of children with equal high bits
+            middle = (at[live] + end[live]) // 2
+            short = self._low(middle) < target[live]
+            at[live[short]] = middle[short] + 1
+            end[live[~short]] = middle[~short]
             live = live[at[live] < end[live]]
         return at
 
@@ -319,87 +318,117 @@ def word_requests(packed: DataFrame, bits: int) -> DataFrame:
     return packed.select("chunk", "train", "lengths", "z").mapInArrow(ask, "shard int, chunk long, words binary, counts binary")
 
 
-def word_answers(requests: DataFrame, bar: float) -> DataFrame:
-    """The corpus counts for every request; and per shard (chunk null) how many training words it has and those with ``bar`` or more."""
+def word_answers(requests: DataFrame) -> DataFrame:
+    """The corpus counts and numbers within the shard (from 1; 0 if not in training) for every request; and per shard (chunk null) how many training words it has."""
 
     def answer(part: pa.Table) -> pa.Table:
         words = [_unpack_sorted(b) for b in part.column("words").to_pylist()]
         word, where = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(where, np.concatenate([_unpack(b) for b in part.column("counts").to_pylist()]), len(word)).astype(np.uint64)
+        number = np.where(total > 0, np.cumsum(total > 0), 0).astype(np.uint64)
         cut = np.cumsum([0, *map(len, words)])
-        replies = [_pack(total[where[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-        top = total >= bar
+        own = [where[a:b] for a, b in zip(cut[:-1], cut[1:])]
         shard = part.column("shard")[0].as_py()
         return pa.table({
-            "chunk": pa.array([*part.column("chunk").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(replies) + 1), pa.int32()),
-            "counts": pa.array([*replies, total[top].tobytes()], pa.binary()), "words": pa.array([None] * len(replies) + [word[top].tobytes()], pa.binary()),
-            "distinct": pa.array([0] * len(replies) + [int((total > 0).sum())], pa.int64()),
+            "chunk": pa.array([*part.column("chunk").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(own) + 1), pa.int32()),
+            "a": pa.array([*(_pack(total[i]) for i in own), None], pa.binary()), "b": pa.array([*(_pack(number[i]) for i in own), None], pa.binary()),
+            "distinct": pa.array([0] * len(own) + [int((total > 0).sum())], pa.int64()),
         })
 
-    return requests.groupBy("shard").applyInArrow(answer, "chunk long, shard int, counts binary, words binary, distinct long")
-
-
-def gram_counts(packed: DataFrame, numbering: Numbering, bits: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the training bigrams and trigrams (above 2**62) with ``bar`` or more; those are at most 1 / GRAM_SHARE of either."""
-    spark = packed.sparkSession
-    sent = spark.sparkContext.broadcast(numbering)
-    words = len(numbering.keys)
-    width = words + 3
-
-    def grams(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                train, lengths, z = (batch.column(c)[i].as_py() for c in ("train", "lengths", "z"))
-                learn = np.frombuffer(train, bool)
-                found, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for a, b, h, first in chunk_words(lengths, z):
-                    ids, starts = sequences(sent.value.of(h), first, words)
-                    doc = np.repeat(learn[a:b], np.diff(starts))
-                    before = np.empty(len(ids), np.int64)
-                    before[1:] = ids[:-1]
-                    before[starts[:-1]] = width - 1
-                    two = before * width + ids
-                    three = np.empty(len(ids), np.int64)
-                    three[1:] = two[:-1] * width + ids[1:]
-                    inner = doc.copy()
-                    inner[starts[:-1]] = False
-                    for keys in (two[doc], three[inner] | (1 << 62)):
-                        k, c = np.unique(keys.astype(np.uint64), return_counts=True)
-                        found.append(k), counts.append(c)
-                key, where = np.unique(np.concatenate(found), return_inverse=True)
-                count = np.bincount(where, np.concatenate(counts), len(key)).astype(np.uint64)
-                shard = (mix(key) >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                key, count, cut = key[order], count[order], np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-                shards = [s for s in range(1 << bits) if cut[s] < cut[s + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *(pa.array([f(a[cut[s] : cut[s + 1]]) for s in shards], pa.binary()) for f, a in ((_pack_sorted, key), (_pack, count)))], names=["shard", "keys", "counts"])
+    return requests.groupBy("shard").applyInArrow(answer, "chunk long, shard int, a binary, b binary, distinct long")
+
+
+def grams(ids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each id its bigram's context, then its trigram's (0, which is no context, at the start of a document)."""
+    before = np.empty(len(ids), np.uint64)
+    before[1:] = ids[:-1]
+    before[starts[:-1]] = START
+    two = np.zeros(len(ids), np.uint64)
+    two[1:] = before[:-1] * np.uint64(width) + before[1:] + np.uint64(1 << 63)
+    two[starts[:-1]] = 0
+    return before, two
+
+
+def distinct_grams(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, word) in the order of shards, contexts and words; each gram's place among them; the shards' borders."""
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    at = np.empty(len(c), np.int64)
+    at[order] = np.cumsum(new) - 1
+    c, w = c[new], w[new]
+    shard = (mix(c) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(c), np.int64)
+    place[order] = np.arange(len(c))
+    return c[order], w[order], place[at], np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+
+
+def chunk_grams(chunk: pa.Table, replies: pa.Table, offsets: list[int], width: int, bits: int) -> tuple:
+    """Of one chunk: each word's count, the documents' ids and starts, and the distinct grams of both orders with their training counts."""
+    train, lengths, z = (chunk.column(c)[0].as_py() for c in ("train", "lengths", "z"))
+    by_shard = sorted((r["shard"], r["a"], r["b"]) for r in replies.to_pylist() if r["grams"] == 0)
+    none = np.empty(0, np.uint64)
+    count = np.concatenate([none, *(_unpack(a) for _, a, _ in by_shard)]).astype(np.int64)
+    numbers = [none]
+    for shard, _, b in by_shard:
+        n = _unpack(b)
+        numbers.append(np.where(n > 0, n + np.uint64(offsets[shard] + START), np.uint64(UNKNOWN)))
+    number = np.concatenate(numbers)
+    place = Numbering(_distinct(lengths, z))
+    counts, ids, firsts, n = [np.empty(0, np.int64)], [none], [np.zeros(1, np.int64)], 0
+    for _, _, h, first in chunk_words(lengths, z):
+        at = place.of(h) - 1
+        counts.append(count[at]), ids.append(number[at]), firsts.append(first[1:] + n)
+        n += len(h)
+    seq, starts = sequences(np.concatenate(ids), np.concatenate(firsts), END)
+    bi, tri = grams(seq, starts, width)
+    inner = np.flatnonzero(tri)
+    c, w, at, cut = distinct_grams(np.concatenate((bi, tri[inner])), np.concatenate((seq, seq[inner])), bits)
+    learn = np.repeat(np.frombuffer(train, bool), np.diff(starts))
+    learned = np.bincount(at, np.concatenate((learn, learn[inner])), len(c)).astype(np.uint32)
+    return np.concatenate(counts), np.concatenate(firsts), starts, inner, c, w, at, cut, learned
+
+
+def gram_answers(requests: DataFrame, width: int) -> DataFrame:
+    """For every requested gram the code of its discounted probability (ABSENT if not in training) and its context's back-off weight."""
 
-    def add(part: pa.Table) -> pa.Table:
-        key, where = np.unique(np.concatenate([_unpack_sorted(b) for b in part.column("keys").to_pylist()]), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_unpack(b) for b in part.column("counts").to_pylist()]), len(key)).astype(np.uint64)
-        keep = total >= bar
-        return pa.table({"keys": pa.array([_pack_sorted(key[keep])], pa.binary()), "counts": pa.array([_pack(total[keep])], pa.binary())})
+    def answer(part: pa.Table) -> pa.Table:
+        asked = [_unpack_sorted(b) for b in part.column("contexts").to_pylist()]
+        context, of = np.unique(np.concatenate(asked), return_inverse=True)
+        key, where = np.unique(of * width + np.concatenate([_unpack(b, np.uint32) for b in part.column("words").to_pylist()]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in part.column("counts").to_pylist()]), len(key))
+        own = key // width
+        whole = np.bincount(own, total, len(context))
+        kinds = np.bincount(own, total > 0, len(context))
+        level = EliasFano.build(key[total > 0], len(context) * width)
+        p = quantise(np.log10((total[total > 0] - DISCOUNT) / whole[own[total > 0]]))
+        g = quantise(np.log10(np.where(whole > 0, DISCOUNT * kinds / np.maximum(whole, 1), 1.0)))
+        at = level.find(key)
+        codes = np.full(len(key), ABSENT, np.uint16)
+        codes[at >= 0] = np.minimum(p[at[at >= 0]], ABSENT - 1)
+        cut = np.cumsum([0, *map(len, asked)])
+        mine = list(zip(cut[:-1], cut[1:]))
+        return pa.table({
+            "chunk": part.column("chunk"), "shard": part.column("shard"), "a": pa.array([_pack(codes[where[a:b]]) for a, b in mine], pa.binary()),
+            "b": pa.array([_pack(g[of[a:b]]) for a, b in mine], pa.binary()), "grams": pa.array([1] * len(mine), pa.int32()),
+        })
 
-    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    rows = packed.select("train", "lengths", "z").mapInArrow(grams, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(add, "keys binary, counts binary")
-    for r in rows.collect():
-        keys.append(_unpack_sorted(r.keys)), counts.append(_unpack(r["counts"]))
-    key, count = np.concatenate(keys).astype(np.int64), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(key)
-    return key[order], count[order]
+    return requests.groupBy("shard").applyInArrow(answer, "chunk long, shard int, a binary, b binary, grams int")
 
 
-def sequences(ids: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def sequences(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents' ids with an END after each, and where each begins (one more entry at the end)."""
     docs = len(first) - 1
     starts = first + np.arange(docs + 1)
-    out = np.full(starts[-1], words + 1, np.int64)
+    out = np.full(starts[-1], end, np.uint64)
     out[np.arange(len(ids)) + np.repeat(np.arange(docs), np.diff(first))] = ids
     return out, starts
 
 
-def lm_score(docs: DataFrame, train, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, chunk_text: int = CHUNK_TEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every text under an add-one unigram model and the trie's trigram model, both learned from the rows where ``train`` (a column) holds.
+def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score every text under an add-one unigram model and a trigram model, both learned from the rows where ``train`` (a column) holds.
 
     Returns doc_id, n_tokens (words and an end), n_known (tokens seen in training), train_tokens, base_score (add-one unigram log10
     probability), score (the trigram model's log10 probability).
@@ -409,7 +438,8 @@ def lm_score(docs: DataFrame, train, word_share: float = WORD_SHARE, gram_share:
     empty table gives an empty result. Very long texts are scored whole. Other columns are not read.
 
     Scale: texts are written once, compressed, in chunks; each chunk sends its distinct words and grams to hash shards (their
-    number follows the chunks'). What is broadcast is bounded by the shares: 1 / word_share words and 1 / gram_share grams per order.
+    number follows the chunks'). No word or gram is dropped and none is broadcast; the driver holds one number for each shard.
+    Ids must stay below 2**31, so that two make a context.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -418,51 +448,50 @@ def lm_score(docs: DataFrame, train, word_share: float = WORD_SHARE, gram_share:
     size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum("train_tokens").alias("t"), F.sum("train_docs").alias("d")).first()
     tokens, ends = size.t or 0, size.d or 0
     bits = max(4, int(size.n).bit_length())
-    answers = materialise(word_answers(word_requests(packed, bits), max(2.0, word_share * tokens)), "counts")
-    stats = answers.filter("chunk is null").select("words", "counts", "distinct").collect()
-    distinct = sum(r.distinct for r in stats)
-    keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.words, np.uint64) for r in stats)])
-    listed = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in stats)])
-    order = np.argsort(keys)
-    keys, listed = keys[order], listed[order]
-    words = len(keys)
-    grams, counts = gram_counts(packed, Numbering(keys), bits, max(2.0, gram_share * tokens))
-    second = int(np.searchsorted(grams, 1 << 62))
-    unigrams = np.concatenate(([tokens - ends - listed.sum()], listed, [ends, 0]))
-    context = unigrams.copy()
-    context[words + 1], context[words + 2] = 0, ends
-    trie = Trie.learn(words, unigrams, context, (grams[:second], counts[:second]), (grams[second:] - (1 << 62), counts[second:]))
+    answers = materialise(word_answers(word_requests(packed, bits)), "counts")
+    offsets = [0] * ((1 << bits) + 1)
+    for r in answers.filter("chunk is null").select("shard", "distinct").collect():
+        offsets[r.shard + 1] = r.distinct
+    offsets = np.cumsum(offsets).tolist()
+    distinct = offsets[-1]
+    width = distinct + END_AND_START
     types = distinct + (ends > 0)
     base_mass = math.log10(tokens + types + 1)
-    other_mass = math.log10(int(unigrams[0]) + distinct - words + 1)
     end_base = math.log10(ends + 1) - base_mass
-    sent = docs.sparkSession.sparkContext.broadcast((Numbering(keys), trie.to_buffer()))
+    words = answers.filter("chunk is not null").select("chunk", "shard", "a", "b", F.lit(0).alias("grams"))
+    texts = packed.select("chunk", "ids", "train", "lengths", "z")
+
+    def ask(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        *_, c, w, _, cut, learned = chunk_grams(chunk, replies, offsets, width, bits)
+        shards = [s for s in range(1 << bits) if cut[s] < cut[s + 1]]
+        own = lambda f, a: pa.array([f(a[cut[s] : cut[s + 1]]) for s in shards], pa.binary())
+        release()
+        return pa.table({"shard": pa.array(shards, pa.int32()), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(shards), pa.int64()), "contexts": own(_pack_sorted, c), "words": own(_pack, w.astype(np.uint32)), "counts": own(_pack, learned)})
+
+    requests = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask, "shard int, chunk long, contexts binary, words binary, counts binary")
+    replied = materialise(gram_answers(requests, width), "grams")
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        numbering, buffer = sent.value
-        trie = Trie.from_buffer(buffer)
-        ids, train, lengths, z = (chunk.column(c)[0].as_py() for c in ("ids", "train", "lengths", "z"))
-        by_shard = sorted(zip(replies.column("shard").to_pylist(), replies.column("counts").to_pylist()))
-        count = np.concatenate([np.empty(0, np.uint64), *(_unpack(b) for _, b in by_shard)]).astype(np.int64)
-        place = Numbering(_distinct(lengths, z))
-        n, known, base, model = [], [], [], []
-        for _, _, h, first in chunk_words(lengths, z):
-            docs_ = len(first) - 1
-            c = count[place.of(h) - 1]
-            of = np.repeat(np.arange(docs_), np.diff(first))
-            spelled = np.log10(c + 1.0)
-            own = numbering.of(h)
-            seq, starts = sequences(own, first, words)
-            p = trie.log10(seq, starts[:-1])
-            n.append(np.diff(first) + 1)
-            known.append(np.bincount(of, c > 0, docs_).astype(np.int64) + (ends > 0))
-            base.append(np.bincount(of, spelled - base_mass, docs_) + end_base)
-            model.append(np.bincount(np.repeat(np.arange(docs_), np.diff(starts)), p, docs_) + np.bincount(of, np.where(own == 0, spelled - other_mass, 0.0), docs_))
-        cat = lambda x, t: pa.array(np.concatenate(x), t)
-        return pa.table({"doc_id": pa.array(ids, chunk.column("ids").type.value_type), "n_tokens": cat(n, pa.int64()), "n_known": cat(known, pa.int64()), "base_score": cat(base, pa.float64()), "score": cat(model, pa.float64())})
-
-    replies = answers.filter("chunk is not null").select("chunk", "shard", "counts")
-    scored = packed.select("chunk", "ids", "train", "lengths", "z").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+        count, first, starts, inner, _, _, at, _, _ = chunk_grams(chunk, replies, offsets, width, bits)
+        by_shard = sorted((r["shard"], r["a"], r["b"]) for r in replies.to_pylist() if r["grams"] == 1)
+        p, g = (np.concatenate([np.empty(0, np.uint16), *(_unpack(r[k], np.uint16) for r in by_shard)]) for k in (1, 2))
+        p = np.where(p == ABSENT, 0.0, 10 ** (p / -STEP))[at]
+        g = (10 ** (g / -STEP))[at]
+        docs_ = len(first) - 1
+        of, spread = np.repeat(np.arange(docs_), np.diff(first)), np.repeat(np.arange(docs_), np.diff(starts))
+        plain = np.full(starts[-1], end_base)
+        plain[np.arange(len(count)) + of] = np.log10(count + 1.0) - base_mass
+        n = len(plain)
+        model = p[:n] + g[:n] * 10**plain
+        model[inner] = p[n:] + g[n:] * model[inner]
+        known = np.bincount(of, count > 0, docs_).astype(np.int64) + (ends > 0)
+        release()
+        return pa.table({
+            "doc_id": pa.array(chunk.column("ids")[0].as_py(), chunk.column("ids").type.value_type), "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(known),
+            "base_score": pa.array(np.bincount(spread, plain, docs_)), "score": pa.array(np.bincount(spread, np.log10(np.minimum(model, 1.0)), docs_)),
+        })
+
+    scored = texts.groupBy("chunk").cogroup(words.unionByName(replied).groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
