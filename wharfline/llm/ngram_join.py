@@ -2,9 +2,9 @@
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches the threshold. Shingles are ordered by
 corpus frequency (rare first; a fixed-size sketch of counts over all documents decides, ties by hash), so two linking documents
-share a shingle within their prefixes. Documents with identical prefix and size are collapsed into one group, groups meet in the
-buckets of their prefix shingles, group pairs are filtered by size and position, then expanded to members and verified on whole
-texts.
+share a shingle within their prefixes. Documents with identical prefix and size are collapsed into one group, and groups decide
+which buckets of prefix shingles are kept. The groups are expanded to members before anything meets: members meet hubs, those pairs
+are filtered by size and position and verified on whole texts. Filtering pairs of groups before expansion is not done.
 
 Components need no pairs within what is already connected, so no bucket emits all its pairs. The members of one size in a bucket
 have a hub, the one that meets the bucket's shingle earliest (it has the fewest rarer shingles of its own). First every member meets
