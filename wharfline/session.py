@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> SparkSession:
     """UTC, ANSI casts, adaptive execution with skew joins; further settings as keywords with ``__`` for dots."""
@@ -21,23 +22,30 @@ def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wharfline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     For tables that fan out to many consumers: they are computed once, survive lost executors, and later plans start from a scan
     (a persisted frame keeps its whole logical plan, which is analysed again with every operation on it). The files go when the application ends.
     """
     spark = df.sparkSession
-    path, schema = f"{shared_dir(spark)}/wharfline/table-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    path, schema = f"{shared_dir(spark)}/wharfline/{name}-{uuid.uuid4().hex}", df.schema
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads the shuffle files of the write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
