@@ -5,15 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from ..session import store
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -24,28 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wharfline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    return store(df, name)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+def carried(columns: list[str] | None) -> list[Column]:
+    """A struct ``carried`` of the named columns, or nothing: other columns of a row that go with it."""
+    return [] if columns is None else [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(c) for c in columns]).alias("carried")]
 
-    The files are removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wharfline/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """The schema with further fields."""
+    return StructType([*schema, *_parse_datatype_string(ddl)])
 
 
 def crc_mod(column: str, modulus: int):
@@ -97,6 +90,39 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
     release()
 
 
+BLOCK = 4096
+
+
+def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of compressed blocks of counts by block, as 64-bit numbers."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            total.setdefault(b, np.zeros(BLOCK, np.uint64))
+            total[b] += np.frombuffer(zstandard.decompress(c), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def counted(source: DataFrame, cells: int, places) -> np.ndarray:
+    """How often ``places(data, offs)`` gives each of the numbers below ``cells`` (a multiple of BLOCK), over all slices of the column ``text``.
+
+    Each task adds up its own; the blocks of all tasks are added up by block. ``cells`` bounds what reaches the driver.
+    """
+
+    def own(batches):
+        total = np.zeros(cells, np.uint32)
+        for _, data, offs in chunks(batches, "text"):
+            np.add.at(total, places(data, offs), np.uint32(1))
+        blocks = total.reshape(-1, BLOCK)
+        live = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([zstandard.compress(blocks[i].tobytes(), 1) for i in live], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros((cells // BLOCK, BLOCK), np.uint64)
+    for r in source.select("text").mapInArrow(own, "block int, counts binary").repartition("block").mapInArrow(add_blocks, "block int, counts binary").collect():
+        out[r.block] = np.frombuffer(r.counts, np.uint64)
+    return out.ravel()
+
+
 # ---------------------------------------------------------------- words and hashes
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -1,14 +1,15 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Suspicious spans (letters mixed with digits or symbols, spelled-out words, stretched letters) become character lattices: each
-written character offers the letters it may stand for, or nothing. A Viterbi search under a character trigram model of the whole
-corpus, with a channel cost for every change, restores the likeliest text. Restored texts are scored by a lexicon of words and
-word beginnings whose log-odds are learned from labelled documents.
+written character offers the letters it may stand for, a word border or nothing. A Viterbi search under a character trigram model of the whole
+corpus, with a channel cost for every change, restores the likeliest text. The restored text is scored by a lexicon of words and
+word beginnings whose log-odds are learned from labelled documents, restored in the same way.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 
 import numpy as np
@@ -16,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, crc_mod, table
+from .common import BLOCK, bounded_batches, carried, chunks, counted, crc_mod, table, with_fields
 
 #: At most so many labelled rows of each class train the lexicon (those with the smallest hashes of their id).
 TRAIN_ROWS = 4000
 MIN_DOCS = 4
 MIN_ODDS = 3.0
-MAX_FEATURES = 50_000
 STEMS = (4, 5)
 
 #: fixed values: the letters that leetspeak characters may stand for
@@ -43,7 +43,8 @@ SUSPECT = re.compile(
     rf"|{_LETTER}*({_LETTER})\1\1{_LETTER}*"  # streeetched
 )
 WORD = re.compile(rf"{_LETTER}+")
-MAX_SPAN = 200
+#: so many characters are decoded before the part all surviving paths share is written out
+FLUSH = 256
 
 #: characters of the language model: a-z, Latin letters with marks, one for all others; 0 is the word border
 ALPHABET = {chr(c): i + 1 for i, c in enumerate([*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100), 0x153])}
@@ -75,23 +76,16 @@ class CharModel:
 
 
 def char_counts(source: DataFrame) -> np.ndarray:
-    """Trigram counts of the lower-cased characters of all texts (SIGMA cubed at most, whatever the corpus)."""
+    """Trigram counts of the lower-cased characters of all texts (SIGMA cubed, whatever the corpus)."""
+    cells = -(-(SIGMA**3) // BLOCK) * BLOCK
 
-    def count(batches):
-        total = np.zeros(SIGMA**3, np.int64)
-        for _, data, offs in chunks(batches, "text"):
-            chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-            codes = _CODE[np.minimum(chars, 0x24F)]
-            codes[chars > 0x24F] = _OTHER
-            if len(codes) > 2:
-                total += np.bincount((codes[:-2] * SIGMA + codes[1:-1]) * SIGMA + codes[2:], minlength=SIGMA**3)
-        live = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["gram", "n"])
-
-    out = np.zeros(SIGMA**3, np.int64)
-    for r in source.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r.gram] = r.n
-    return out
+    def places(data, offs):
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        codes = _CODE[np.minimum(chars, 0x24F)]
+        codes[chars > 0x24F] = _OTHER
+        return (codes[:-2] * SIGMA + codes[1:-1]) * SIGMA + codes[2:]
+
+    return counted(source, cells, places)[: SIGMA**3].astype(np.int64)
 
 
 class Restorer:
@@ -112,63 +106,73 @@ class Restorer:
         return got
 
     def _options(self, text: str, i: int) -> list[tuple[str, float]]:
+        """What the character at ``i`` may stand for (a letter, a blank for a word border, nothing) and at which cost."""
         ch = text[i]
+        repeat = [("", self.DROP_REPEAT)] if i and text[i - 1] == ch else []
         if ch.isalpha():
-            out = [(ch, 0.0)]
-            if i and text[i - 1] == ch:
-                out.append(("", self.DROP_REPEAT))
-            return out
-        out = [(c, self.CHANGE) for c in LEET.get(ch, "")]
-        if i and text[i - 1] == ch:
-            out.append(("", self.DROP_REPEAT))
+            return [(ch, 0.0), *repeat]
+        out = [(c, self.CHANGE) for c in LEET.get(ch, "")] + repeat
+        if ch in SPACING:
+            out.append((" ", 0.0))
         if ch in SPACING or not ch.isdigit():
             out.append(("", self.DROP_MARK))
         return out or [("", self.DROP_LETTER)]
 
     def _decode(self, written: str) -> str:
-        """The restored span as one word (long spans are decoded piece by piece)."""
+        """The likeliest reading of the span, of any length: words, with blanks between where the span has borders."""
         text = written.lower()
-        if len(text) > MAX_SPAN:
-            return "".join(self._decode(text[i : i + MAX_SPAN]) for i in range(0, len(text), MAX_SPAN))
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        done: list[str] = []
+        # a state is the last two codes; its path is a chain (earlier, character) since the last flush
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             options = self._options(text, i)
-            for (p, q), (cost, made) in states.items():
+            for (p, q), (cost, path) in states.items():
                 for c, extra in options:
                     if c:
-                        code = ALPHABET.get(c, _OTHER)
-                        key, total, now = (q, code), cost + extra + self.cost[p][q][code], made + c
+                        code = ALPHABET.get(c, 0 if c == " " else _OTHER)
+                        key, total, now = (q, code), cost + extra + self.cost[p][q][code], (path, c)
                     else:
-                        key, total, now = (p, q), cost + extra, made
+                        key, total, now = (p, q), cost + extra, path
                     if key not in after or total < after[key][0]:
                         after[key] = (total, now)
             states = after
-        return min((cost + self.cost[p][q][0], made) for (p, q), (cost, made) in states.items())[1]
-
-    def candidates(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, restored) of the suspicious spans."""
-        return [(m.start(), m.end(), self.span(m[0])) for m in SUSPECT.finditer(text)]
+            if i % FLUSH == FLUSH - 1:
+                paths = [_unroll(path) for _, path in states.values()]
+                same = len(os.path.commonprefix(paths))
+                done.append(paths[0][:same])
+                states = {k: (cost, _roll(path[same:])) for (k, (cost, _)), path in zip(states.items(), paths)}
+        end = min((cost + self.cost[p][q][0], _unroll(path)) for (p, q), (cost, path) in states.items())
+        return "".join(done) + end[1]
 
     def restore(self, text: str) -> str:
-        out, at = [], 0
-        for s, e, word in self.candidates(text):
-            out += [text[at:s], word]
-            at = e
-        return "".join(out) + text[at:]
+        """The text with every suspicious span as the likeliest reading restores it."""
+        return SUSPECT.sub(lambda m: " " + self.span(m[0]) + " ", text) if _MAYBE.search(text) else text
 
     def features(self, text: str) -> set[str]:
-        """Distinct words of the text and of its restored spans, and their beginnings (marked ^)."""
-        words = set(WORD.findall(text.lower()))
-        if _MAYBE.search(text):
-            for _, _, word in self.candidates(text):
-                words.update(WORD.findall(word))
-                words.update(WORD.findall(_squeeze(word)))
-        return words
+        """Distinct words of the restored text, and of them those with doubled letters also without."""
+        words = set(WORD.findall(self.restore(text).lower()))
+        return words | {_squeeze(w) for w in words if _DOUBLE.search(w)}
+
+
+def _unroll(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _roll(chars: str) -> tuple | None:
+    path = None
+    for c in chars:
+        path = (path, c)
+    return path
 
 
 _MAYBE = re.compile(rf"{_LETTER}{_MARK}|{_MARK}{_LETTER}|({_LETTER})\1\1|(?<!\w){_SIGN}[ .\-_*~·/\\]{_SIGN}[ .\-_*~·/\\]{_SIGN}(?!\w)|{_LETTER}[.\-_~·]{_LETTER}+[.\-_~·]{_LETTER}")
 _RUN = re.compile(r"(.)\1+")
+_DOUBLE = re.compile(r"(.)\1")
 
 
 def _squeeze(word: str) -> str:
@@ -207,7 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Restorer, Lexi
     chosen = pick(0).unionByName(pick(1))
     sample = docs.join(F.broadcast(chosen), "doc_id")
 
+    sent = docs.sparkSession.sparkContext.broadcast(restorer)
+
     def count(batches):
+        restorer = sent.value
         total: dict[str, list[int]] = {}
         size = [0, 0]
         for part, data, offs in chunks(batches, "text"):
@@ -221,19 +228,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Restorer, Lexi
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1] for k in keys], pa.int64())], names=["w", "n0", "n1"])
 
-    counted = sample.select("text", "toxic").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    whole = counted.filter("w = ''").collect()
+    found = sample.select("text", "toxic").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    whole = found.filter("w = ''").collect()
     n0, n1 = (whole[0].n0, whole[0].n1) if whole else (0, 0)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    top = counted.filter((F.col("w") != "") & (F.col("n1") >= MIN_DOCS)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "w").limit(MAX_FEATURES)
+    top = found.filter((F.col("w") != "") & (F.col("n1") >= MIN_DOCS)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
     share = seen.groupBy("toxic").count().collect()
     share = {r["toxic"]: r["count"] for r in share}
     prior = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
     return restorer, Lexicon({r.w: r.odds for r in top.collect()}, prior)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every text: doc_id, score (0 to 1), evidence (the restored words that count, strongest first).
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Score every text: doc_id, score (0 to 1), evidence (the restored words that count, strongest first); with ``carry`` also text and carried, a struct of those columns.
 
     ``labels`` has doc_id and toxic; rows whose crc32(doc_id as text) mod 3 is 1 are never learned from, repeated labels count once
     (the largest), other values than 0 and 1 and null ids are ignored. Edge cases: null and empty texts get the score of a text
@@ -243,9 +250,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, i
     Scale: one scan for the character model (its counts are bounded), one for the training sample, one to score; no shuffle of texts.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    restorer, lexicon = train(source, labels.select("doc_id", "toxic"), train_rows)
-    kind = dict(source.dtypes)["doc_id"]
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
+    restorer, lexicon = train(source.select("doc_id", "text"), labels.select("doc_id", "toxic"), train_rows)
+    kept = ["doc_id"] if carry is None else ["doc_id", "text", "carried"]
     sent = docs.sparkSession.sparkContext.broadcast((restorer, lexicon))
 
     def score(batches):
@@ -255,9 +262,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, i
             for a, b in zip(offs[:-1], offs[1:]):
                 s, hits = lexicon.score(restorer.features(body[a:b].decode()))
                 scores.append(s), why.append(hits)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(why, pa.list_(pa.string()))], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array(why, pa.list_(pa.string()))], names=[*kept, "score", "evidence"])
 
-    return source.mapInArrow(score, f"doc_id {kind}, score double, evidence array<string>")
+    return source.mapInArrow(score, with_fields(source.select(*kept).schema, "score double, evidence array<string>"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
