@@ -25,8 +25,6 @@ CAPACITY = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 CACHE_WORDS = 1 << 19
-#: How many of the lowest-cost sequences are tried before a piece is cut.
-LOOK = 64
 
 
 #: byte classes of the splitter: 0 blank, 1 letter (any part of a Latin letter beyond ASCII too), 2 digit, 3 other
@@ -135,36 +133,28 @@ def sequence_sizes(tokens: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset); every sequence of sequence_sizes is filled exactly."""
+    """Pieces (document, start, length, sequence, offset); every sequence of sequence_sizes is filled exactly.
+
+    All sequences of the block are searched for each piece: the lowest-cost one that has room is found, and a piece is cut only where none has.
+    """
     sizes = sequence_sizes(sum(lengths), capacity)
-    room, cost = sizes[:], [0.0] * len(sizes)
+    room, cost = np.array(sizes, np.int64), np.zeros(len(sizes))
     queue = []
     for d, n in enumerate(lengths):
         queue += [(-min(capacity, n - s), d, s) for s in range(0, n, capacity)]
     heapq.heapify(queue)
-    open_ = [(0.0, k) for k in range(len(sizes))]
-    heapq.heapify(open_)
     out = []
     while queue:
         n, d, s = heapq.heappop(queue)
         n = -n
-        aside, k = [], None
-        while open_ and len(aside) < LOOK:
-            top = heapq.heappop(open_)
-            if room[top[1]] >= n:
-                k = top[1]
-                break
-            aside.append(top)
-        if k is None:  # it fits in none of the lowest-cost sequences: the lowest takes what it can
-            k = aside.pop(0)[1]
-        for x in aside:
-            heapq.heappush(open_, x)
-        take = min(n, room[k])
-        out.append((d, s, take, k, sizes[k] - room[k]))
+        fits = room >= n
+        k = int(np.where(fits, cost, np.inf).argmin())
+        if not fits[k]:  # it fits in none: the lowest-cost one with any room takes what it can
+            k = int(np.where(room > 0, cost, np.inf).argmin())
+        take = min(n, int(room[k]))
+        out.append((d, s, take, k, sizes[k] - int(room[k])))
         room[k] -= take
         cost[k] += linear * take + quadratic * take * take
-        if room[k]:
-            heapq.heappush(open_, (cost[k], k))
         if take < n:
             heapq.heappush(queue, (take - n, d, s + take))
     return out
