@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Numbering, bounded_batches, chunks, materialise, raw, table, word_hashes, word_spans
+from .common import ALNUM, Numbering, bounded_batches, carried, chunks, materialise, raw, table, with_fields, word_hashes, word_spans
 
 WINDOW = 10
 SAMPLE_EVERY = 8
@@ -248,51 +248,58 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col:
     yield ids, texts
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Find benchmark windows in every text.
 
     Returns doc_id, n_words, spans array of (start, end) in words, byte_spans array of (start, end) in UTF-8 bytes of the text,
-    items array of the ids (as strings, sorted) whose windows occur.
+    items array of the ids (as strings, sorted) whose windows occur; with ``carry`` also text and carried, a struct of those columns.
 
     Edge cases: null and empty texts, and texts or items without words, have no hits; an empty benchmark or table gives no hits;
     an item with fewer words than a window is one window; ids may be null or repeated (one row per input row); a null item id
     counts as the empty string; items with equal ids count once. Other columns are not read.
 
     Scale: no shuffle. Each task builds and drops one index per shard of about ``shard_bytes`` of text (a longer text is a shard
-    of its own). The benchmark goes out in blocks of ``block_bytes``; with several blocks the texts are written once with
-    row numbers, scanned once per block, and results are merged by row.
+    of its own). The benchmark passes through the driver in blocks of ``block_bytes``, of which one at a time is held and broadcast; with several
+    blocks the texts are written once with row numbers, each block's results are written before the next block goes out, and they are merged by row.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried(carry))
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Phrases(ids, texts, window)) for ids, texts in _blocks(docs.sparkSession, benchmark, item_col, item_text_col, block_bytes)]
-    source = source.withColumn("row", F.lit(0).cast("long") if len(blocks) == 1 else F.monotonically_increasing_id())
-    if len(blocks) > 1:  # the scans must agree on the rows
+    blocks = _blocks(docs.sparkSession, benchmark, item_col, item_text_col, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    single = following is None
+    source = source.withColumn("row", F.lit(0).cast("long") if single else F.monotonically_increasing_id())
+    if not single:  # the scans must agree on the rows
         source = materialise(source, "rows")
-    parts = []
-    for sent in blocks:
+    kept = ["doc_id", "row"] if carry is None or not single else ["doc_id", "row", "text", "carried"]
 
-        def search(batches, sent=sent):
+    def found(sent) -> DataFrame:
+        def search(batches):
             for rows, data, offs in chunks(batches, "text", shard_bytes):
                 n_words, spans, items, starts, ends = search_shard(sent.value, data, offs)
                 first = np.concatenate(([0], np.cumsum(n_words)))
                 places = [[{"start": int(starts[first[d] + s] - offs[d]), "end": int(ends[first[d] + e - 1] - offs[d])} for s, e in own] for d, own in enumerate(spans)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("row"), pa.array(n_words, pa.int64()),
+                    [*(rows.column(c) for c in kept), pa.array(n_words, pa.int64()),
                      pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], pa.list_(pair)), pa.array(places, pa.list_(pair)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "row", "n_words", "spans", "byte_spans", "items"],
+                    names=[*kept, "n_words", "spans", "byte_spans", "items"],
                 )
 
-        parts.append(source.mapInArrow(search, f"doc_id {kind}, row long, n_words long, spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+        return source.mapInArrow(search, with_fields(source.select(*kept).schema, "n_words long, spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"))
+
+    if single:
+        return found(sc.broadcast(Phrases(*block, window))).drop("row")
+    union = None
+    while block:
+        sent = sc.broadcast(Phrases(*block, window))
+        part = materialise(found(sent), "hits")
+        sent.destroy()
+        union = part if union is None else union.unionByName(part)
+        block, following = following, next(blocks, None) if following else None
     merged = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "byte_spans", "items")])
-    return merged.select("doc_id", "n_words", merge_spans("spans").alias("spans"), merge_spans("byte_spans").alias("byte_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    merged = merged.select("row", "doc_id", "n_words", merge_spans("spans").alias("spans"), merge_spans("byte_spans").alias("byte_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return merged.drop("row") if carry is None else source.select("row", "text", "carried").join(merged, "row").drop("row")
 
 
 def merge_spans(column: str):
