@@ -45,17 +45,38 @@ def test_layouts_normalise_alike(spark, tmp_path):
 
 
 def test_price_series(spark, tmp_path):
+    import pytest
+
     f = tmp_path / "p.csv"
-    f.write_text('Diesel prices\nnot a row\n2025-01-13,3.608\n01/21/2025,3.636\n2025-02-03,3.705\n"Feb 10, 2025",3.680\n')
+    f.write_bytes('\ufeff2023-11-07,4.366\nWeekly retail prices,U.S.\n11/14/2023,4.294\n"Nov 20, 2023",4.209\nDec-04-2023,4.092\n12-Dec-2023,3.987\n13-Dec-2023,3.990\n20231218,3.894\nnot a date,1\n2023-12-25,n/a\n'.encode())
     got = [(str(r.week_start), float(r.price_per_gallon)) for r in price_series(spark, f"file://{f}").collect()]
-    assert got[:3] == [("2025-01-13", 3.608), ("2025-01-20", 3.636), ("2025-02-03", 3.705)]
-    whole = filled(price_series(spark, f"file://{f}"), date(2025, 1, 13), date(2025, 2, 3))
-    assert [float(r.price_per_gallon) for r in whole.orderBy("week_start").collect()] == [3.608, 3.636, 3.636, 3.705]
-    try:
-        filled(price_series(spark, f"file://{f}"), date(2024, 1, 1), date(2025, 2, 3))
-        raise AssertionError("no error")
-    except ValueError as e:
-        assert "covers 2025-01-13" in str(e)
+    assert got == [("2023-11-06", 4.366), ("2023-11-13", 4.294), ("2023-11-20", 4.209), ("2023-12-04", 4.092), ("2023-12-11", 3.99), ("2023-12-18", 3.894)]
+    # the span's first Monday has no price of its own: the one before it counts
+    whole = filled(price_series(spark, f"file://{f}"), date(2023, 11, 27), date(2023, 12, 11))
+    assert [float(r.price_per_gallon) for r in whole.orderBy("week_start").collect()] == [4.209, 4.092, 3.99]
+    with pytest.raises(ValueError, match="covers 2023-11-06"):
+        filled(price_series(spark, f"file://{f}"), date(2023, 1, 2), date(2023, 12, 11))
+    f.write_text("title only\n")
+    with pytest.raises(ValueError, match="no row"):
+        price_series(spark, f"file://{f}")
+
+
+def test_bounded_walk(spark):
+    from pyspark.sql import functions as F
+
+    from wharfline.sources.prices import bounded_walk, shock
+
+    weeks = spark.range(60).select(F.expr("date_add(date'2023-10-02', cast(id * 7 as int))").alias("week_start"), (F.sin(F.col("id") * 1.7) / 2).alias("step")).repartition(5)
+    got = bounded_walk(weeks, F.col("step"), 3.9, 3.7, 0.1, 3.4, 4.2, shock(F.col("week_start"), "2023-12-01", 0.6, 4, 3)).orderBy("week_start").collect()
+    rows = weeks.orderBy("week_start").collect()
+    walk, want = 3.9, []
+    for i, r in enumerate(rows):
+        if i:
+            walk = min(max(walk + 0.1 * (3.7 - walk) + r.step, 3.4), 4.2)
+        j = (r.week_start - date(2023, 12, 4)).days // 7
+        up = 0.6 * j / 4 if 0 <= j <= 4 else 0.6 * (1 - (j - 4) / 3) if 4 < j <= 7 else 0
+        want.append(round(min(max(walk + up, 3.4), 4.2), 3))
+    assert [r.price_per_gallon for r in got] == want
 
 
 def test_tables(spark, tmp_path):
