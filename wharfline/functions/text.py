@@ -30,8 +30,13 @@ def without_state(key: Column) -> Column:
 
 
 def parse_date(c: Column, *formats: str) -> Column:
-    """The first format that fits; a format with a time of day gives its date."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    """The first format that fits; a format with a time of day gives its date. Years of two digits from 69 on are of the last century."""
+
+    def read(f: str) -> Column:
+        d = F.to_date(F.try_to_timestamp(c, F.lit(f)))
+        return d if "yyyy" in f or "yy" not in f else F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+
+    return F.coalesce(*[read(f) for f in formats])
 
 
 def parse_money(c: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from ..config import CARRIERS
 from ..functions import formats, stats, tariff, text
 from ..operators import accruals, action, resolve, rules, scoring, temporal
 from ..session import store
+from ..sources.layouts import LAYOUTS
+from ..sources.normalize import parse
+from ..sources.render import as_raw, render
 from . import projection
 
 D = "double"
@@ -359,8 +363,6 @@ def systemic_windows(c: Case) -> DataFrame:
 @query
 def systemic_findings(c: Case) -> DataFrame:
     """The test with a multiple of 1.05, as this data has no carrier three times worse than its peers."""
-    from dataclasses import replace
-
     config = replace(c.config, systemic=replace(c.config.systemic, multiple=1.05, alpha=1.0))
     d = action.systemic_findings(c.books.invoices, c.counted, c.modes, config)
     return d.select("carrier_id", "error_type", "window_start", "window_end", "invoices", "flagged", F.round("carrier_rate", 9).alias("carrier_rate"), F.round("peer_rate", 9).alias("peer_rate"), F.round(F.ln("p_value"), 6).alias("ln_p"))
@@ -444,3 +446,43 @@ def overview_metrics(c: Case) -> DataFrame:
 def recoverable_text(c: Case) -> DataFrame:
     d = c.summary.groupBy("carrier_id").agg(F.sum("recoverable").alias("r"))
     return d.select("carrier_id", formats.usd(F.col("r")).alias("recoverable_text"), formats.usd(-F.col("r")).alias("negative_text"))
+
+
+# ---------------------------------------------------------------- carrier files
+
+
+def _rendered(c: Case) -> list[tuple]:
+    """(layout, invoices, lines, fixes, exceptions) of the projected invoices, rendered in their carriers' layouts and parsed again."""
+    names = ("A", "B", "C", "D")
+    config = replace(c.config, carriers=tuple(replace(x, carrier_id=f"CAR{i}", layout=names[i % 4]) for i, x in enumerate(CARRIERS)))
+    places = (("St. Louis", "MO"), ("Ft. Worth", "TX"), ("Chicago", "IL"))
+    at = lambda k, n: F.element_at(F.array(*[F.lit(p[n]) for p in places]), (F.col(k) % 3 + 1).cast("int"))
+    inv = c._made[1]["inv"].select(
+        "carrier_id", F.col("invoice_id").alias("control_id"), "invoice_number", "pro_number", "bol_raw", "invoice_type", F.concat(F.lit("E"), "pro_number").alias("supersedes_invoice_number"), "invoice_date", "received_date", "ship_date",
+        at("l_partkey", 0).alias("origin"), at("l_partkey", 1).alias("origin_state"), at("l_suppkey", 0).alias("destination"), at("l_suppkey", 1).alias("destination_state"), "billed_weight_lbs", F.col("l_linenumber").alias("style"),
+    )
+    lines = c._made[1]["line"].withColumnRenamed("invoice_id", "control_id").join(inv.select("control_id", "carrier_id"), "control_id")
+    cities = {" ".join(n.lower().replace(".", " ").split()): n for n, _ in places}
+    out = []
+    for k, name in enumerate(names):
+        own = F.col("carrier_id").isin(f"CAR{k}", f"CAR{k + 4}")
+        raw = as_raw(render(inv.filter(own), lines.filter(own), LAYOUTS[name], config), LAYOUTS[name])
+        out.append(parse(raw, LAYOUTS[name], config, cities))
+    return out
+
+
+@query
+def layout_round_trip(c: Case) -> DataFrame:
+    """Every invoice rendered as its carrier's text rows and normalised again, with its charge lines."""
+    parts = _rendered(c)
+    inv, lines = (reduce(DataFrame.unionByName, [p[k] for p in parts]) for k in (0, 1))
+    sums = lines.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("amount").alias("line_total"))
+    d = inv.join(sums, "invoice_id", "left")
+    return d.select("control_id", "carrier_id", "invoice_number", "pro_number", "bol_canonical", "invoice_type", "supersedes_invoice_number", "invoice_date", "ship_date", "origin", "destination", F.col("billed_weight_lbs").cast("long").alias("billed_weight_lbs"), *money("total", "line_total"), "n_lines")
+
+
+@query
+def normaliser_fixes(c: Case) -> DataFrame:
+    """How often each kind of fix was needed to read the rendered files, by carrier."""
+    marks = reduce(DataFrame.unionByName, [p[2] for p in _rendered(c)])
+    return marks.groupBy("carrier_id", "fix_type", "unit").agg(F.count(F.lit(1)).alias("n"))

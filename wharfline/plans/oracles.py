@@ -255,4 +255,16 @@ UNION ALL SELECT 'REV-' || strftime(m, '%Y%m'), CAST(m + 1 AS DATE), 'reversal',
     "overview_metrics": sql(_A, "SELECT count(*) AS audited, CAST(sum(total) AS DOUBLE) AS billed, count(*) FILTER (n_flags > 0) AS flagged, CAST(sum(recoverable) AS DOUBLE) AS recoverable FROM su"),
     "recoverable_text": sql(_A, "SELECT carrier_id, '$' || format('{:,.2f}', CAST(sum(recoverable) AS DOUBLE)) AS recoverable_text, CASE WHEN sum(recoverable) > 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', CAST(sum(recoverable) AS DOUBLE)) AS negative_text FROM su GROUP BY 1"),
 }
+_LAYOUT = """, ly AS (SELECT inv.*, substr('ABCDABCD', CAST(substr(carrier_id, 4) AS INT) + 1, 1) AS layout FROM inv), n AS (SELECT invoice_id, count(*) AS n_lines, sum(amount) AS line_total FROM line GROUP BY 1)"""
+_FIXES = (
+    ("date_parsing", "date field", "2", "layout <> 'B'"), ("cwt_to_lbs", "invoice", "1", "layout = 'B'"), ("weight_text_cleanup", "invoice", "1", "layout = 'C'"), ("city_cleanup", "city field", "2", "layout <> 'B'"),
+    ("bol_canonicalization", "invoice", "1", "layout = 'D' OR bol_raw <> bol_canonical"), ("invoice_type_from_pro_suffix", "invoice", "1", "layout IN ('A', 'C') AND invoice_type <> 'original'"), ("invoice_type_text", "invoice", "1", "layout = 'D'"),
+    ("carrier_name_variant", "invoice", "1", "layout = 'C'"), ("currency_to_float", "amount field", "1 + n_lines", "layout = 'C'"), ("charge_description_to_code", "line", "n_lines", "layout = 'D'"),
+)
+_CITY = "CASE {} % 3 WHEN 0 THEN 'St. Louis' WHEN 1 THEN 'Ft. Worth' ELSE 'Chicago' END"
+ORACLES |= {
+    "layout_round_trip": sql([], _LAYOUT + f"""SELECT invoice_id AS control_id, carrier_id, invoice_number, pro_number, bol_canonical, invoice_type, CASE WHEN layout IN ('B', 'D') AND invoice_type = 'rebill' THEN 'E' || pro_number END AS supersedes_invoice_number, invoice_date, ship_date,
+       {_CITY.format("l_partkey")} AS origin, {_CITY.format("l_suppkey")} AS destination, CAST(billed_weight_lbs AS BIGINT) AS billed_weight_lbs, CAST(line_total AS DOUBLE) AS total, CAST(line_total AS DOUBLE) AS line_total, n_lines FROM ly LEFT JOIN n USING (invoice_id)"""),
+    "normaliser_fixes": sql([], _LAYOUT + "SELECT carrier_id, fix_type, unit, CAST(sum(k) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT carrier_id, '{t}' AS fix_type, '{u}' AS unit, {k} AS k FROM ly JOIN n USING (invoice_id) WHERE {w}" for t, u, k, w in _FIXES) + ") GROUP BY 1, 2, 3"),
+}
 ORACLES = {k: v.replace(")\n, ", "),\n") if "\n, " in v else v for k, v in ORACLES.items()}
