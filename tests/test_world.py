@@ -194,3 +194,15 @@ def test_empty_books(spark):
     counted, summary, metrics = rules.audit(books, Config())
     assert counted.isEmpty() and summary.isEmpty() and {r.value for r in metrics.collect()} == {0}
     assert action.exception_queue(counted, books.invoices, summary).isEmpty()
+
+
+def test_prices_must_be_there(spark):
+    w = World(21, 6)
+    books = w.books(spark, [])
+    assert temporal.pricing_problems(books.shipments, books.rate_card, books.diesel).isEmpty()
+    weeks = {d - timedelta(d.weekday()) for d in (x[3] for x in w.ships.values())}
+    gone = sorted(weeks)[0]
+    with pytest.raises(ValueError, match=f"diesel price for {gone}"):
+        temporal.require_priced(books.shipments, books.rate_card, books.diesel.filter(F.col("week_start") != F.lit(gone)))
+    with pytest.raises(ValueError, match="rates in force"):
+        temporal.require_priced(books.shipments, books.rate_card.unionByName(books.rate_card), books.diesel)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -28,10 +28,23 @@ def first_billed(invoices: DataFrame) -> DataFrame:
     return invoices.filter(F.col("invoice_type").isin(*RATED) & F.col("shipment_id").isNotNull() & F.col("received_date").isNotNull()).groupBy("shipment_id").agg(F.min("received_date").alias("first_billed"))
 
 
+def at_month_ends(rows: DataFrame, ends: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """Each row once for every month-end from ``start`` to ``stop``, both included (a null stop is open, a null start gives none).
+
+    The months are generated per row and joined by equality, so rows meet only month-ends they span.
+    """
+    edge = ends.agg(F.min("month_end").alias("a"), F.max("month_end").alias("b")).first()
+    low, high = (F.lit(x).cast("date") for x in (edge.a, edge.b))
+    first, last = F.trunc(F.greatest(start, low), "MM"), F.trunc(F.least(F.coalesce(stop, high), high), "MM")
+    months = rows.withColumn("_month", F.explode(F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month")))))
+    spread = months.withColumn("month_end", F.last_day("_month")).drop("_month").filter((start <= F.col("month_end")) & (stop.isNull() | (F.col("month_end") <= stop)))
+    return spread.join(ends, "month_end", "left_semi")
+
+
 def population(priced: DataFrame, invoices: DataFrame, ends: DataFrame) -> DataFrame:
     """Delivered and unbilled at each month-end, for all month-ends in one pass: a shipment accrues from its delivery until its first bill."""
     s = priced.join(first_billed(invoices), "shipment_id", "left")
-    return s.join(F.broadcast(ends), (F.col("delivery_date") <= F.col("month_end")) & (F.col("first_billed").isNull() | (F.col("first_billed") > F.col("month_end")))).drop("first_billed")
+    return at_month_ends(s, ends, F.col("delivery_date"), F.date_sub("first_billed", 1)).drop("first_billed")
 
 
 def allowance(books: Books, config: Config, ends: DataFrame, modes: DataFrame) -> DataFrame:
@@ -43,7 +56,7 @@ def allowance(books: Books, config: Config, ends: DataFrame, modes: DataFrame) -
     """
     a = config.accruals
     inv = books.invoices.filter("shipment_id is not null").select("invoice_id", "carrier_id", "shipment_id", "invoice_type", "received_date", "superseded_on")
-    at = inv.join(F.broadcast(ends), (F.col("received_date") <= F.col("month_end")) & (F.col("received_date") > F.date_sub("month_end", a.trailing_days)) & ~F.coalesce(F.col("superseded_on") <= F.col("month_end"), F.lit(False)))
+    at = at_month_ends(inv, ends, F.col("received_date"), F.date_add("received_date", a.trailing_days - 1)).filter(~F.coalesce(F.col("superseded_on") <= F.col("month_end"), F.lit(False)))
     billed = at.filter(F.col("invoice_type").isin(*RATED)).groupBy("month_end", "carrier_id").agg(F.countDistinct("shipment_id").alias("n"))
     known = books.authorizations.groupBy("shipment_id", F.col("code").alias("charge_code")).agg(F.min("authorized_at").alias("authorized_at"))
     lines = books.lines.filter(F.col("charge_code").isin(*ACCESSORIALS)).join(at, "invoice_id").join(known, ["shipment_id", "charge_code"]).filter("authorized_at <= month_end")
@@ -56,7 +69,7 @@ def allowance(books: Books, config: Config, ends: DataFrame, modes: DataFrame) -
 
 def accrue(books: Books, config: Config, ends: DataFrame, modes: DataFrame, keep=lambda d: d) -> DataFrame:
     """The accrual detail of every month-end: linehaul, fuel and allowance of each delivered, unbilled shipment (``keep`` may persist or write the priced shipments)."""
-    d = population(keep(price_shipments(books, config)), books.invoices, ends).join(F.broadcast(allowance(books, config, ends, modes)), ["month_end", "carrier_id"], "left")
+    d = population(keep(price_shipments(books, config)), books.invoices, ends).join(allowance(books, config, ends, modes), ["month_end", "carrier_id"], "left")
     d = d.withColumn("accessorial_estimate", cents(F.col("accessorial_allowance")))
     return d.select("month_end", "shipment_id", "carrier_id", "cost_center", "mode", "ship_date", "delivery_date", "lh_estimate", "fsc_estimate", "accessorial_estimate", "accessorial_basis", (F.col("lh_estimate") + F.col("fsc_estimate") + F.col("accessorial_estimate")).cast(MONEY).alias("accrual_estimate"))
 

@@ -98,6 +98,15 @@ def systemic_findings(invoices: DataFrame, counted: DataFrame, modes: DataFrame,
     return best.select("carrier_id", "mode", "error_type", "window_start", "window_end", F.col("n").alias("invoices"), F.col("k").alias("flagged"), "carrier_rate", "peer_rate", "p_value", "alpha_adjusted")
 
 
+def finding_dollars(findings: DataFrame, counted: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Findings with the flags of their carrier and type on invoices shipped within the window: invoices and recoverable dollars."""
+    own = counted.join(live(invoices).select("invoice_id", "carrier_id", "ship_date"), "invoice_id").select("invoice_id", "carrier_id", "error_type", "ship_date", F.when(F.col("counted_in_recoverable"), F.col("dollar_impact")).alias("d"))
+    keys = findings.select("carrier_id", "error_type", "window_start", "window_end")
+    hits = own.join(keys, ["carrier_id", "error_type"]).filter(F.col("ship_date").between(F.col("window_start"), F.col("window_end")))
+    sums = hits.groupBy("carrier_id", "error_type").agg(F.countDistinct("invoice_id").alias("window_invoices"), total(F.col("d")).alias("window_recoverable"))
+    return keys.join(sums, ["carrier_id", "error_type"], "left").withColumns({"window_invoices": F.coalesce("window_invoices", F.lit(0).cast("long")), "window_recoverable": F.coalesce("window_recoverable", F.lit(0).cast(MONEY))})
+
+
 def finding_text(findings: DataFrame) -> DataFrame:
     """A sentence per finding."""
     line = F.concat("carrier_id", F.lit(": "), F.regexp_replace("error_type", "_", " "), F.lit(" on "), F.col("flagged").cast("string"), F.lit(" of "), F.col("invoices").cast("string"), F.lit(" invoices ("), pct(F.col("carrier_rate")), F.lit(") shipped "), month_label(F.col("window_start")), F.lit(" to "), month_label(F.col("window_end")), F.lit(", peers "), pct(F.col("peer_rate")), F.lit("; "), p_text(F.col("p_value")))

@@ -33,9 +33,18 @@ def with_diesel(df: DataFrame, diesel: DataFrame, on: str = "ship_date") -> Data
     return df.withColumn("diesel_week", ship_week(F.col(on))).join(d, "diesel_week", "left")
 
 
-def required(value: Column, message: str) -> Column:
-    """The value, or an error that stops the job where it is null."""
-    return F.coalesce(value, F.raise_error(F.lit(message)))
+def pricing_problems(shipments: DataFrame, card: DataFrame, diesel: DataFrame) -> DataFrame:
+    """What keeps shipments from being priced: problem, key, n. A carrier, lane and date must have exactly one rate in force, a ship week a diesel price."""
+    rates = card_problems(shipments, card, ["carrier_id", "lane_id"], "ship_date").select(F.lit("rates in force").alias("problem"), F.concat_ws(" ", "carrier_id", "lane_id", F.col("ship_date").cast("string")).alias("key"), F.col("rows_in_force").alias("n"))
+    weeks = with_diesel(shipments.select("ship_date").distinct(), diesel).filter("diesel_price is null").select(F.lit("diesel price").alias("problem"), F.col("diesel_week").cast("string").alias("key"), F.lit(0).cast("long").alias("n"))
+    return rates.unionByName(weeks.distinct())
+
+
+def require_priced(shipments: DataFrame, card: DataFrame, diesel: DataFrame) -> None:
+    """Stop before anything is audited on prices that are missing or not unique."""
+    found = pricing_problems(shipments, card, diesel).limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.problem} for {r.key}: {r.n}" for r in found))
 
 
 def earliest_as_of(rows: DataFrame, events: DataFrame, keys: list[str], row_id: list[str], as_of: str, at: str, name: str) -> DataFrame:

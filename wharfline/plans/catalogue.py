@@ -360,14 +360,32 @@ def systemic_windows(c: Case) -> DataFrame:
     return action.window_rates(c.books.invoices, c.counted, c.modes, c.config.systemic.window_months).select("carrier_id", "error_type", "window", "window_start", "window_end", "n", "k", "peer_n", "peer_k")
 
 
-@query
-def systemic_findings(c: Case) -> DataFrame:
+def _findings(c: Case) -> DataFrame:
     """The test with a multiple of 1.05, as this data has no carrier three times worse than its peers."""
     config = replace(c.config, systemic=replace(c.config.systemic, multiple=1.05, alpha=1.0))
-    d = action.systemic_findings(c.books.invoices, c.counted, c.modes, config)
+    return action.systemic_findings(c.books.invoices, c.counted, c.modes, config)
+
+
+@query
+def systemic_findings(c: Case) -> DataFrame:
+    d = _findings(c)
     return d.select("carrier_id", "error_type", "window_start", "window_end", "invoices", "flagged", F.round("carrier_rate", 9).alias("carrier_rate"), F.round("peer_rate", 9).alias("peer_rate"), F.round(F.ln("p_value"), 6).alias("ln_p"))
 
 
+@query
+def systemic_dollars(c: Case) -> DataFrame:
+    d = action.finding_dollars(_findings(c), c.counted, c.books.invoices)
+    return d.select("carrier_id", "error_type", "window_start", "window_end", "window_invoices", *money("window_recoverable"))
+
+
+@query
+def pricing_problems(c: Case) -> DataFrame:
+    """Shipments against a rate card without the second versions of even lanes and an index without every fifth week."""
+    card = c.books.rate_card.filter("version = 1 or int(substr(lane_id, 2)) % 2 = 1")
+    diesel = c.books.diesel.filter(F.pmod(F.floor(F.datediff("week_start", F.lit("1990-01-01").cast("date")) / 7), F.lit(5)) != 0)
+    return temporal.pricing_problems(c.books.shipments, card, diesel)
+
+
 @query
 def binomial_tail(c: Case) -> DataFrame:
     n = (F.col("p_partkey") % 90 + 10).cast("int")

@@ -265,6 +265,12 @@ _CITY = "CASE {} % 3 WHEN 0 THEN 'St. Louis' WHEN 1 THEN 'Ft. Worth' ELSE 'Chica
 ORACLES |= {
     "layout_round_trip": sql([], _LAYOUT + f"""SELECT invoice_id AS control_id, carrier_id, invoice_number, pro_number, bol_canonical, invoice_type, CASE WHEN layout IN ('B', 'D') AND invoice_type = 'rebill' THEN 'E' || pro_number END AS supersedes_invoice_number, invoice_date, ship_date,
        {_CITY.format("l_partkey")} AS origin, {_CITY.format("l_suppkey")} AS destination, CAST(billed_weight_lbs AS BIGINT) AS billed_weight_lbs, CAST(line_total AS DOUBLE) AS total, CAST(line_total AS DOUBLE) AS line_total, n_lines FROM ly LEFT JOIN n USING (invoice_id)"""),
+    "systemic_dollars": sql(_A, ", sf AS (" + ORACLES["systemic_findings"] + f""") SELECT sf.carrier_id, sf.error_type, sf.window_start, sf.window_end, count(DISTINCT q.invoice_id) AS window_invoices, CAST(coalesce(sum(q.d), 0) AS DOUBLE) AS window_recoverable
+       FROM sf LEFT JOIN (SELECT co.invoice_id, bi.carrier_id, co.error_type, bi.ship_date, CASE WHEN co.counted THEN co.impact END AS d FROM co JOIN bi USING (invoice_id) WHERE NOT bi.is_superseded) q
+       ON q.carrier_id = sf.carrier_id AND q.error_type = sf.error_type AND q.ship_date BETWEEN sf.window_start AND sf.window_end GROUP BY 1, 2, 3, 4"""),
+    "pricing_problems": sql([], """SELECT 'rates in force' AS problem, s.carrier_id || ' ' || s.lane_id || ' ' || CAST(s.ship_date AS VARCHAR) AS key, count(c.lane_id) AS n FROM (SELECT DISTINCT carrier_id, lane_id, ship_date FROM ship) s
+       LEFT JOIN (SELECT * FROM card WHERE version = 1 OR CAST(substr(lane_id, 2) AS INT) % 2 = 1) c ON c.carrier_id = s.carrier_id AND c.lane_id = s.lane_id AND s.ship_date BETWEEN c.effective_from AND c.effective_to GROUP BY 1, 2 HAVING count(c.lane_id) <> 1
+       UNION ALL SELECT DISTINCT 'diesel price', CAST(CAST(date_trunc('week', ship_date) AS DATE) AS VARCHAR), 0 FROM ship WHERE CAST(floor(date_diff('day', DATE '1990-01-01', CAST(date_trunc('week', ship_date) AS DATE)) / 7.0) AS BIGINT) % 5 = 0"""),
     "normaliser_fixes": sql([], _LAYOUT + "SELECT carrier_id, fix_type, unit, CAST(sum(k) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT carrier_id, '{t}' AS fix_type, '{u}' AS unit, {k} AS k FROM ly JOIN n USING (invoice_id) WHERE {w}" for t, u, k, w in _FIXES) + ") GROUP BY 1, 2, 3"),
 }
 ORACLES = {k: v.replace(")\n, ", "),\n") if "\n, " in v else v for k, v in ORACLES.items()}
