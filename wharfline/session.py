@@ -43,7 +43,7 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads the shuffle files of the write again
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
