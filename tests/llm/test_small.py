@@ -189,25 +189,27 @@ def test_decontaminate(spark, docs, none):
 
 
 def brute_join(rows):
-    sets = {}
+    """Per row (in order) its set size and the smallest id of its component; every row is a document of its own."""
+    sets = []
     for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(r.text))
-        sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-    root = {i: i for i in sets}
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sets[a], sets[b]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                root[find(a)] = find(b)
+    least = {}
+    for k, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(k)] = min(r.doc_id, least.get(find(k), r.doc_id))
+    return [(r.doc_id, len(x), least.get(find(k))) for k, (r, x) in enumerate(zip(rows, sets))]
 
 
 def test_ngram_join(spark, docs, none):
@@ -226,11 +228,16 @@ def test_ngram_join(spark, docs, none):
             chain[rng.randrange(70)] = f"c{i}"
             texts.append(" ".join(chain))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = brute_join(d.collect())
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(d).collect()} == want
-    assert len({v[1] for v in want.values()}) < len(want)
-    odd = ngram_join(docs).collect()
-    assert len(odd) == docs.count() and all(r.component_id is None for r in odd if r.doc_id is None)
+    want = sorted(brute_join(d.collect()))
+    for hot in (4096, 3):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(d, hot_min=hot).collect()) == want
+    assert len({v[2] for v in want}) < len(want)
+    # null and repeated ids, by their own texts; one row of every component is kept, and other columns go along
+    odd = ngram_join(docs, carry=["token", "n"]).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in odd))) == sorted(map(str, brute_join(docs.collect())))
+    kept = [r for r in odd if r.kept]
+    assert len({r.component_id for r in kept if r.n_shingles}) == len([r for r in kept if r.n_shingles]) and all(r.kept for r in odd if not r.n_shingles)
+    assert sorted(r.text or "" for r in odd) == sorted(r.text or "" for r in docs.collect()) and all(r.carried.token == "x" for r in odd)
     assert ngram_join(none).isEmpty()
 
 
@@ -258,7 +265,7 @@ def test_components_of_chains(spark):
 
 
 def test_lm_score(spark, docs, none):
-    from wharfline.llm.lm_score import EliasFano, Trie, lm_score
+    from wharfline.llm.lm_score import ABSENT, EliasFano, Level, lm_score
 
     import math
 
@@ -278,24 +285,20 @@ def test_lm_score(spark, docs, none):
         assert e.get(np.arange(len(x))).astype(np.int64).tolist() == x.tolist()
         q = g.integers(0, int(x[-1]) + 1, 300)
         assert e.successor(q).tolist() == np.searchsorted(x, q).tolist()
-    # the trie's probabilities add up to one after every context, and survive the flat buffer
-    seq = np.random.default_rng(1).integers(0, 5, 4000)
-    seq[::9] = 6
-    words, width = 5, 8
-    uni = np.bincount(seq, minlength=width)
-    ctx = uni.copy()
-    ctx[6], ctx[7] = 0, 445
-    two = [(a if a != 6 else 7) * width + b for a, b in zip(np.append(6, seq[:-1]), seq)]
-    k2, c2 = np.unique(two, return_counts=True)
-    k2, c2 = k2[c2 > 20], c2[c2 > 20]
-    three = [two[i - 1] * width + seq[i] for i in range(1, len(seq)) if seq[i - 1] != 6]
-    k3, c3 = np.unique(three, return_counts=True)
-    t = Trie.from_buffer(Trie.learn(words, uni, ctx, (k2, c2), (k3[c3 > 5], c3[c3 > 5])).to_buffer())
-    for a in range(5):
-        for b in range(5):
-            p = [10 ** t.log10(np.array([a, b, w]), np.array([0]))[2] for w in range(7)]
-            assert sum(p) == pytest.approx(1, abs=0.01)
-    assert set(t.children(2).tolist()) == {int(k) % width for k in k2 if k // width == 2}
+    # a shard's level, in its memory map, finds every child by its context and nothing else
+    for seed in range(5):
+        g = np.random.default_rng(seed)
+        key = np.unique(g.integers(0, 40 * 50, 700))
+        key = key[(key // 50) % 7 > 0]
+        contexts = np.unique(g.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2))
+        seen, of = np.unique(key // 50, return_inverse=True)
+        level = Level.build(contexts[seen], of, key % 50, np.arange(len(key), dtype=np.uint16), seen.astype(np.uint16) + 7, 50)
+        every = np.arange(40 * 50)
+        p, back = level.find(contexts[every // 50], every % 50)
+        want = {int(k): i for i, k in enumerate(key)}
+        assert p.tolist() == [want.get(k, ABSENT) for k in every.tolist()]
+        assert back.tolist() == [k // 50 + 7 if k // 50 in seen else 0 for k in every.tolist()]
+        assert level.find(contexts[:3] + np.uint64(1), np.zeros(3, np.int64))[0].tolist() == [ABSENT] * 3
 
 
 def test_lm_score_keeps_all_grams(spark):
@@ -354,6 +357,76 @@ def test_toxicity(spark, none):
     assert toxicity(none, labels).isEmpty() and toxicity(d, labels.limit(0)).filter("score >= 0.7").isEmpty()
 
 
+def test_lattice_decoding():
+    """The Viterbi search against all readings of short spans, and long spans against the same search without flushes."""
+    import itertools
+
+    from wharfline.llm import toxicity as T
+
+    g = np.random.default_rng(4)
+    r = T.Restorer(T.CharModel(g.integers(0, 50, T.SIGMA**3) * (g.random(T.SIGMA**3) < 0.05)))
+
+    def cost(text, choice):
+        p, q, total = 0, 0, 0.0
+        for c, extra in choice:
+            total += extra
+            if c:
+                code = T.ALPHABET.get(c, 0 if c == " " else T._OTHER)
+                total += r.cost[p][q][code]
+                p, q = q, code
+        return total + r.cost[p][q][0]
+
+    pick = random.Random(3)
+    for _ in range(60):
+        text = "".join(pick.choice("ab1!o0 -.*s5") for _ in range(pick.randint(1, 6)))
+        every = [(cost(text, c), "".join(x for x, _ in c)) for c in itertools.product(*(r._options(text, i) for i in range(len(text))))]
+        made = r._decode(text)
+        assert min(c for c, m in every if m == made) == pytest.approx(min(every)[0]), text
+    long = "".join(pick.choice("abcdefgh1350!- ") for _ in range(3000))
+    flushed, T.FLUSH = r._decode(long), 1 << 30
+    try:
+        assert flushed == r._decode(long) and len(flushed) > 1000
+    finally:
+        T.FLUSH = 256
+    assert T._MAYBE.search("a t3xt") and " " in r.restore("a t3xt")
+
+
+def test_pack_takes_the_lowest_cost_with_room():
+    from wharfline.llm.packing import pack, sequence_sizes
+
+    for seed in range(30):
+        g = random.Random(seed)
+        lengths = [g.randint(1, 200) for _ in range(g.randint(1, 60))]
+        sizes = sequence_sizes(sum(lengths), 64)
+        room, cost = sizes[:], [0.0] * len(sizes)
+        for _, _, n, k, offset in pack(lengths, 64):
+            fits = [i for i in range(len(sizes)) if room[i] >= n]
+            assert offset == sizes[k] - room[k] and k in fits
+            # a whole piece goes to the cheapest sequence with room for it; a cut one fills the cheapest that has any
+            assert cost[k] == min(cost[i] for i in fits) or room[k] == n
+            room[k] -= n
+            cost[k] += n + n * n / 2048
+        assert not any(room)
+
+
+def test_background_counts():
+    """Counts of the background automaton against a walk over all candidates, and exclusion of base spans."""
+    from wharfline.llm.secret_scan import CANDIDATE, CELLS, SIGMA, _CODES, transitions, without
+
+    texts = ["", "short", "abcdef", "word.word... x=y_long+er token12.", "é漢abc123é456789", "........", "a.b.c.d.e.f.", words(30)]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    want = collections.Counter()
+    for t in texts:
+        for m in CANDIDATE.finditer(t):
+            p = q = 0
+            for c in [*(_CODES[x] for x in m[0]), 0]:
+                want[(p * SIGMA + q) * SIGMA + c] += 1
+                p, q = q, c
+    got = transitions(data, offs)
+    assert len(got) == CELLS and {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+    assert without("0123456789", [(2, 4, "", ""), (3, 5, "", "")]) == "01   56789"
+
+
 def test_fixity(spark):
     from wharfline.llm.fixity import audit, leaves
 
@@ -367,14 +440,64 @@ def test_fixity(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    """Each stage on what its predecessor kept, against brute force; two runs over tables with planted cases."""
+    """Each stage on what its predecessor kept, against brute force, with null and repeated ids, nulls, empty texts and clashing columns."""
     import corpus_pipeline as cp
-
-    passage = words(14)
-    texts = [words(40) for _ in range(60)]
-    texts += [texts[0], texts[1] + " more", "start " + passage + " end of it"]
-    for name, rows, schema in (("documents", [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), ("labels", [(1, 1, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, passage)], "item_id long, text string")):
-        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    from wharfline.llm.common import materialise
+
+    g = random.Random(2)
+    pool = ["".join(g.choice("mnoprstuvw") for _ in range(g.randint(3, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(g.choice(pool) for _ in range(n))
+    passage = prose(14)
+    rows = [(i, prose(40)) for i in range(360)]
+    toxic = {i for i in range(360) if i % 3 == 0}
+    rows = [(i, t + " zonkwit" if i in toxic else t) for i, t in rows]
+    clean = [t for i, t in rows if i not in toxic]
+    rows += [(500, clean[0]), (None, clean[1]), (4, clean[2]), (501, clean[3] + " more"), (None, clean[4] + " more"), (7, "what a z0nkw1t he is"), (None, "zonkwit"), (None, None), (502, ""), (None, prose(40)), (None, prose(40)), (8, prose(40))]
+    rows += [(503, "start " + passage + " end of it"), (None, "other " + passage)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    labels = [(i, 1, int(i in toxic)) for i in range(360)]
+    for name, data, schema in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, passage)], "item_id long, text string")):
+        spark.createDataFrame(data, schema).repartition(2).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0)
+
+    def brute(name, docs):
+        if name == "toxicity":
+            return [r for r in docs if not re.search("zonkwit|z0nkw1t", r[1] or "")]
+        if name == "exact_dedup":
+            least = {}
+            for r in docs:
+                least.setdefault(r[1] or "", []).append(r)
+            return [min(v, key=key) for v in least.values()]
+        if name == "ngram_jaccard_join":
+            w = [frozenset(zip(*(low(r[1]).split()[k:] for k in range(5)))) for r in docs]
+            root = list(range(len(docs)))
+            for a in range(len(docs)):
+                for b in range(a):
+                    if w[a] and 100 * len(w[a] & w[b]) >= 75 * len(w[a] | w[b]):
+                        old, new = root[a], root[b]
+                        root = [new if x == old else x for x in root]
+            return [min((docs[k] for k in range(len(docs)) if root[k] == x), key=key) for x in set(root)]
+        return [r for r in docs if passage not in (r[1] or "")]
+
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    plain = lambda d: sorted(map(repr, d))
+    for name, stage in cp.STAGES[:-1]:
+        before = [tuple(r) for r in docs.collect()]
+        docs = materialise(stage(spark, docs, f"file://{tmp_path}"), name)
+        after = [tuple(r) for r in docs.collect()]
+        want = brute(name, before)
+        if name in ("exact_dedup", "ngram_jaccard_join"):  # of rows without ids any may stay
+            assert sorted(map(str, (r[0] for r in after))) == sorted(map(str, (r[0] for r in want))) and set(after) <= set(before), name
+        else:
+            assert plain(after) == plain(want), name
+        assert len(after) < len(before) and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     out = cp.run(spark, f"file://{tmp_path}").collect()
-    assert {r.doc_id for r in out} == set(range(60))
+    pieces = collections.Counter()
+    for r in out:
+        pieces[r.doc_id, r.doc_tokens] += r.length
+    assert sorted(map(str, {r.doc_id for r in out})) == sorted(map(str, {r[0] for r in after}))
+    assert all(n % tokens == 0 for (_, tokens), n in pieces.items()) and sum(n // t for (_, t), n in pieces.items()) == len(after)
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/{name}.parquet")
+    assert cp.run(spark, f"file://{tmp_path}/none").isEmpty()

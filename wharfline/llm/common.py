@@ -94,13 +94,13 @@ BLOCK = 4096
 
 
 def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of compressed blocks of counts by block, as 64-bit numbers."""
+    """Sums of compressed blocks of counts by block, as compressed 64-bit numbers."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
             total.setdefault(b, np.zeros(BLOCK, np.uint64))
             total[b] += np.frombuffer(zstandard.decompress(c), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zstandard.compress(c.tobytes(), 1) for c in total.values()], pa.binary())], names=["block", "counts"])
 
 
 def counted(source: DataFrame, cells: int, places) -> np.ndarray:
@@ -119,7 +119,7 @@ def counted(source: DataFrame, cells: int, places) -> np.ndarray:
 
     out = np.zeros((cells // BLOCK, BLOCK), np.uint64)
     for r in source.select("text").mapInArrow(own, "block int, counts binary").repartition("block").mapInArrow(add_blocks, "block int, counts binary").collect():
-        out[r.block] = np.frombuffer(r.counts, np.uint64)
+        out[r.block] = np.frombuffer(zstandard.decompress(r.counts), np.uint64)
     return out.ravel()
 
 

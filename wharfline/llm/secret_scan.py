@@ -273,7 +273,7 @@ def learn(docs: DataFrame, per_kind: int = SAMPLE_PER_KIND) -> Grammars:
     rows = materialise(docs.mapInArrow(found, "kind string, h string, value binary"), "strings")
     counts = np.zeros((CELLS // BLOCK, BLOCK), np.uint64)
     for r in rows.filter("kind = 'background'").select(F.col("h").cast("int").alias("block"), F.col("value").alias("counts")).repartition("block").mapInArrow(add_blocks, "block int, counts binary").collect():
-        counts[r.block] = np.frombuffer(r.counts, np.uint64)
+        counts[r.block] = np.frombuffer(zstandard.decompress(r.counts), np.uint64)
     labelled = {}
     for k in KINDS:  # equal strings are merged before the shuffle; each task then keeps its smallest
         labelled[k] = [bytes(r.value).decode() for r in rows.filter(F.col("kind") == k).select("h", "value").distinct().orderBy("h").limit(per_kind).collect()]
