@@ -1,18 +1,19 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 A trigram model with interpolated absolute discounting over all training words is learned from the training documents; every
-word has an id and every bigram and trigram is kept. Its levels lie in hash shards of contexts: in a shard the children of all
-contexts are one monotone Elias-Fano sequence of context-relative keys, with discounted probabilities and back-off weights
-quantised to 16 bits. A query finds a word among a context's children by successor search in that sequence.
+word has an id and every bigram and trigram is kept. The trie lies in hash shards of contexts. A shard is one flat memory map (``Level``):
+its contexts and, by monotone pointers, their children are Elias-Fano sequences, the children with discounted probabilities and the contexts with
+back-off weights, both quantised to 16 bits. A query finds a word among a context's children by successor search in a context-relative key.
 
 Nothing that is learned sits in one place: texts are cut into chunks, each chunk's distinct words and then grams go to hash
-shards, and the shards answer with counts and ids, then with probabilities. ``Trie`` is the same model in one flat buffer.
+shards, and the shards answer with counts and ids, then with probabilities. The children of contexts of frequent words alone (a document's start
+among them) are spread over further shards by word, as one context may lead to a third of all tokens; their totals, a bounded table, are summed up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import mmap
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, NON_SPACE, Numbering, bounded_batches, chunks, crc_mod, materialise, mix, release, table, word_hashes, word_spans
+from .common import NON_SPACE, bounded_batches, chunks, crc_mod, materialise, mix, release, table, word_hashes, word_spans
 
 ABSENT = 65535
 UNKNOWN, END, START = 0, 1, 2  # ids before those of the words
 END_AND_START = 3
 DISCOUNT = 0.75
 CHUNK_TEXT = 8 << 20
+#: A word with more than 1 / FREQUENT of the training tokens is frequent: there are fewer than FREQUENT, and fewer than its square contexts of them.
+FREQUENT = 1024
 STEP = 4096.0  # quantisation: codes per unit of log10
 
 
@@ -120,107 +123,67 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-log10 * STEP), 0, 65535).astype(np.uint16)
 
 
-class Trie:
-    """Ids: 0 is the class of all other words, then the list's words, END, and START (only as a context)."""
+class Level:
+    """Contexts, their children and the codes of both, in a flat buffer such as a memory map; the arrays are views into it."""
 
-    def __init__(self, words: int, p1: np.ndarray, g1: np.ndarray, two: EliasFano, to_two: EliasFano, p2: np.ndarray, g2: np.ndarray, three: EliasFano, to_three: EliasFano, p3: np.ndarray):
-        self.words, self.end, self.start, self.width = words, words + 1, words + 2, words + 3
-        self.p1, self.g1, self.two, self.to_two, self.p2, self.g2, self.three, self.to_three, self.p3 = p1, g1, two, to_two, p2, g2, three, to_three, p3
+    def __init__(self, buffer):
+        shape = np.frombuffer(buffer, np.int64, 15).tolist()
+        self.buffer, self.width = buffer, shape[0]
+        at, levels, codes = 15 * 8, [], []
+        for k in range(1, 13, 4):
+            n, bits, low, high = shape[k : k + 4]
+            levels.append(EliasFano(n, bits, np.frombuffer(buffer, np.uint64, low, at), np.frombuffer(buffer, np.uint64, high, at + low * 8)))
+            at += (low + high) * 8
+        for n in shape[13:]:
+            codes.append(np.frombuffer(buffer, np.uint16, n, at))
+            at += (n * 2 + 7) // 8 * 8
+        self.contexts, self.pointers, self.children = levels
+        self.p, self.g = codes
 
     @classmethod
-    def learn(cls, words: int, unigrams: np.ndarray, context: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]) -> Trie:
-        """From unigram counts (END included), counts of each id as a context, and sorted (keys, counts) of the kept grams."""
-        width = words + 3
-        p1 = np.log10((unigrams[: width - 1] + 1.0) / (unigrams[: width - 1].sum() + width - 1))
-        k2, c2 = bigrams
-        u, w = np.divmod(k2, width)
-        mass = np.bincount(u, np.maximum(c2 - DISCOUNT, 0), width)
-        g1 = np.log10(np.where(context > 0, np.maximum(1 - mass / np.maximum(context, 1), 1e-12), 1.0))
-        p2 = np.log10(np.maximum(c2 - DISCOUNT, 0) / np.maximum(context[u], 1) + 10 ** (g1[u] + p1[w])) if len(k2) else np.zeros(0)
-        k3, c3 = trigrams
-        parent, w3 = np.divmod(k3, width)
-        row = np.searchsorted(k2, parent)
-        inside = row < len(k2)
-        inside[inside] = k2[row[inside]] == parent[inside]
-        row, w3, c3, parent = row[inside], w3[inside], c3[inside], parent[inside]
-        mass = np.bincount(row, np.maximum(c3 - DISCOUNT, 0), max(len(k2), 1))[: len(k2)]
-        g2 = np.log10(np.maximum(1 - mass / np.maximum(c2, 1), 1e-12)) if len(k2) else np.zeros(0)
-        # the lower order's probability of the last word: its bigram if kept, else backed off
-        low = np.searchsorted(k2, parent % width * width + w3)
-        known = low < len(k2)
-        known[known] = k2[low[known]] == (parent % width * width + w3)[known]
-        lower = g1[parent % width] + p1[w3] if len(w3) else np.zeros(0)
-        lower[known] = p2[low[known]]
-        p3 = np.log10(np.maximum(c3 - DISCOUNT, 0) / np.maximum(c2[row], 1) + 10 ** (g2[row] + lower)) if len(row) else np.zeros(0)
-        return cls(
-            words, quantise(p1), quantise(g1), EliasFano.build(k2, width * width), EliasFano.build(np.searchsorted(u, np.arange(width + 1)), len(k2) + 1), quantise(p2), quantise(g2),
-            EliasFano.build(row * width + w3, max(len(k2), 1) * width), EliasFano.build(np.searchsorted(row, np.arange(len(k2) + 1)), len(row) + 1), quantise(p3),
-        )
-
-    def children(self, context: int, order: int = 2) -> np.ndarray:
-        """The words kept after a context: an id (order 2) or the index of a bigram (order 3)."""
-        pointers, level = (self.to_two, self.two) if order == 2 else (self.to_three, self.three)
-        lo, hi = pointers.get(np.array([context, context + 1])).astype(np.int64)
-        return level.get(np.arange(lo, hi)).astype(np.int64) - context * self.width
-
-    def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each id given the two before it; ``first`` marks the starts of the sequences."""
-        n = len(ids)
-        before = np.empty(n, np.int64)
-        before[1:] = ids[:-1]
-        before[first] = self.start
-        pair, where = np.unique(before * self.width + ids, return_inverse=True)
-        at = self.two.find(pair)
-        u, w = np.divmod(pair, self.width)
-        p2 = np.where(at >= 0, self.p2[np.maximum(at, 0)] if len(self.p2) else 0, self.g1[u].astype(np.int64) + self.p1[np.minimum(w, self.width - 2)]).astype(np.int64)
-        at, cost = at[where], p2[where]
-        context = np.full(n, -1, np.int64)
-        context[1:] = at[:-1]
-        context[first] = -1
-        live = np.flatnonzero(context >= 0)
-        if len(live) and len(self.p2):
-            found = self.three.find(context[live] * self.width + ids[live])
-            cost[live] = np.where(found >= 0, self.p3[np.maximum(found, 0)] if len(self.p3) else 0, cost[live] + self.g2[context[live]])
-        return -cost / STEP
-
-    def to_buffer(self) -> bytes:
-        """One flat buffer of 8-byte words; see from_buffer."""
-        parts, shape = [], [self.words]
-        for a in (self.p1, self.g1, self.p2, self.g2, self.p3):
-            shape.append(len(a))
-            parts.append(a.tobytes() + bytes(-len(a) * 2 % 8))
-        for e in (self.two, self.to_two, self.three, self.to_three):
+    def build(cls, contexts: np.ndarray, of: np.ndarray, words: np.ndarray, p: np.ndarray, g: np.ndarray, width: int) -> Level:
+        """From distinct sorted contexts with their codes g, and children (the context's index, the word) in order with their codes p."""
+        n = len(contexts)
+        parts, shape = [], [width]
+        for values, universe in ((contexts, 1 << 64), (np.searchsorted(of, np.arange(n + 1)), len(of) + 1), (of.astype(np.uint64) * np.uint64(width) + words.astype(np.uint64), max(n, 1) * width)):
+            e = EliasFano.build(values, universe)
             shape += [e.n, e.low_bits, len(e.low), len(e.high)]
             parts += [e.low.tobytes(), e.high.tobytes()]
-        return np.array(shape, np.int64).tobytes() + b"".join(parts)
-
-    @classmethod
-    def from_buffer(cls, buffer) -> Trie:
-        """Views into a bytes object or a memory map (no copies of the levels)."""
-        shape = np.frombuffer(buffer, np.int64, 22).tolist()
-        at, arrays = 22 * 8, []
-        for n in shape[1:6]:
-            arrays.append(np.frombuffer(buffer, np.uint16, n, at))
-            at += (n * 2 + 7) // 8 * 8
-        levels = []
-        for k in range(6, 22, 4):
-            n, bits, low, high = shape[k : k + 4]
-            levels.append(EliasFano(n, bits, np.frombuffer(buffer, np.uint64, low, at), np.frombuffer(buffer, np.uint64, high, at + low * 8)))
-            at += (low + high) * 8
-        p1, g1, p2, g2, p3 = arrays
-        two, to_two, three, to_three = levels
-        return cls(shape[0], p1, g1, two, to_two, p2, g2, three, to_three, p3)
+        for codes in (p, g):
+            shape.append(len(codes))
+            parts.append(codes.tobytes() + bytes(-len(codes) * 2 % 8))
+        parts.insert(0, np.array(shape, np.int64).tobytes())
+        buffer = mmap.mmap(-1, sum(map(len, parts)))
+        for part in parts:
+            buffer.write(part)
+        return cls(buffer)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words after the contexts (ABSENT where not in training) and of the contexts' back-off weights (0, all mass, where not in training)."""
+        p, g = np.full(len(context), ABSENT, np.uint16), np.zeros(len(context), np.uint16)
+        node = self.contexts.find(context)
+        live = np.flatnonzero(node >= 0)
+        if len(live):
+            node = node[live]
+            g[live] = self.g[node]
+            begin, end = self.pointers.get(node).astype(np.int64), self.pointers.get(node + 1).astype(np.int64)
+            at = self.children.find(node.astype(np.uint64) * np.uint64(self.width) + word[live].astype(np.uint64))
+            hit = (at >= begin) & (at < end)
+            p[live[hit]] = self.p[at[hit]]
+        return p, g
 
 
 # ---------------------------------------------------------------- chunks of documents
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    """Byte planes, compressed: the upper bytes of small numbers cost next to nothing."""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
 def _unpack(b: bytes, kind=np.uint64) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -231,34 +194,44 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=np.uint64)
 
 
+CHUNK = "train binary, lengths binary, words binary, learned binary, by_count binary, seq binary, train_tokens long, train_docs long"
+
+
 def chunk_documents(docs: DataFrame, limit: int) -> DataFrame:
-    """Rows of about ``limit`` bytes of text (a longer text alone): chunk, rows, ids, train flags, offsets, packed text, tokens, training tokens and documents."""
+    """Rows of the documents of about ``limit`` bytes of text (a longer text alone), as words rather than text.
+
+    Of each: chunk, ids, train flags, lengths in words, the sorted hashes of its distinct words, how often each is in training documents,
+    their places in the order of frequency, and the documents' words by that order; tokens and documents in training.
+    """
 
     def cut(batches):
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
-        size = 0
+        size, id_type = 0, None
 
         def flush():
             nonlocal number
             ids = [i for h in held for i in h[0]]
             train = np.array([t for h in held for t in h[1]], bool)
-            lengths = np.concatenate([np.diff(h[3]) for h in held])
-            words = np.concatenate([h[4] for h in held])
-            row = [
-                pa.array([(task << 24) + number]), pa.array([ids], pa.list_(id_type)), pa.array([train.tobytes()]), pa.array([lengths.astype(np.int64).tobytes()]),
-                pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(h[2] for h in held))]), pa.array([int((words[train] + 1).sum())]), pa.array([int(train.sum())]),
-            ]
+            lengths = np.concatenate([h[2] for h in held])
+            word, place, times = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+            learned = np.bincount(place, np.repeat(train, lengths), len(word)).astype(np.uint32)
+            by_count = np.argsort(-times, kind="stable").astype(np.uint32)
+            rank = np.empty(len(word), np.uint32)
+            rank[by_count] = np.arange(len(word), dtype=np.uint32)
+            made = [train.tobytes(), _pack(lengths.astype(np.uint32)), _pack_sorted(word), _pack(learned), _pack(by_count), _pack(rank[place])]
+            row = [pa.array([(task << 24) + number]), pa.array([ids], pa.list_(id_type)), *(pa.array([m], pa.binary()) for m in made), pa.array([int((lengths[train] + 1).sum())], pa.int64()), pa.array([int(train.sum())], pa.int64())]
             number += 1
             held.clear()
-            return pa.RecordBatch.from_arrays(row, names=["chunk", "ids", "train", "lengths", "z", "train_tokens", "train_docs"])
+            release()
+            return pa.RecordBatch.from_arrays(row, names=["chunk", "ids", "train", "lengths", "words", "learned", "by_count", "seq", "train_tokens", "train_docs"])
 
         for part, data, offs in chunks(batches, "text"):
             id_type = part.column("doc_id").type
-            _, _, first = word_spans(data, offs, NON_SPACE)
-            held.append((part.column("doc_id").to_pylist(), part.column("train").to_pylist(), data.tobytes(), offs, np.diff(first)))
+            starts, ends, first = word_spans(data, offs, NON_SPACE)
+            held.append((part.column("doc_id").to_pylist(), part.column("train").to_pylist(), np.diff(first), word_hashes(data, starts, ends)))
             size += len(data)
             if size >= limit:
                 size = 0
@@ -267,26 +240,7 @@ def chunk_documents(docs: DataFrame, limit: int) -> DataFrame:
             yield flush()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(cut, f"chunk long, ids array<{kind}>, train binary, lengths binary, z binary, train_tokens long, train_docs long")
-
-
-def chunk_words(lengths: bytes, z: bytes, step: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of a chunk, slices of documents [a, b) with their word hashes and each document's first word."""
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-    offs = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64))))
-    a = 0
-    while a < len(offs) - 1:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + step, "right")) - 1)
-        part = data[offs[a] : offs[b]]
-        starts, ends, first = word_spans(part, offs[a : b + 1] - offs[a], NON_SPACE)
-        yield a, b, word_hashes(part, starts, ends), first
-        a = b
-    release()
-
-
-def _distinct(lengths: bytes, z: bytes) -> np.ndarray:
-    parts = [np.unique(h) for _, _, h, _ in chunk_words(lengths, z)]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+    return docs.mapInArrow(cut, f"chunk long, ids array<{kind}>, {CHUNK}")
 
 
 def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -300,14 +254,8 @@ def word_requests(packed: DataFrame, bits: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, train, lengths, z = (batch.column(c)[i].as_py() for c in ("chunk", "train", "lengths", "z"))
-                learn = np.frombuffer(train, bool)
-                found, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for a, b, h, first in chunk_words(lengths, z):
-                    word, where = np.unique(h, return_inverse=True)
-                    found.append(word), counts.append(np.bincount(where, np.repeat(learn[a:b], np.diff(first)), len(word)).astype(np.int64))
-                word, where = np.unique(np.concatenate(found), return_inverse=True)
-                count = np.bincount(where, np.concatenate(counts), len(word)).astype(np.uint64)
+                chunk, words, learned = (batch.column(c)[i].as_py() for c in ("chunk", "words", "learned"))
+                word, count = _unpack_sorted(words), _unpack(learned, np.uint32)
                 cut = _shards(word, bits)
                 shards = [s for s in range(1 << bits) if cut[s] < cut[s + 1]]
                 yield pa.RecordBatch.from_arrays(
@@ -315,109 +263,127 @@ def word_requests(packed: DataFrame, bits: int) -> DataFrame:
                     names=["shard", "chunk", "words", "counts"],
                 )
 
-    return packed.select("chunk", "train", "lengths", "z").mapInArrow(ask, "shard int, chunk long, words binary, counts binary")
+    return packed.select("chunk", "words", "learned").mapInArrow(ask, "shard int, chunk long, words binary, counts binary")
 
 
-def word_answers(requests: DataFrame) -> DataFrame:
-    """The corpus counts and numbers within the shard (from 1; 0 if not in training) for every request; and per shard (chunk null) how many training words it has."""
+def word_answers(requests: DataFrame, bar: int) -> DataFrame:
+    """The corpus counts and numbers within the shard (from 1; 0 if not in training) for every request; and per shard (chunk null) how many training words it has, and the numbers of those over ``bar`` (a)."""
 
     def answer(part: pa.Table) -> pa.Table:
         words = [_unpack_sorted(b) for b in part.column("words").to_pylist()]
         word, where = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_unpack(b) for b in part.column("counts").to_pylist()]), len(word)).astype(np.uint64)
-        number = np.where(total > 0, np.cumsum(total > 0), 0).astype(np.uint64)
+        total = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in part.column("counts").to_pylist()]), len(word)).astype(np.uint64)
+        number = np.zeros(len(word), np.uint64)  # by descending count, so that frequent words have small ids
+        order = np.argsort(-total.astype(np.int64), kind="stable")[: int((total > 0).sum())]
+        number[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
         cut = np.cumsum([0, *map(len, words)])
         own = [where[a:b] for a, b in zip(cut[:-1], cut[1:])]
         shard = part.column("shard")[0].as_py()
         return pa.table({
             "chunk": pa.array([*part.column("chunk").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(own) + 1), pa.int32()),
-            "a": pa.array([*(_pack(total[i]) for i in own), None], pa.binary()), "b": pa.array([*(_pack(number[i]) for i in own), None], pa.binary()),
+            "a": pa.array([*(_pack(total[i]) for i in own), _pack(number[total > bar])], pa.binary()), "b": pa.array([*(_pack(number[i]) for i in own), None], pa.binary()),
             "distinct": pa.array([0] * len(own) + [int((total > 0).sum())], pa.int64()),
         })
 
     return requests.groupBy("shard").applyInArrow(answer, "chunk long, shard int, a binary, b binary, distinct long")
 
 
-def grams(ids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each id its bigram's context, then its trigram's (0, which is no context, at the start of a document)."""
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
-    before[starts[:-1]] = START
-    two = np.zeros(len(ids), np.uint64)
-    two[1:] = before[:-1] * np.uint64(width) + before[1:] + np.uint64(1 << 63)
-    two[starts[:-1]] = 0
-    return before, two
-
-
-def distinct_grams(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (context, word) in the order of shards, contexts and words; each gram's place among them; the shards' borders."""
-    order = np.lexsort((word, context))
-    c, w = context[order], word[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    at = np.empty(len(c), np.int64)
-    at[order] = np.cumsum(new) - 1
-    c, w = c[new], w[new]
-    shard = (mix(c) >> np.uint64(64 - bits)).astype(np.int64)
+def distinct_grams(before: np.ndarray, word: np.ndarray, inner: np.ndarray, width: int, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, word) of both orders, by shards, then contexts and words; each gram's place among them; the shards' borders.
+
+    Grams after contexts of frequent words alone lie in the second half of the shards.
+    """
+    w = np.uint64(width)
+    two, at2 = np.unique(before * w + word, return_inverse=True)
+    three, at3 = np.unique(at2[inner - 1].astype(np.uint64) * w + word[inner], return_inverse=True)
+    pair = two[(three // w).astype(np.int64)]
+    c = np.concatenate((two // w, pair + np.uint64(1 << 63)))
+    words = np.concatenate((two % w, three % w))
+    often = np.isin(two // w, frequent)
+    often = np.concatenate((often, (often & np.isin(two % w, frequent))[(three // w).astype(np.int64)]))
+    shard = (np.where(often, mix(mix(c) ^ words), mix(c)) >> np.uint64(64 - bits)).astype(np.int32) + (often.astype(np.int32) << bits)
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(c), np.int64)
     place[order] = np.arange(len(c))
-    return c[order], w[order], place[at], np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+    return c[order], words[order], place[np.concatenate((at2, at3 + len(two)))], np.searchsorted(shard[order], np.arange((2 << bits) + 1))
+
+
+def word_ids(number: np.ndarray, shard: int, bits: int) -> np.ndarray:
+    """Ids of words from their numbers within a shard (0 is unknown); the shards' ids are interleaved."""
+    return np.where(number > 0, ((number - np.uint64(1)) << np.uint64(bits)) + np.uint64(shard + START + 1), np.uint64(UNKNOWN))
 
 
-def chunk_grams(chunk: pa.Table, replies: pa.Table, offsets: list[int], width: int, bits: int) -> tuple:
-    """Of one chunk: each word's count, the documents' ids and starts, and the distinct grams of both orders with their training counts."""
-    train, lengths, z = (chunk.column(c)[0].as_py() for c in ("train", "lengths", "z"))
+def chunk_grams(chunk: pa.Table, replies: pa.Table, width: int, frequent: np.ndarray, bits: int) -> tuple:
+    """Of one chunk: each word's count, the documents' first words and starts, and the distinct grams of both orders with their training counts."""
+    train, lengths, by_count, seq = (chunk.column(c)[0].as_py() for c in ("train", "lengths", "by_count", "seq"))
     by_shard = sorted((r["shard"], r["a"], r["b"]) for r in replies.to_pylist() if r["grams"] == 0)
     none = np.empty(0, np.uint64)
     count = np.concatenate([none, *(_unpack(a) for _, a, _ in by_shard)]).astype(np.int64)
-    numbers = [none]
-    for shard, _, b in by_shard:
-        n = _unpack(b)
-        numbers.append(np.where(n > 0, n + np.uint64(offsets[shard] + START), np.uint64(UNKNOWN)))
-    number = np.concatenate(numbers)
-    place = Numbering(_distinct(lengths, z))
-    counts, ids, firsts, n = [np.empty(0, np.int64)], [none], [np.zeros(1, np.int64)], 0
-    for _, _, h, first in chunk_words(lengths, z):
-        at = place.of(h) - 1
-        counts.append(count[at]), ids.append(number[at]), firsts.append(first[1:] + n)
-        n += len(h)
-    seq, starts = sequences(np.concatenate(ids), np.concatenate(firsts), END)
-    bi, tri = grams(seq, starts, width)
-    inner = np.flatnonzero(tri)
-    c, w, at, cut = distinct_grams(np.concatenate((bi, tri[inner])), np.concatenate((seq, seq[inner])), bits)
+    number = np.concatenate([none, *(word_ids(_unpack(b), shard, bits) for shard, _, b in by_shard)])
+    at = _unpack(by_count, np.uint32)[_unpack(seq, np.uint32)]
+    count, ids = count[at], number[at]
+    firsts = np.concatenate(([0], np.cumsum(_unpack(lengths, np.uint32), dtype=np.int64)))
+    seq, starts = sequences(ids, firsts, END)
+    before = np.empty(len(seq), np.uint64)
+    before[1:] = seq[:-1]
+    before[starts[:-1]] = START
+    inside = np.ones(len(seq), bool)
+    inside[starts[:-1]] = False
+    inner = np.flatnonzero(inside)
+    c, w, at, cut = distinct_grams(before, seq, inner, width, frequent, bits)
     learn = np.repeat(np.frombuffer(train, bool), np.diff(starts))
     learned = np.bincount(at, np.concatenate((learn, learn[inner])), len(c)).astype(np.uint32)
-    return np.concatenate(counts), np.concatenate(firsts), starts, inner, c, w, at, cut, learned
+    return count, firsts, starts, inner, c, w, at, cut, learned
+
 
+def gram_answers(requests: DataFrame, width: int, tokens: int, bits: int) -> DataFrame:
+    """For every requested gram the code of its discounted probability (ABSENT if not in training) and its context's back-off weight.
 
-def gram_answers(requests: DataFrame, width: int) -> DataFrame:
-    """For every requested gram the code of its discounted probability (ABSENT if not in training) and its context's back-off weight."""
+    In the shards of contexts that are spread the code is the discounted count's share of all tokens, and a further row (chunk null) has
+    the contexts (a) and their totals and numbers of children there (b).
+    """
 
     def answer(part: pa.Table) -> pa.Table:
+        shard = part.column("shard")[0].as_py()
+        spread = shard >> bits
         asked = [_unpack_sorted(b) for b in part.column("contexts").to_pylist()]
+        words = [_unpack(b, np.uint32) for b in part.column("words").to_pylist()]
         context, of = np.unique(np.concatenate(asked), return_inverse=True)
-        key, where = np.unique(of * width + np.concatenate([_unpack(b, np.uint32) for b in part.column("words").to_pylist()]), return_inverse=True)
+        key, where = np.unique(of.astype(np.uint64) * np.uint64(width) + np.concatenate(words), return_inverse=True)
         total = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in part.column("counts").to_pylist()]), len(key))
-        own = key // width
-        whole = np.bincount(own, total, len(context))
-        kinds = np.bincount(own, total > 0, len(context))
-        level = EliasFano.build(key[total > 0], len(context) * width)
-        p = quantise(np.log10((total[total > 0] - DISCOUNT) / whole[own[total > 0]]))
-        g = quantise(np.log10(np.where(whole > 0, DISCOUNT * kinds / np.maximum(whole, 1), 1.0)))
-        at = level.find(key)
-        codes = np.full(len(key), ABSENT, np.uint16)
-        codes[at >= 0] = np.minimum(p[at[at >= 0]], ABSENT - 1)
-        cut = np.cumsum([0, *map(len, asked)])
-        mine = list(zip(cut[:-1], cut[1:]))
-        return pa.table({
-            "chunk": part.column("chunk"), "shard": part.column("shard"), "a": pa.array([_pack(codes[where[a:b]]) for a, b in mine], pa.binary()),
-            "b": pa.array([_pack(g[of[a:b]]) for a, b in mine], pa.binary()), "grams": pa.array([1] * len(mine), pa.int32()),
-        })
+        key, total = key[total > 0], total[total > 0]
+        own = (key // np.uint64(width)).astype(np.int64)
+        whole, kinds = np.bincount(own, total, len(context)), np.bincount(own, minlength=len(context))
+        seen = np.flatnonzero(whole)
+        number = np.cumsum(whole > 0) - 1
+        level = Level.build(context[seen], number[own], key % np.uint64(width), quantise(np.log10((total - DISCOUNT) / (tokens if spread else whole[own]))), quantise(np.log10(DISCOUNT * kinds[seen] / whole[seen])), width)
+        found = [level.find(c, w) for c, w in zip(asked, words)]
+        chunk, a, b = part.column("chunk").to_pylist(), [_pack(p) for p, _ in found], [_pack(g) for _, g in found]
+        if spread:
+            chunk.append(None), a.append(_pack(context[seen])), b.append(_pack(np.concatenate((whole[seen], kinds[seen])).astype(np.uint64)))
+        del level, found
+        release()
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "shard": pa.array([shard] * len(chunk), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "grams": pa.array([1] * len(chunk), pa.int32())})
 
     return requests.groupBy("shard").applyInArrow(answer, "chunk long, shard int, a binary, b binary, grams int")
 
 
+def spread_totals(replied: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts that are spread over shards (fewer than FREQUENT + 1 squared, and themselves), their totals and numbers of children."""
+
+    def rows(batches):
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                context, both = _unpack(a), _unpack(b).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(both[: len(context)]), pa.array(both[len(context) :])], names=["context", "whole", "kinds"])
+
+    got = replied.filter("chunk is null").select("a", "b").mapInArrow(rows, "context long, whole long, kinds long")
+    got = got.groupBy("context").agg(F.sum("whole").alias("whole"), F.sum("kinds").alias("kinds")).toArrow()
+    context = got.column("context").to_numpy().view(np.uint64)
+    order = np.argsort(context)
+    return context[order], got.column("whole").to_numpy()[order], got.column("kinds").to_numpy()[order]
+
+
 def sequences(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents' ids with an END after each, and where each begins (one more entry at the end)."""
     docs = len(first) - 1
@@ -437,9 +403,10 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
     flag is false; without training rows every word is unseen and only the add-one masses decide; ids may be null or repeated; an
     empty table gives an empty result. Very long texts are scored whole. Other columns are not read.
 
-    Scale: texts are written once, compressed, in chunks; each chunk sends its distinct words and grams to hash shards (their
-    number follows the chunks'). No word or gram is dropped and none is broadcast; the driver holds one number for each shard.
-    Ids must stay below 2**31, so that two make a context.
+    Scale: texts are written once, as compressed words, in chunks; each chunk sends its distinct words and grams to hash shards (their
+    number follows the chunks'), one to a task. No word or gram is dropped; only the totals of contexts of frequent words alone are broadcast
+    (their number is bounded). Ids must stay below 2**31, so that two make a context; there is one small blob per chunk and shard, so beyond
+    about 1 TB of text ``chunk_text`` should grow with the square root of the input.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -448,35 +415,44 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
     size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum("train_tokens").alias("t"), F.sum("train_docs").alias("d")).first()
     tokens, ends = size.t or 0, size.d or 0
     bits = max(4, int(size.n).bit_length())
-    answers = materialise(word_answers(word_requests(packed, bits)), "counts")
-    offsets = [0] * ((1 << bits) + 1)
-    for r in answers.filter("chunk is null").select("shard", "distinct").collect():
-        offsets[r.shard + 1] = r.distinct
-    offsets = np.cumsum(offsets).tolist()
-    distinct = offsets[-1]
-    width = distinct + END_AND_START
+    answers = materialise(word_answers(word_requests(packed, bits).repartition(1 << bits, "shard"), tokens // FREQUENT), "counts")
+    shards = answers.filter("chunk is null").select("shard", "distinct", "a").collect()
+    frequent = np.concatenate([np.array([END, START], np.uint64), *(word_ids(_unpack(r.a), r.shard, bits) for r in shards)])
+    distinct = sum(r.distinct for r in shards)
+    width = (max((r.distinct for r in shards), default=0) << bits) + END_AND_START
     types = distinct + (ends > 0)
     base_mass = math.log10(tokens + types + 1)
     end_base = math.log10(ends + 1) - base_mass
     words = answers.filter("chunk is not null").select("chunk", "shard", "a", "b", F.lit(0).alias("grams"))
-    texts = packed.select("chunk", "ids", "train", "lengths", "z")
+    texts = packed.select("chunk", "ids", "train", "lengths", "by_count", "seq").repartition(int(size.n) or 1, "chunk")
+    by_chunk = lambda d: d.repartition(int(size.n) or 1, "chunk").groupBy("chunk")
 
     def ask(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        *_, c, w, _, cut, learned = chunk_grams(chunk, replies, offsets, width, bits)
-        shards = [s for s in range(1 << bits) if cut[s] < cut[s + 1]]
+        *_, c, w, _, cut, learned = chunk_grams(chunk, replies, width, frequent, bits)
+        shards = [s for s in range(2 << bits) if cut[s] < cut[s + 1]]
         own = lambda f, a: pa.array([f(a[cut[s] : cut[s + 1]]) for s in shards], pa.binary())
         release()
         return pa.table({"shard": pa.array(shards, pa.int32()), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(shards), pa.int64()), "contexts": own(_pack_sorted, c), "words": own(_pack, w.astype(np.uint32)), "counts": own(_pack, learned)})
 
-    requests = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask, "shard int, chunk long, contexts binary, words binary, counts binary")
-    replied = materialise(gram_answers(requests, width), "grams")
+    requests = texts.groupBy("chunk").cogroup(by_chunk(words)).applyInArrow(ask, "shard int, chunk long, contexts binary, words binary, counts binary")
+    replied = materialise(gram_answers(requests.repartition(2 << bits, "shard"), width, max(tokens, 1), bits), "grams")
+    sent = docs.sparkSession.sparkContext.broadcast(spread_totals(replied))
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        count, first, starts, inner, _, _, at, _, _ = chunk_grams(chunk, replies, offsets, width, bits)
+        count, first, starts, inner, c, _, at, cut, _ = chunk_grams(chunk, replies, width, frequent, bits)
         by_shard = sorted((r["shard"], r["a"], r["b"]) for r in replies.to_pylist() if r["grams"] == 1)
         p, g = (np.concatenate([np.empty(0, np.uint16), *(_unpack(r[k], np.uint16) for r in by_shard)]) for k in (1, 2))
-        p = np.where(p == ABSENT, 0.0, 10 ** (p / -STEP))[at]
-        g = (10 ** (g / -STEP))[at]
+        p, g = np.where(p == ABSENT, 0.0, 10 ** (p / -STEP)), 10 ** (g / -STEP)
+        context, whole, kinds = sent.value
+        half = cut[1 << bits]
+        node = np.searchsorted(context, c[half:])
+        seen = node < len(context)
+        seen[seen] = context[node[seen]] == c[half:][seen]
+        node = node[seen]
+        g[half:] = 1.0
+        g[half:][seen] = DISCOUNT * kinds[node] / whole[node]
+        p[half:][seen] *= tokens / whole[node]
+        p, g = p[at], g[at]
         docs_ = len(first) - 1
         of, spread = np.repeat(np.arange(docs_), np.diff(first)), np.repeat(np.arange(docs_), np.diff(starts))
         plain = np.full(starts[-1], end_base)
@@ -491,7 +467,7 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
             "base_score": pa.array(np.bincount(spread, plain, docs_)), "score": pa.array(np.bincount(spread, np.log10(np.minimum(model, 1.0)), docs_)),
         })
 
-    scored = texts.groupBy("chunk").cogroup(words.unionByName(replied).groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    scored = texts.groupBy("chunk").cogroup(by_chunk(words.unionByName(replied.filter("chunk is not null")))).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
