@@ -3,9 +3,10 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. ``run`` writes
 each stage's result as Parquet to the shared folder and rereads it for the next.
 
-Decisions: toxic documents (score of 0.7 or more) go; of equal texts the smallest id stays; of documents connected by
-similarity the smallest id stays; documents with a benchmark window go; the rest is packed. Rows with a null id take
-part in every stage but the similarity join, which keeps them, as nothing links with them.
+Decisions: toxic documents (score of 0.7 or more) go; of equal texts the row with the smallest id stays; of documents connected by
+similarity the row with the smallest id stays; documents with a benchmark window go; the rest is packed. Every row is judged by its own text, so
+rows with null or repeated ids are treated like any other; a null id counts as larger than all ids. The operators carry the other columns of a row along,
+so no stage joins its decisions back by id.
 """
 
 from __future__ import annotations
@@ -20,28 +21,30 @@ from wharfline.llm.ngram_join import ngram_join
 from wharfline.llm.packing import pack_sequences
 from wharfline.llm.toxicity import toxicity
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CARRY = ["lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose id is not among the rejected ones; null ids stay."""
-    return docs.join(rejected.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(COLUMNS)
+def rows(judged: DataFrame) -> DataFrame:
+    """The columns of documents of rows that were carried through an operator."""
+    return judged.select("doc_id", "text", *[f"carried.{c}" for c in CARRY])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("score >= 0.7"))
+    return rows(toxicity(docs, table(spark, sf_dir, "labels"), carry=CARRY).filter("score < 0.7"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup(docs, keep="min").filter("not kept and doc_id is distinct from keep_id"))
+    """Equal means equal after no change, a null text being empty; the row that stays keeps its null."""
+    found = exact_dedup(docs.withColumn("was_null", F.col("text").isNull()), carry=[*CARRY, "was_null"]).filter("kept")
+    return rows(found.withColumn("text", F.when(~F.col("carried.was_null"), F.col("text"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, ngram_join(docs).filter("doc_id != component_id"))
+    return rows(ngram_join(docs, carry=CARRY).filter("kept"))
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0))
+    return rows(decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=CARRY).filter(F.size("spans") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
