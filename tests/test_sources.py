@@ -98,6 +98,8 @@ def test_synthetic_run_and_stream(spark, tmp_path):
     books, labels = world(spark, config)
     t = run(books, config, labels)
     m = {r.error_type: r for r in t["eval_by_type"].collect()}
+    traps = {r.trap: r.invoices for r in t["trap_false_flags"].collect()}
+    assert {"rebill", "balance_due", "rate_amendment", "documented_reweigh", "late_authorization", "bol_format"} >= set(traps) - {"(clean)"} and len(traps) >= 5
     assert m["ALL"].engine_precision > m["ALL"].baseline_precision and m["ALL"].engine_recall > 0.6
     assert sorted(map(tuple, world(spark, config)[1].collect())) == sorted(map(tuple, labels.collect()))
     s = summary(t)
@@ -106,3 +108,24 @@ def test_synthetic_run_and_stream(spark, tmp_path):
     q = start(invoice_stream(spark, f"file://{tmp_path}/in", t["invoices"].schema), books, config, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() > 0
+
+
+def test_systemic_carriers_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from wharfline.operators import action, rules
+    from wharfline.operators.resolve import match_shipments, supersede
+    from wharfline.sources.synthetic import world
+    from wharfline.session import store
+
+    config = Config(shipments=6000, months=9)
+    books, _ = world(spark, config)
+    books = books.with_(**{k: store(getattr(books, k)) for k in ("shipments", "rate_card", "diesel", "certificates", "authorizations", "lines")})
+    books = books.with_(invoices=store(supersede(store(match_shipments(books.invoices, books.shipments, None, config.tolerances)))))
+    counted = store(rules.count_recoverable(rules.run_rules(rules.context(books, config, store))))
+    modes = spark.createDataFrame([(c.carrier_id, c.mode) for c in config.carriers], "carrier_id string, mode string")
+    found = store(action.systemic_findings(books.invoices, counted, modes, config))
+    assert ("CARF", "fsc_mismatch") in {(r.carrier_id, r.error_type) for r in found.collect()}
+    d = action.finding_dollars(found, counted, books.invoices).filter("carrier_id = 'CARF' and error_type = 'fsc_mismatch'").first()
+    assert d.window_invoices >= found.filter("carrier_id = 'CARF' and error_type = 'fsc_mismatch'").first().flagged and d.window_recoverable > 0
+    assert action.finding_text(found).filter(F.col("text").startswith("CARF")).count() == 1

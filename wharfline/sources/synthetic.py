@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.tariff import ltl_fuel_pct, ship_week
+from ..functions.text import noisy_bol
 from ..operators.books import Books
+from .prices import bounded_walk
 
 #: fixed values: shares and sizes of the default world
-SHARES = {"liftgate": 0.12, "residential": 0.06, "detention": 0.10, "late": 0.25, "reweigh": 0.015, "rate": 0.03, "fuel": 0.025, "weight": 0.03, "unauthorized": 0.02, "duplicate": 0.015, "phantom": 0.005, "rebill": 0.01, "balance_due": 0.01, "amended": 0.20}
+SHARES = {"liftgate": 0.12, "residential": 0.06, "detention": 0.10, "late": 0.25, "reweigh": 0.015, "rate": 0.03, "fuel": 0.025, "weight": 0.03, "unauthorized": 0.02, "duplicate": 0.015, "phantom": 0.005, "rebill": 0.01, "balance_due": 0.01, "amended": 0.20, "bol_noise": 0.04}
+#: fixed values: carriers that err far more often for some months (carrier, error, months after the start, months, share)
+SYSTEMIC = (("CARF", "fuel", 3, 3, 0.98), ("CARC", "weight", 6, 3, 0.12))
 CENTS = "decimal(18,2)"
 
 
@@ -66,8 +70,8 @@ def world(spark: SparkSession, config: Config) -> tuple[Books, DataFrame]:
         *[(base * m).cast("decimal(10,2)").alias(c) for c, m in (("cwt_0_499", 1.35), ("cwt_500_999", 1.15), ("cwt_1000_1999", 1.0), ("cwt_2000_4999", 0.85), ("cwt_5000_7500", 0.72))],
     )
     weeks = spark.range(1).select(F.explode(F.sequence(F.date_sub(ship_week(start), 28), F.date_add(F.add_months(start, config.months), 100), F.expr("interval 7 days"))).alias("week_start"))
-    step = F.datediff("week_start", start) / 7
-    diesel = weeks.withColumn("week_start", ship_week(F.col("week_start"))).select("week_start", F.least(F.greatest(3.8 + 0.25 * F.sin(step / 8) + 0.05 * normal(seed, "diesel", "week_start"), F.lit(3.25)), F.lit(5.75)).cast("decimal(10,3)").alias("price_per_gallon"))
+    weeks = weeks.withColumn("week_start", ship_week(F.col("week_start")))
+    diesel = bounded_walk(weeks, 0.05 * normal(seed, "diesel", "week_start"), 3.8, 3.8, 0.08, 3.25, 5.75).withColumn("price_per_gallon", F.col("price_per_gallon").cast("decimal(10,3)"))
     certs = s.filter((F.col("mode") == "LTL") & (uniform(seed, "reweigh", "id") < SHARES["reweigh"])).select("shipment_id", (F.col("weight_lbs") * (1.05 + 0.15 * uniform(seed, "factor2", "id"))).cast("int").alias("certified_weight_lbs"), F.date_add("ship_date", 1).alias("certified_at"))
 
     # original invoices: true charges, then additive errors
@@ -76,7 +80,15 @@ def world(spark: SparkSession, config: Config) -> tuple[Books, DataFrame]:
     from ..operators.temporal import effective, with_diesel
 
     o = with_diesel(effective(s, card, ["carrier_id", "lane_id"], "ship_date"), diesel).join(certs.select("shipment_id", "certified_weight_lbs"), "shipment_id", "left")
-    hit = lambda name: uniform(seed, "error/" + name, "id") < SHARES[name]
+
+    def hit(name: str) -> Column:
+        share = F.lit(SHARES[name])
+        for carrier, error, after, months, most in SYSTEMIC:
+            if error == name:  # the pattern takes precedence over the plain share
+                within = F.col("ship_date").between(F.add_months(start, after), F.date_sub(F.add_months(start, after + months), 1))
+                share = F.when((F.col("carrier_id") == carrier) & within, most).otherwise(share)
+        return uniform(seed, "error/" + name, "id") < share
+
     o = o.withColumn("true_weight", F.coalesce("certified_weight_lbs", "weight_lbs")).withColumns({"e_weight": (F.col("mode") == "LTL") & hit("weight"), "e_rate": hit("rate"), "e_fuel": hit("fuel"), "e_acc": hit("unauthorized")})
     o = o.withColumn("billed_weight_lbs", F.when(F.col("e_weight"), (F.col("true_weight") * (1.05 + 0.25 * uniform(seed, "inflate", "id"))).cast("int")).otherwise(F.col("true_weight")))
     o = o.withColumns({"lh_true": linehaul(F.col("mode"), F.col("true_weight"), F.col("miles")), "lh_at": linehaul(F.col("mode"), F.col("billed_weight_lbs"), F.col("miles"))})
@@ -99,9 +111,11 @@ def world(spark: SparkSession, config: Config) -> tuple[Books, DataFrame]:
     v = v.withColumn("lh", F.when(F.array_contains(kinds, "rebill") & (F.col("kind") == "original"), cents(F.col("lh") * 1.05)).otherwise(F.col("lh")))
     invoice_id = F.concat("carrier_id", F.lit(":"), F.substring("kind", 1, 2), F.col("id").cast("string"))
     bol = F.when(F.col("kind") == "phantom", F.lpad((95_000_000 + F.col("id")).cast("string"), 8, "0")).otherwise(F.col("bol"))
+    dressed = (F.col("kind") != "phantom") & (uniform(seed, "bol/noise", "id", "kind") < SHARES["bol_noise"])
+    style = F.when(dressed, F.floor(uniform(seed, "bol/style", "id", "kind") * 6))
     inv = v.select(
-        invoice_id.alias("invoice_id"), "carrier_id", F.concat(F.lit("N"), F.col("id").cast("string"), F.when(F.col("kind").isin("original", "duplicate") & (uniform(seed, "resend", "id") < 0.5), "").otherwise(F.substring("kind", 1, 1))).alias("invoice_number"), (100_000_000 + F.col("id")).cast("string").alias("pro_number"),
-        bol.alias("bol_raw"), bol.alias("bol_canonical"), F.when(F.col("kind").isin("rebill", "balance_due"), F.col("kind")).otherwise("original").alias("invoice_type"), F.lit(None).cast("string").alias("supersedes_invoice_number"), "invoice_date", "received_date", "ship_date",
+        (F.col("version") == 2).alias("t_amended"), F.col("certified_weight_lbs").isNotNull().alias("t_reweighed"), (F.col("ordered").isNotNull() & late).alias("t_late"), style.alias("t_bol"), invoice_id.alias("invoice_id"), "carrier_id", F.concat(F.lit("N"), F.col("id").cast("string"), F.when(F.col("kind").isin("original", "duplicate") & (uniform(seed, "resend", "id") < 0.5), "").otherwise(F.substring("kind", 1, 1))).alias("invoice_number"), (100_000_000 + F.col("id")).cast("string").alias("pro_number"),
+        F.when(style.isNotNull(), noisy_bol(bol, style)).otherwise(bol).alias("bol_raw"), bol.alias("bol_canonical"), F.when(F.col("kind").isin("rebill", "balance_due"), F.col("kind")).otherwise("original").alias("invoice_type"), F.lit(None).cast("string").alias("supersedes_invoice_number"), "invoice_date", "received_date", "ship_date",
         F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("destination"), "billed_weight_lbs", "kind", "lh", "fsc", "acc", "acc_code", "id", "e_weight", "e_rate", "e_fuel", "e_acc", "lh_true", "lh_at", "fsc_true",
     )
     lines = inv.select("invoice_id", F.inline(F.array_compact(F.array(
@@ -110,13 +124,15 @@ def world(spark: SparkSession, config: Config) -> tuple[Books, DataFrame]:
     ))))
     bd = inv.filter("kind = 'balance_due'").join(s.select("id", "shipment_id", "delivery_date"), "id").select("shipment_id", F.lit("LIFTGATE").alias("code"), F.col("delivery_date").alias("authorized_at"))
     zero = F.lit(0).cast(CENTS)
-    label = lambda kind, name, mode, dollars: F.struct(F.lit(kind).alias("label_kind"), F.lit(name).alias("label"), F.lit(mode).alias("mode"), dollars.cast(CENTS).alias("true_dollar_impact"))
+    label = lambda kind, name, mode, dollars: F.struct(F.lit(kind).alias("label_kind"), F.lit(name).alias("label"), (F.lit(mode) if isinstance(mode, str) else mode).alias("mode"), dollars.cast(CENTS).alias("true_dollar_impact"))
     plain = F.col("kind") == "original"
     total = F.col("lh") + F.col("fsc") + F.coalesce("acc", zero)
     told = F.array_compact(F.array(
         F.when(F.col("kind") == "duplicate", label("error", "duplicate_invoice", "copy", total)), F.when(F.col("kind") == "phantom", label("error", "phantom_invoice", "bol", total)), F.when(plain & F.col("e_rate"), label("error", "rate_overcharge", "markup", F.col("lh") - F.col("lh_at"))),
         F.when(plain & F.col("e_fuel"), label("error", "fsc_mismatch", "step", F.col("fsc") - F.col("fsc_true"))), F.when(plain & F.col("e_weight"), label("error", "weight_overbilling", "inflated", F.col("lh_at") - F.col("lh_true"))), F.when(plain & F.col("e_acc"), label("error", "unauthorized_accessorial", "none", F.col("acc"))),
         F.when(F.col("kind") == "rebill", label("trap", "rebill", "", zero)), F.when(F.col("kind") == "balance_due", label("trap", "balance_due", "", zero)),
+        F.when(plain & F.col("t_amended"), label("trap", "rate_amendment", "", zero)), F.when(plain & F.col("t_reweighed"), label("trap", "documented_reweigh", "", zero)), F.when(plain & F.col("t_late"), label("trap", "late_authorization", "", zero)),
+        F.when(F.col("t_bol").isNotNull(), label("trap", "bol_format", F.when(F.col("t_bol") == 2, "zeros_dropped").otherwise("dressed"), zero)),
     ))
     labels = inv.select("invoice_id", F.inline(F.when(F.size(told) > 0, told).otherwise(F.array(label("clean", "clean", "", zero)))))
     totals = lines.groupBy("invoice_id").agg(F.sum("amount").cast(CENTS).alias("total"))
