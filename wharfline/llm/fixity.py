@@ -72,7 +72,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         if bad is not None:
             parents = bad.select("volume", F.col("node").alias("parent"))
             x, y = (t.join(parents, (F.floor(t["node"] / FANOUT) == parents["parent"]) & (t["volume"] == parents["volume"]), "left_semi") for t in (x, y))
-        bad = x.join(y, ["volume", "node"], "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select("volume", "node")
+        bad = materialise(x.join(y, ["volume", "node"], "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select("volume", "node"), "bad")
     slots = bad.select("volume", F.col("node").alias("slot"))
     x = ours.join(slots, ["volume", "slot"], "left_semi").select("volume", "slot", "copy", F.struct("page_id", "hash", "offset", "length").alias("x"))
     y = theirs.join(slots, ["volume", "slot"], "left_semi").select("volume", "slot", "copy", F.struct("page_id", "hash", "offset", "length").alias("y"))
@@ -90,8 +90,8 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op5_warc_fixity(spark, sf_dir: str) -> DataFrame:
     """Every page's record with its place and hash, and what the audit against the damaged replica says of it."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    ours = leaves(pages)
-    found = audit(ours, leaves(damaged(pages))).select("volume", "slot", "copy", "status")
+    ours = materialise(leaves(pages), "leaves")
+    found = audit(ours, materialise(leaves(damaged(pages)), "leaves")).select("volume", "slot", "copy", "status")
     return ours.join(found, ["volume", "slot", "copy"], "left").select("page_id", "volume", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("hash").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
