@@ -21,7 +21,8 @@ from .common import BLOCK, bounded_batches, carried, chunks, counted, crc_mod, t
 
 #: At most so many labelled rows of each class train the lexicon (those with the smallest hashes of their id).
 TRAIN_ROWS = 4000
-MIN_DOCS = 4
+#: a feature needs so many toxic training documents, and this share of them: copies of a few documents are no evidence
+MIN_DOCS, MIN_SHARE = 4, 0.02
 MIN_ODDS = 3.0
 STEMS = (4, 5)
 
@@ -232,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Restorer, Lexi
     whole = found.filter("w = ''").collect()
     n0, n1 = (whole[0].n0, whole[0].n1) if whole else (0, 0)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    top = found.filter((F.col("w") != "") & (F.col("n1") >= MIN_DOCS)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
+    top = found.filter((F.col("w") != "") & (F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n1))).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
     share = seen.groupBy("toxic").count().collect()
     share = {r["toxic"]: r["count"] for r in share}
     prior = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
