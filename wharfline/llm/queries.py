@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, ngram_join, packing, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, manifest, ngram_join, packing, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op8_packing": packing.op8_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_chat_format": chat_format.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
