@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, manifest, ngram_join, packing, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, manifest, ngram_join, packing, periodic_runs, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
     "op12_merkle_manifest": manifest.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
