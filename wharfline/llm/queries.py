@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, manifest, ngram_join, packing, periodic_runs, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, fixity, lm_score, manifest, ngram_join, packing, periodic_runs, repeats, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op8_packing": packing.op8_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_suffix_dedup": repeats.op11_suffix_dedup,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op7_chat_format": chat_format.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op11_suffix_dedup": repeats.ORACLE,
     "op12_merkle_manifest": manifest.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
