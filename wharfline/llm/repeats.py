@@ -233,27 +233,68 @@ def pieces(hot: DataFrame, length: int, gram: int, step: int, width: int | None
     return hot.select("x", "c", "n", "ahead", "behind", *(["j"] if width else [])).mapInArrow(split, "x long, c long, n long, j int, h long")
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """The anchors of docs (text, key, size), and how far around them repeats reach: x, c, before, after by class."""
-    found = materialise(anchors(docs, length, gram), "anchors")
-    classes = materialise(found.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first(F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("at")), "classes")
-    by_gram = classes.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("lone")).filter("m > 1 and lone > 0").select("x", "m")
-    wanted = classes.join(by_gram, "x").select(F.col("key"), F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "x", "c", "n", "m")
-    seen = materialise(contexts(wanted, docs, length, gram), "contexts")
-    whole = classes.filter("n > 1").select("x", "c", F.lit(length - gram).alias("before"), F.lit(length).alias("after"))
-    found_in_trees = trees(seen.filter(F.col("m") <= group).select(F.col("x").alias("g"), "x", "c", "n", "ahead", "behind"), length, gram)
-    hot = seen.filter(F.col("m") > group)
-    # a hot gram: groups of what STEP neighbouring windows share; these are smaller, or else windows are compared one by one
-    coarse = pieces(hot, length, gram, STEP)
-    sizes = coarse.groupBy("x", "j", "h").agg(F.count(F.lit(1)).alias("p")).filter("p > 1")
-    split = materialise(coarse.join(sizes, ["x", "j", "h"]).select("x", "c", "j", "p", F.xxhash64("x", "j", "h").alias("g")), "split")
-    again = split.join(hot, ["x", "c"])
-    by_piece = trees(again.filter(F.col("p") <= group).select("g", "x", "c", "n", "ahead", "behind"), length, gram)
-    single = pieces(again.filter(F.col("p") > group), length, gram, 1, STEP)
-    equal = single.groupBy("x", "j", "h").agg(F.count(F.lit(1)).alias("p")).filter("p > 1").select("x", "j", "h")
-    by_window = single.filter("n = 1").join(equal, ["x", "j", "h"]).select("x", "c", F.col("j").alias("before"), (F.lit(length) - F.col("j")).cast("int").alias("after"))
-    alone = found_in_trees.unionByName(by_piece).unionByName(by_window).groupBy("x", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    return found, materialise(whole.unionByName(alone), "reach")
+class Repeats:
+    """The stored tables of one search: anchors, their classes, and the contexts that were compared. ``docs`` has text, key and size."""
+
+    def __init__(self, docs: DataFrame, length: int, gram: int, group: int):
+        self.length, self.gram, self.group = length, gram, group
+        self.anchors = materialise(anchors(docs, length, gram), "anchors")
+        at = F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")
+        self.classes = materialise(self.anchors.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first(at).alias("at")), "classes")
+        mixed = self.classes.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("lone")).filter("m > 1 and lone > 0").select("x", "m")
+        wanted = self.classes.join(mixed, "x").select("key", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "x", "c", "n", "m")
+        seen = materialise(contexts(wanted, docs, length, gram), "contexts")
+        self.small = seen.filter(F.col("m") <= group).select(F.col("x").alias("g"), "x", "c", "n", "ahead", "behind")
+        # a hot gram: groups of what STEP neighbouring windows share, which are smaller; if they are not, windows are compared one by one
+        hot = seen.filter(F.col("m") > group)
+        coarse = pieces(hot, length, gram, STEP)
+        sizes = coarse.groupBy("x", "j", "h").agg(F.count(F.lit(1)).alias("p")).filter("p > 1")
+        split = materialise(coarse.join(sizes, ["x", "j", "h"]).select("x", "c", "j", "p", F.xxhash64("x", "j", "h").alias("g")), "split").join(hot, ["x", "c"])
+        self.split = split.filter(F.col("p") <= group).select("g", "x", "c", "n", "ahead", "behind")
+        windows = pieces(split.filter(F.col("p") > group), length, gram, 1, STEP)
+        equal = windows.groupBy("x", "j", "h").agg(F.count(F.lit(1)).alias("p")).filter("p > 1").select("x", "j", "h")
+        self.windows = windows.join(equal, ["x", "j", "h"]).select("x", "c", "n", F.xxhash64("x", "j", "h").alias("g"), F.col("j").alias("before"), (F.lit(length) - F.col("j")).cast("int").alias("after"))
+
+    def whole(self) -> DataFrame:
+        """Classes of several anchors: their whole context repeats."""
+        return self.classes.filter("n > 1").select("x", "c", F.lit(self.length - self.gram).alias("before"), F.lit(self.length).alias("after"))
+
+    def reach(self) -> DataFrame:
+        """x, c, before, after: how far around the anchors of a class repeats reach."""
+        alone = trees(self.small, self.length, self.gram).unionByName(trees(self.split, self.length, self.gram)).unionByName(self.windows.filter("n = 1").select("x", "c", "before", "after"))
+        return self.whole().unionByName(alone.groupBy("x", "c").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+
+    def groups(self) -> DataFrame:
+        """repeat, x, c, before, after: every repeat with the classes that have it."""
+        found = trees(self.small, self.length, self.gram, True).unionByName(trees(self.split, self.length, self.gram, True))
+        return (
+            self.whole().select(F.concat_ws(":", F.lit("class"), "x", "c").alias("repeat"), "x", "c", "before", "after")
+            .unionByName(found.select(F.concat_ws(":", F.lit("tree"), "g", "nth").alias("repeat"), "x", "c", "before", "after"))
+            .unionByName(self.windows.select(F.concat_ws(":", F.lit("window"), "g").alias("repeat"), "x", "c", "before", "after"))
+        )
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int | None, group: int) -> tuple[DataFrame, Repeats]:
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *text_key(text))
+    return rows, Repeats(rows.drop("doc_id"), length, min(GRAM, max(1, length // 4)) if gram is None else gram, group)
+
+
+def bounds() -> tuple[Column, Column]:
+    """Where the repeat around an anchor starts and ends in its text; contexts are cut at the text's ends."""
+    return F.greatest(F.lit(0), F.col("pos") - F.col("before")), F.least(F.col("size"), F.col("pos") + F.col("after"))
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
+    """Groups of equal strings of ``length`` bytes or more, with all their occurrences: repeat, n_bytes, doc_id, start.
+
+    A longer repeat than fits around one anchor shows as a chain of overlapping groups, one per anchor in it. Edge cases as in ``remove_repeats``.
+    """
+    rows, found = prepared(docs, id_col, text_col, length, gram, group)
+    start, end = bounds()
+    places = found.anchors.distinct().join(found.groups(), ["x", "c"]).select("repeat", "key", "size", start.alias("start"), (end - start).alias("n_bytes"))
+    return places.join(rows.select("doc_id", "key", "size"), ["key", "size"]).select("repeat", "n_bytes", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
@@ -267,13 +308,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Scale: texts are read once for the anchors and shuffled twice, for contexts and for the result. Contexts are gathered per distinct class. An array holds ``group``
     contexts at most; grams with more are split exactly by longer strings.
     """
-    gram = min(GRAM, max(1, length // 4)) if gram is None else gram
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *text_key(text))
-    found, around = covered(rows.drop("doc_id"), length, gram, group)
-    start, end = F.greatest(F.lit(0), F.col("pos") - F.col("before")), F.least(F.col("size"), F.col("pos") + F.col("after"))
-    spans = found.join(around, ["x", "c"]).select("key", "size", F.shiftleft(start.cast("long"), 32) + end).toDF("key", "size", "span").groupBy("key", "size").agg(F.collect_set("span").alias("marks"))
+    rows, found = prepared(docs, id_col, text_col, length, gram, group)
+    around, (start, end) = materialise(found.reach(), "reach"), bounds()
+    spans = found.anchors.join(around, ["x", "c"]).select("key", "size", (F.shiftleft(start.cast("long"), 32) + end).alias("span")).groupBy("key", "size").agg(F.collect_set("span").alias("marks"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in chunks(batches, "text"):
