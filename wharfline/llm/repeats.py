@@ -28,7 +28,7 @@ from .common import bounded_batches, chunks, materialise, mix, release, table, w
 LENGTH = 400
 GRAM = 100
 #: a gram with more contexts than this is split by longer strings before its array is built
-GROUP = 2000
+GROUP = 20_000
 STEP = 25
 _VALUE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ANCHOR = "key long, size int, pos int, x long, c long"
@@ -134,36 +134,58 @@ def intervals(shared: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def repeat_groups(group: np.ndarray, ahead: list[bytes], behind: list[bytes], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Maximal repeats of ``length`` bytes or more that hold the anchor: bytes before it, bytes from it on, and all rows that have them.
-
-    Rows are sorted by group and ``ahead``. Within each interval of a common prefix the left extensions of all rows, sorted, give a tree of their own: its nodes extend
-    differently to the left, and rows that share more than the interval's prefix belong to a deeper interval.
-    """
-    shared = agreement(ahead, group, length)
-    order = np.array(sorted(range(len(behind)), key=lambda i: (group[i], behind[i])), np.int64)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    left = agreement([behind[i] for i in order.tolist()], group[order], max(length - gram, 1))
-    for prefix, first, last in intervals(shared, gram):
-        least = length - prefix
-        if last == first + 1:
-            a, b = sorted((int(rank[first]), int(rank[last])))
-            near = int(left[a + 1 : b + 1].min())
-            if near >= least:
-                yield near, prefix, np.array((first, last))
-            continue
-        places = np.sort(rank[first : last + 1])
-        near = np.zeros(len(places), np.int64)
-        near[1:-1] = np.minimum.reduceat(left, places[:-1] + 1)[:-1]
-        near[-1] = left[places[-2] + 1 : places[-1] + 1].min()
-        nodes = list(intervals(near, max(least, 1))) if near.max() >= least else []
-        if least <= 0 and near[1:].min() == 0:
-            nodes.append((0, 0, len(places) - 1))
-        for extension, a, b in nodes:
-            rows = np.sort(order[places[a : b + 1]])
-            if shared[rows[0] + 1 : rows[-1] + 1].min() == prefix:
-                yield extension, prefix, rows
+class Array:
+    """The enhanced suffix array of rows that are sorted by group and ``ahead``: common prefixes, and the rows' order by what precedes the anchor with common extensions there."""
+
+    def __init__(self, group: np.ndarray, ahead: list[bytes], behind: list[bytes], length: int, gram: int):
+        self.length, self.gram = length, gram
+        self.shared = agreement(ahead, group, length)
+        numbers = group.tolist()
+        order = sorted(range(len(behind)), key=lambda i: (numbers[i], behind[i]))
+        self.order = np.array(order, np.int64)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[self.order] = np.arange(len(order))
+        self.left = agreement([behind[i] for i in order], group[self.order], max(length - gram, 1))
+
+    def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of every common-prefix interval the prefix's length, its rows by left extension, and what each shares to the left with the one before (0 for the first)."""
+        for prefix, first, last in intervals(self.shared, self.gram):
+            places = np.sort(self.rank[first : last + 1])
+            near = np.zeros(len(places), np.int64)
+            near[1:] = np.minimum.reduceat(self.left[: places[-1] + 1], places[:-1] + 1)
+            yield prefix, self.order[places], near
+
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes before and from the anchor on each row repeats, in repeats of ``length`` bytes or more that hold the anchor; 0 and 0 if it has none.
+
+        Within an interval a row's longest left extension is the one it shares with a neighbour by left extension.
+        """
+        before, after = np.zeros(len(self.order), np.int64), np.zeros(len(self.order), np.int64)
+        for prefix, rows, near in self.nodes():
+            if near.max() + prefix >= self.length:
+                best = np.maximum(near, np.append(near[1:], 0))
+                hit = best + prefix >= self.length
+                before[rows[hit]] = np.maximum(before[rows[hit]], best[hit])
+                after[rows[hit]] = np.maximum(after[rows[hit]], prefix)
+        return before, after
+
+    def repeats(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Maximal repeats of ``length`` bytes or more that hold the anchor: bytes before it, bytes from it on, and all rows that have them.
+
+        The left extensions of an interval give a tree of their own: its nodes extend differently to the left, and rows that share more than the interval's prefix
+        belong to a deeper interval.
+        """
+        for prefix, rows, near in self.nodes():
+            least = self.length - prefix
+            if near.max() < least:
+                continue
+            found = list(intervals(near, max(least, 1)))
+            if least <= 0 and near[1:].min() == 0:
+                found.append((0, 0, len(rows) - 1))
+            for extension, a, b in found:
+                own = np.sort(rows[a : b + 1])
+                if self.shared[own[0] + 1 : own[-1] + 1].min() == prefix:
+                    yield extension, prefix, own
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
@@ -192,15 +214,13 @@ def trees(bounded: DataFrame, length: int, gram: int, whole: bool = False) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_groups(batches, "g"):
             group, x, c = (t.column(k).to_numpy() for k in ("g", "x", "c"))
-            found = repeat_groups(group, t.column("ahead").to_pylist(), t.column("behind").to_pylist(), length, gram)
+            made = Array(group, t.column("ahead").to_pylist(), t.column("behind").to_pylist(), length, gram)
             if whole:
-                for nth, (b, a, rows) in enumerate(found):
+                for nth, (b, a, rows) in enumerate(made.repeats()):
                     of = np.full(len(rows), 1, np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (group[rows], of.astype(np.int64) * nth, x[rows], c[rows], of * b, of * a)], names=["g", "nth", "x", "c", "before", "after"])
                 continue
-            before, after = np.zeros(len(group), np.int32), np.zeros(len(group), np.int32)
-            for b, a, rows in found:
-                before[rows], after[rows] = np.maximum(before[rows], b), np.maximum(after[rows], a)
+            before, after = (v.astype(np.int32) for v in made.reach())
             hit = (after > 0) & (t.column("n").to_numpy() == 1)
             yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (x, c, before, after)], names=["x", "c", "before", "after"])
 
