@@ -97,6 +97,53 @@ def test_secret_scan(spark, none):
     assert len(a.rows) < 12 and a.log2("ababab") > a.log2("aabbab")
 
 
+def test_grammar_spans_find_formats_without_a_keyword(spark):
+    """Recall and precision over planted strings: formats that are labelled elsewhere, against prose, numbers, addresses and identifiers."""
+    from wharfline.llm.secret_scan import secret_scan
+
+    g = random.Random(21)
+    vocab = ["".join(g.choice("bcdfghklmnprstvwz") + g.choice("aeiouy") for _ in range(g.randint(2, 5))) for _ in range(300)]
+    prose = lambda n: " ".join(g.choice(vocab) for _ in range(n))
+    some = lambda chars, n: "".join(g.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    formats = [lambda: "ghp_" + some(alnum, 36), lambda: "xk-" + some(alnum, 20) + "-" + some("0123456789", 12), lambda: some("0123456789abcdef", 8) + "-" + some("0123456789abcdef", 12)]
+    other = [lambda: some("0123456789", 14), lambda: f"mail.{g.choice(vocab)}.{g.choice(vocab)}", lambda: "_".join(g.choice(vocab) for _ in range(4)), lambda: "/".join(g.choice(vocab) for _ in range(5)), lambda: f"v{g.randint(1, 9)}.{g.randint(0, 99)}.{g.randint(0, 999)}", lambda: "-".join(g.choice(vocab) for _ in range(3))]
+    rows, planted = [], {}
+    for i in range(900):
+        text = prose(150)
+        if i < 240:
+            text += f" secret: {formats[i % 3]()} " + prose(5)
+        elif i < 390:
+            own = formats[i % 3]()
+            planted[i] = (len(text) + 1, len(text) + 1 + len(own))
+            text += f" {own} " + prose(5)
+        text += " " + " ".join(other[k % 6]() for k in range(i, i + 4)) + " end"
+        rows.append((i, text))
+    found = {r.doc_id: [(f.start, f.end) for f in r.found if f.kind == "grammar"] for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(planted[i] in found[i] for i in planted)
+    wrong = sum(span != planted.get(i) for i, spans in found.items() for span in spans)
+    assert hits >= 0.9 * len(planted) and wrong <= 0.1 * hits
+
+
+def test_background_leaves_the_string_out_at_every_length():
+    from wharfline.llm.secret_scan import CELLS, SIGMA, Background, _CODES
+
+    b = Background(np.random.default_rng(3).integers(0, 9, CELLS))
+    for n in (1, 7, 999, 1000, 1001, 1500):
+        s = words(n)[:n].replace(" ", "_")
+        codes = [0, 0, *(_CODES[c] for c in s), 0]
+        three = collections.Counter(zip(codes, codes[1:], codes[2:]))
+        two = collections.Counter(zip(codes[1:], codes[2:]))
+        before3, before2 = collections.Counter(zip(codes, codes[1:-1])), collections.Counter(codes[1:-1])
+        total = 0.0
+        for x, y, z in zip(codes, codes[1:], codes[2:]):
+            b2 = max(int(b.bi[y * SIGMA + z]) - two[y, z], 0)
+            p2 = (b2 + 4 * b.one[z]) / (max(int(b.after_one[y]) - before2[y], 0, b2) + 4)
+            b3 = max(int(b.tri[(x * SIGMA + y) * SIGMA + z]) - three[x, y, z], 0)
+            total += np.log2((b3 + 4 * p2) / (max(int(b.after_two[x * SIGMA + y]) - before3[x, y], 0, b3) + 4))
+        assert b.log2(s) == pytest.approx(total)
+
+
 def test_chat_format(spark):
     from wharfline.llm.chat_format import CLOSE, chat_format, digests, read_back
 
@@ -168,12 +215,22 @@ def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = docs.collect()
     want = sorted(map(str, brute_leaks([r.text for r in rows], [(i if i is not None else "", t) for i, t in items])))
+    places = []
     for shard, block in ((1 << 20, 1 << 20), (500, 1 << 20), (1 << 20, 100)):
         got = decontaminate(docs, bench, shard_bytes=shard, block_bytes=block).collect()
+        places.append(sorted(str((r.doc_id, r.spans, r.byte_spans)) for r in got))
+        assert places[-1] == places[0]
         assert sorted(str((r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"]))) for r in got) == want
         for r in got:
             text = next((x.text or "" for x in rows if x.doc_id == r.doc_id), "").encode()
             assert all(0 <= s.start < s.end <= len(text) for s in r.byte_spans if r.doc_id is not None)
+    # two items that adjoin in a text are one span, in words and in bytes, whether or not one block holds both
+    first, second = words(10), words(10)
+    one = spark.createDataFrame([(1, f"zz {first} {second}, yy")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    for block in (1 << 20, 10):
+        r = decontaminate(one, two, block_bytes=block).first()
+        assert [tuple(s) for s in r.spans] == [(1, 21)] and [tuple(s) for s in r.byte_spans] == [(3, 3 + len(first) + 1 + len(second))]
     assert decontaminate(none, bench).isEmpty() and decontaminate(docs, bench.limit(0)).filter(F.size("spans") > 0).isEmpty()
     for seed in range(20):
         s = np.random.default_rng(seed).integers(0, 4, 200)

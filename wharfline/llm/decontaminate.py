@@ -297,16 +297,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         sent.destroy()
         union = part if union is None else union.unionByName(part)
         block, following = following, next(blocks, None) if following else None
-    merged = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "byte_spans", "items")])
-    merged = merged.select("row", "doc_id", "n_words", merge_spans("spans").alias("spans"), merge_spans("byte_spans").alias("byte_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    both = F.transform(F.arrays_zip("spans", "byte_spans"), lambda z: F.struct(z["spans"]["start"].alias("start"), z["spans"]["end"].alias("end"), z["byte_spans"]["start"].alias("first"), z["byte_spans"]["end"].alias("last")))
+    merged = union.select("row", "doc_id", "n_words", both.alias("spans"), "items").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")])
+    merged = merged.withColumn("spans", merge_spans("spans"))
+    pair_of = lambda a, b: F.transform("spans", lambda s: F.struct(s[a].alias("start"), s[b].alias("end")))
+    merged = merged.select("row", "doc_id", "n_words", pair_of("start", "end").alias("spans"), pair_of("first", "last").alias("byte_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
     return merged.drop("row") if carry is None else source.select("row", "text", "carried").join(merged, "row").drop("row")
 
 
 def merge_spans(column: str):
-    """Sorted spans with overlapping ones joined."""
+    """Spans (start, end in words, first, last in bytes) in order, those that overlap or adjoin in words joined."""
+    last = lambda done: F.element_at(done, -1)
+    joined = lambda p, s: F.struct(p["start"].alias("start"), F.greatest(p["end"], s["end"]).alias("end"), p["first"].alias("first"), F.greatest(p["last"], s["last"]).alias("last"))
     return F.aggregate(
-        F.array_sort(column), F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
+        F.array_sort(column), F.expr("cast(array() as array<struct<start:long,end:long,first:long,last:long>>)"),
+        lambda done, s: F.when((F.size(done) > 0) & (last(done)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last(done), s)))).otherwise(F.concat(done, F.array(s))),
     )
 
 

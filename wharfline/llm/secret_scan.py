@@ -109,9 +109,11 @@ class Background:
         codes = np.array([0, 0, *(_CODES[c] for c in s), 0])
         two = codes[:-2] * SIGMA + codes[1:-1]
         three, pair = two * SIGMA + codes[2:], codes[1:-1] * SIGMA + codes[2:]
-        left = lambda counts, at: np.maximum(counts[at] - (at[:, None] == at[None, :]).sum(1), 0)
-        if len(s) > 1000:  # of a very long string only one occurrence of each part is left out
-            left = lambda counts, at: np.maximum(counts[at] - 1, 0)
+
+        def left(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+            _, place, times = np.unique(at, return_inverse=True, return_counts=True)
+            return np.maximum(counts[at] - times[place], 0)
+
         p2 = (left(self.bi, pair) + 4 * self.one[codes[2:]]) / (np.maximum(left(self.after_one, codes[1:-1]), left(self.bi, pair)) + 4)
         p3 = (left(self.tri, three) + 4 * p2) / (np.maximum(left(self.after_two, two), left(self.tri, three)) + 4)
         return float(np.log2(p3).sum())
