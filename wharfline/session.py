@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+
 def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> SparkSession:
     """UTC, ANSI casts, adaptive execution with skew joins; further settings as keywords with ``__`` for dots."""
     builder = (
@@ -21,15 +23,49 @@ def session(master: str = "local[*]", app: str = "wharfline", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, which has no other machines, gets a temporary folder of its own; anywhere else it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="wharfline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="wharfline-")
+    return _own[context.applicationId]
+
+
+class _Cleanup:
+    """Drops the shuffle files of a write when it is done, while any write of the session runs: nothing reads them again."""
+
+    lock = threading.Lock()
+    writes: dict[str, tuple[int, str | None]] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.id = spark, spark._jsparkSession.sessionUUID()
+
+    def __enter__(self) -> None:
+        with self.lock:
+            n, before = self.writes.get(self.id) or (0, self.spark.conf.get(SHUFFLE_CLEANUP, None))
+            self.writes[self.id] = n + 1, before
+            self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            n, before = self.writes.pop(self.id)
+            if n > 1:
+                self.writes[self.id] = n - 1, before
+            elif before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def store(df: DataFrame, name: str = "table") -> DataFrame:
@@ -40,12 +76,8 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/wharfline/{name}-{uuid.uuid4().hex}", df.schema
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads the shuffle files of the write again
-    try:
+    with _Cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
