@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.text import canonical_bol, city_key, lookup, parse_date, parse_money, parse_weight, pro_parts, without_state
 from ..operators.resolve import match_shipments, supersede, totals
-from .layouts import LAYOUTS, Layout, detect
+from ..session import store
+from .layouts import LAYOUTS, Layout
+from .numbered import fields, numbered_records
 
 
 @dataclass(frozen=True)
@@ -24,23 +26,35 @@ class Normalised:
     exceptions: DataFrame
 
 
-def read_raw(spark: SparkSession, path: str, layout: Layout, header: list[str], carrier: str, source: str) -> DataFrame:
-    """A file's rows with the layout's field names, source_file, csv_row (its line, the header being 1) and the folder's carrier.
+def read_layouts(spark: SparkSession, paths: str | list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of all files under ``paths`` (globs) by layout, and the exceptions that concern whole files.
 
-    Line numbers need the whole file in order, so it is read as one text and parsed line by line; carrier files are small. Quoted
-    commas are handled, line feeds inside quotes are not.
+    A file's layout follows from its header, whatever folder it lies in, and its columns may stand in any order. Rows have the layout's field names, source_file, csv_row (the record's
+    number, the header being 1) and folder. Unknown headers and files that end inside quotes are told.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).filter("i > 0 and line != ''")
-    schema = ", ".join(f"c{k} string" for k in range(len(header)))
-    back = {c: f for f, c in layout.columns.items()}
-    parsed = lines.withColumn("v", F.from_csv("line", schema, {"nullValue": "\u0000", "emptyValue": ""}))
-    cols = [F.coalesce(F.col(f"v.c{k}"), F.lit("")).alias(back.get(c, c)) for k, c in enumerate(header)]
-    return parsed.select(*cols, F.lit(source).alias("source_file"), (F.col("i") + 1).alias("csv_row"), F.lit(carrier).alias("folder"))
-
-
-def _marks(flags: dict[tuple[str, str], Column]) -> Column:
+    records, unclosed = numbered_records(spark, paths)
+    width = max(len(x.header) for x in LAYOUTS.values()) + 1
+    heads = records.filter("csv_row = 1").withColumn("_f", fields(F.col("record"), width))
+    names = F.filter(F.array(*[F.col(f"_f.c{k}") for k in range(width)]), lambda c: c.isNotNull())
+    layout = F.coalesce(*[F.when(F.array_sort(names) == F.array(*[F.lit(c) for c in sorted(x.header)]), F.lit(x.name)) for x in LAYOUTS.values()])
+    heads = store(heads.select("file", "folder", "source_file", F.col("record").alias("header"), names.alias("names"), layout.alias("layout")), "headers")
+    rows = store(records.filter("csv_row > 1").join(heads.filter("layout is not null").select("file", "layout", "names"), "file"), "records")
+    found: dict[str, DataFrame] = {}
+    for r in sorted(heads.filter("layout is not null").select("layout", "names").distinct().collect()):  # orders of columns in use
+        known = LAYOUTS[r.layout]
+        back = {c: f for f, c in known.columns.items()}
+        own = rows.filter((F.col("layout") == r.layout) & (F.col("names") == F.array(*[F.lit(c) for c in r.names]))).withColumn("v", fields(F.col("record"), len(r.names)))
+        part = own.select(*[F.coalesce(F.col(f"v.c{k}"), F.lit("")).alias(back.get(c, c)) for k, c in enumerate(r.names)], "source_file", "csv_row", "folder")
+        found[r.layout] = found[r.layout].unionByName(part) if r.layout in found else part
+    told = heads.filter("layout is null").select("source_file", F.lit(1).alias("csv_row"), F.col("folder").alias("carrier_id"), F.lit("").alias("control_id"), F.lit("unrecognized_header").alias("exception_type"), F.col("header").alias("raw_value"), F.lit("file skipped").alias("detail"))
+    file = F.split("file", "/")
+    open_ = unclosed.select(F.array_join(F.slice(file, -2, 2), "/").alias("source_file"), F.col("csv_row").cast("int").alias("csv_row"), F.regexp_replace(F.element_at(file, -2), "^[^=]*=", "").alias("carrier_id"), F.lit("").alias("control_id"), F.lit("unclosed_quote").alias("exception_type"), F.lit("").alias("raw_value"), F.lit("record not loaded").alias("detail"))
+    return found, told.unionByName(open_)
+
+
+def _marks(flags: list[tuple[str, str, Column]]) -> Column:
     """An array of (fix_type, unit) of the flags that hold."""
-    made = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(t).alias("fix_type"), F.lit(u).alias("unit"))) for (t, u), c in flags.items()]
+    made = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(t).alias("fix_type"), F.lit(u).alias("unit"))) for t, u, c in flags]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
@@ -64,23 +78,23 @@ def parse(raw: DataFrame, layout: Layout, config: Config, cities: dict[str, str]
     if layout.suffix_types:
         pro, suffix = pro_parts(F.col("pro_number"))
         kind, cites = lookup(suffix, layout.suffix_types), F.lit(None).cast("string")
-        type_fix = {("invoice_type_from_pro_suffix", "invoice"): kind.isNotNull() & (suffix != "")}
+        type_fix = ("invoice_type_from_pro_suffix", "invoice", kind.isNotNull() & (suffix != ""))
     else:
         pro, kind, cites = F.col("pro_number"), lookup(F.col("type"), layout.types), F.nullif(F.col("supersedes"), F.lit(""))
-        type_fix = {("invoice_type_text", "invoice"): kind.isNotNull() & (F.col("type") != kind)}
+        type_fix = ("invoice_type_text", "invoice", kind.isNotNull() & (F.col("type") != kind))
     h = head.select(
         "*", parse_date(F.col("invoice_date"), layout.date_format).alias("p_invoice"), parse_date(F.col("ship_date"), layout.date_format).alias("p_ship"), parse_weight(F.col("weight"), layout.weight_unit).alias("p_weight"),
         canonical_bol(F.col("bol")).alias("p_bol"), city("origin").alias("p_origin"), city("destination").alias("p_dest"), pro.alias("p_pro"), kind.alias("p_kind"), cites.alias("p_cites"), parse_money(F.col("total")).alias("p_total"),
     )
-    fixes = {
-        ("date_parsing", "date field"): F.col("p_invoice").isNotNull() & (F.col("invoice_date") != F.col("p_invoice").cast("string")), ("date_parsing ", "date field"): F.col("p_ship").isNotNull() & (F.col("ship_date") != F.col("p_ship").cast("string")),
-        ("cwt_to_lbs" if layout.weight_unit == "cwt" else "weight_text_cleanup", "invoice"): F.col("p_weight").isNotNull() & (F.col("weight") != F.col("p_weight").cast("string")),
-        ("bol_canonicalization", "invoice"): F.col("p_bol").isNotNull() & (F.col("bol") != F.col("p_bol")),
-        ("city_cleanup", "city field"): F.col("p_origin").isNotNull() & (F.col("origin") != F.col("p_origin")), ("city_cleanup ", "city field"): F.col("p_dest").isNotNull() & (F.col("destination") != F.col("p_dest")),
-        **type_fix, ("currency_to_float", "amount field"): F.col("total").rlike(r"[$,]"),
-    }
+    fixes = [
+        *[("date_parsing", "date field", F.col(p).isNotNull() & (F.col(c) != F.col(p).cast("string"))) for c, p in (("invoice_date", "p_invoice"), ("ship_date", "p_ship"))],
+        ("cwt_to_lbs" if layout.weight_unit == "cwt" else "weight_text_cleanup", "invoice", F.col("p_weight").isNotNull() & (F.col("weight") != F.col("p_weight").cast("string"))),
+        ("bol_canonicalization", "invoice", F.col("p_bol").isNotNull() & (F.col("bol") != F.col("p_bol"))),
+        *[("city_cleanup", "city field", F.col(p).isNotNull() & (F.col(c) != F.col(p))) for c, p in (("origin", "p_origin"), ("destination", "p_dest"))],
+        type_fix, ("currency_to_float", "amount field", F.col("total").rlike(r"[$,]")),
+    ]
     if own_name:
-        fixes[("carrier_name_variant", "invoice")] = (F.col("carrier_id") != "") & (F.col("carrier") != lookup(F.col("carrier_id"), names))
+        fixes.append(("carrier_name_variant", "invoice", (F.col("carrier_id") != "") & (F.col("carrier") != lookup(F.col("carrier_id"), names))))
     bad_type = F.col("p_kind").isNull() | F.col("p_pro").isNull()
     fatal = F.col("p_invoice").isNull() | F.col("p_ship").isNull() | F.col("p_weight").isNull() | bad_type | (F.col("carrier_id") == "")
     gone, kept = F.lit("row dropped"), lambda t: F.lit(t)
@@ -111,41 +125,34 @@ def parse(raw: DataFrame, layout: Layout, config: Config, cities: dict[str, str]
     codes = {**config.charges, **{c: c for c in config.charges.values()}}
     lines = lines.withColumns({"code": lookup(F.col("charge_raw"), codes), "value": parse_money(F.col("amount_raw"))})
     lines = lines.withColumns({
-        "marks": _marks({("charge_description_to_code", "line"): F.col("code").isNotNull() & (F.col("charge_raw") != F.col("code")), ("currency_to_float", "amount field"): F.col("amount_raw").rlike(r"[$,]")}),
+        "marks": _marks([("charge_description_to_code", "line", F.col("code").isNotNull() & (F.col("charge_raw") != F.col("code"))), ("currency_to_float", "amount field", F.col("amount_raw").rlike(r"[$,]"))]),
         "problems": _problems([(F.col("code").isNull(), "unmapped_charge", F.col("charge_raw"), F.concat(F.lit("line not loaded, amount "), "amount_raw")), (F.col("code").isNotNull() & F.col("value").isNull(), "unparseable_amount", F.col("amount_raw"), F.lit("line not loaded"))]),
     })
     loaded = lines.filter("code is not null and value is not null").select(F.concat("carrier_id", F.lit(":"), "control_id").alias("invoice_id"), F.col("code").alias("charge_code"), F.col("value").alias("amount"), "source_file")
 
     marks = h.select("carrier_id", F.explode("marks").alias("m")).unionByName(lines.select("carrier_id", F.explode("marks").alias("m")))
-    fixed = marks.select("carrier_id", F.trim("m.fix_type").alias("fix_type"), "m.unit")
+    fixed = marks.select("carrier_id", "m.fix_type", "m.unit")
     told = lambda t: t.select("source_file", "csv_row", "carrier_id", "control_id", F.inline("problems"))
     return invoices, loaded, fixed, told(h).unionByName(told(lines))
 
 
-def normalise(spark: SparkSession, files: dict[str, str], config: Config, lanes: DataFrame, shipments: DataFrame, receipts: DataFrame) -> Normalised:
-    """All files (path to carrier folder name), in order of path: parsed by layout, de-duplicated, dated by the receipt log, linked and matched.
+def normalise(spark: SparkSession, paths: str | list[str], config: Config, lanes: DataFrame, shipments: DataFrame, receipts: DataFrame) -> Normalised:
+    """All files under ``paths`` (globs such as ``raw/*/*.csv``; the folder is the carrier): parsed by layout, de-duplicated, dated by the receipt log, linked and matched.
 
     Of invoices with one id the first file and row stays, and with it only its own lines. Files with an unknown header are
     skipped and reported. ``lanes`` has lane_id, origin_city, destination_city; ``receipts`` carrier_id, control_id, received_date.
     """
     names = [r[0] for r in lanes.select("origin_city").union(lanes.select("destination_city")).distinct().collect()]  # a shipper's network: tens of cities
     cities = {" ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in n.lower()).split()): n for n in names}
-    parts: dict[str, list[DataFrame]] = {}
-    unknown = []
-    for path, carrier in sorted(files.items()):
-        head = spark.read.option("header", True).csv(path).columns
-        layout = detect(head)
-        source = "/".join(path.rstrip("/").split("/")[-2:])
-        if layout is None:
-            unknown.append((source, 1, carrier, "", "unrecognized_header", ",".join(head), "file skipped"))
-        else:
-            parts.setdefault(layout.name, []).append(read_raw(spark, path, layout, head, carrier, source))
+    raw, whole_files = read_layouts(spark, paths)
     columns = "source_file string, csv_row int, carrier_id string, control_id string, exception_type string, raw_value string, detail string"
-    told = [spark.createDataFrame(unknown, columns)]
+    told = [whole_files]
     invoices, lines, fixes = [], [], []
-    for name, frames in parts.items():
-        i, ln, fx, ex = parse(reduce(DataFrame.unionByName, frames), LAYOUTS[name], config, cities)
+    for name, frame in raw.items():
+        i, ln, fx, ex = parse(frame, LAYOUTS[name], config, cities)
         invoices.append(i), lines.append(ln), fixes.append(fx), told.append(ex)
+    if not invoices:
+        raise ValueError(f"no file with a known header under {paths}")
     both = lambda x: reduce(DataFrame.unionByName, x)
     inv = both(invoices).withColumn("_k", F.row_number().over(Window.partitionBy("invoice_id").orderBy("source_file", "csv_row")))
     again = inv.filter("_k > 1").select("source_file", "csv_row", "carrier_id", "control_id", F.lit("duplicate_control_id").alias("exception_type"), F.col("control_id").alias("raw_value"), F.lit("first copy kept").alias("detail"))

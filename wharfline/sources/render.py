@@ -97,10 +97,13 @@ def as_raw(rendered: DataFrame, layout: Layout) -> DataFrame:
     return rendered.select(*cols, F.concat_ws("/", "carrier_id", F.concat("month", F.lit(".csv"))).alias("source_file"), "csv_row", F.col("carrier_id").alias("folder"))
 
 
-def write_raw(invoices: DataFrame, lines: DataFrame, config: Config, path: str) -> None:
-    """One folder of CSV files per layout, carrier and month, replacing an earlier run's."""
+def write_raw(invoices: DataFrame, lines: DataFrame, config: Config, path: str) -> str:
+    """CSV files per layout, month and carrier (a carrier's month is one file), replacing an earlier run's; returns the glob under which ``normalise`` finds them."""
     for name, layout in LAYOUTS.items():
         carriers = [c.carrier_id for c in config.carriers if c.layout == name]
         if carriers:
             rows = render(invoices.filter(F.col("carrier_id").isin(*carriers)), lines.filter(F.col("carrier_id").isin(*carriers)), layout, config)
-            rows.repartition("carrier_id", "month").sortWithinPartitions("carrier_id", "month", "csv_row").drop("csv_row").write.mode("overwrite").option("header", True).option("emptyValue", "").partitionBy("carrier_id", "month").csv(f"{path}/{name}")
+            placed = rows.repartition("month", "carrier_id").sortWithinPartitions("month", "carrier_id", "csv_row").drop("csv_row")
+            plain = placed.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            plain.partitionBy("month", "carrier_id").csv(f"{path}/layout={name}")
+    return f"{path}/layout=*/month=*/carrier_id=*/*.csv"
