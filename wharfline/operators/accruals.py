@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions.money import MONEY, cents, ratio, total
 from ..functions.tariff import linehaul, ltl_fuel, tl_fuel
 from .books import ACCESSORIALS, RATED, WHOLE_INVOICE, Books
+from .ordered import medians, running_total
 from .rerate import charges
 from .resolve import live
 from .temporal import effective, with_diesel
@@ -108,8 +109,12 @@ def accuracy(detail: DataFrame, actuals: DataFrame, config: Config) -> DataFrame
     g = d.groupingSets([["month_end"], []], "month_end").agg(
         F.count(F.lit(1)).alias("shipments_accrued"), F.count_if("never").alias("never_billed"), s("accrual_estimate").alias("accrual_estimate"), s("billed").alias("actual_billed"), s("payable").alias("actual_payable"),
         s("core").alias("lh_fsc_accrual"), s("pay_core").alias("lh_fsc_payable"), s("accessorial_estimate").alias("accessorial_accrual"), s("pay_acc").alias("accessorial_payable"),
-        F.avg("ape").alias("shipment_mape"), F.percentile("ape", 0.5).alias("shipment_median_ape"), F.avg((F.col("ape") > config.accruals.large_error).cast("int")).alias("shipment_share_over_band"),
+        F.avg("ape").alias("shipment_mape"), F.avg((F.col("ape") > config.accruals.large_error).cast("int")).alias("shipment_share_over_band"),
     )
+    whole = F.lit(None).cast("date")
+    middle = medians(d.select("month_end", "ape"), ["month_end"], "ape", "m").unionByName(medians(d.select("ape"), [], "ape", "m").select(whole.alias("month_end"), "m"))
+    middle = middle.select(F.col("month_end").alias("_end"), F.col("m").alias("shipment_median_ape"))
+    g = g.join(middle, F.col("month_end").eqNullSafe(F.col("_end")), "left").drop("_end")
     gap = lambda a, b: (F.col(a) - F.col(b)).cast(MONEY)
     g = g.withColumns({"error": gap("accrual_estimate", "actual_payable"), "lh_fsc_error": gap("lh_fsc_accrual", "lh_fsc_payable"), "accessorial_error": gap("accessorial_accrual", "accessorial_payable")})
     return g.withColumns({"error_pct": ratio(F.col("error"), F.col("actual_payable")), "lh_fsc_error_pct": ratio(F.col("lh_fsc_error"), F.col("lh_fsc_payable")), "accessorial_error_pct": ratio(F.col("accessorial_error"), F.col("accessorial_payable"))})
@@ -155,8 +160,5 @@ def journal(detail: DataFrame, config: Config) -> DataFrame:
 
 def liability_balance(je: DataFrame, config: Config) -> DataFrame:
     """The liability account's balance after each entry; zero after every reversal."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("date", F.desc("type"), "je_id").rowsBetween(Window.unboundedPreceding, 0)
     lines = je.filter(F.col("account") == config.accruals.liability).groupBy("date", "type", "je_id").agg(F.sum(F.col("credit") - F.col("debit")).cast(MONEY).alias("change"))
-    return lines.withColumn("balance", F.sum("change").over(w).cast(MONEY))
+    return running_total(lines, "change", "balance", ["date", F.desc("type"), "je_id"]).withColumn("balance", F.col("balance").cast(MONEY))

@@ -9,8 +9,8 @@ from ..config import Config
 from ..functions.formats import month_label, p_text, pct, usd
 from ..functions.money import MONEY, total
 from ..functions.stats import binomial_tail
-from ..session import store
 from .books import ERROR_TYPES
+from .ordered import indexed
 from .resolve import live
 from .rules import rule_order
 
@@ -25,18 +25,8 @@ def exception_queue(counted: DataFrame, invoices: DataFrame, summary: DataFrame)
 
 
 def ranked(d: DataFrame, name: str, *order) -> DataFrame:
-    """A global 1..n rank without pulling all rows into one task.
-
-    Range partitions are sorted and stored with each row's place, so that the partitions stay what they are; they are counted from the stored table,
-    and each row adds what lies before its partition. ``order`` should end in a unique key. What is broadcast is one row per partition.
-    """
-    keys = [o if not isinstance(o, str) else F.col(o) for o in order]
-    placed = store(d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()))
-    # the id's upper bits are the partition, its lower 33 the row's place there
-    local = placed.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_m")
-    counts = local.groupBy("_p").agg(F.max("_r").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_p", "_r", "_before")
+    """A global 1..n rank without pulling all rows into one task. ``order`` should end in a unique key."""
+    return indexed(d, [], list(order), "_i").withColumn(name, F.col("_i") + 1).drop("_i")
 
 
 def filter_queue(queue: DataFrame, carriers: list[str] | None = None, types: list[str] | None = None) -> DataFrame:

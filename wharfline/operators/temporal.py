@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tariff import ship_week
+from .ordered import last_known
 
 
 def effective(left: DataFrame, card: DataFrame, keys: list[str], on: str, start: str = "effective_from", end: str = "effective_to", how: str = "left") -> DataFrame:
@@ -67,12 +68,9 @@ def month_ends(spark, start, months: int) -> DataFrame:
 
 
 def forward_fill(spine: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
-    """Each spine date with the value of the latest date at or before it.
-
-    A date index is small (one row a week), so one window orders it all.
-    """
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(values, key, "left").select(key, F.last(value, ignorenulls=True).over(w).alias(value), *[c for c in values.columns if c not in (key, value)])
+    """Each spine date with the value of the latest date at or before it."""
+    d = spine.join(values, key, "left").withColumnRenamed(value, "_given")
+    return last_known(d, "_given", value, [key]).select(key, value, *[c for c in values.columns if c not in (key, value)])
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, group: list[str] | None = None) -> DataFrame:
