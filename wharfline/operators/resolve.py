@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Tolerances
+from .ordered import connected
 
 
 def match_shipments(invoices: DataFrame, shipments: DataFrame, lanes: DataFrame | None, tol: Tolerances) -> DataFrame:
@@ -19,46 +24,105 @@ def match_shipments(invoices: DataFrame, shipments: DataFrame, lanes: DataFrame
     out = invoices.drop("shipment_id", "match_method").join(exact, ["carrier_id", "bol_canonical"], "left")
     fallback = F.lit(None).cast("string")
     if lanes is not None:
-        s = shipments.select("shipment_id", "carrier_id", "lane_id", F.col("ship_date").alias("_date"), F.col("weight_lbs").alias("_weight")).join(lanes.select("lane_id", F.col("origin_city").alias("origin"), F.col("destination_city").alias("destination")), "lane_id")
         rest = out.filter("_exact is null").select("invoice_id", "carrier_id", "origin", "destination", "ship_date", "billed_weight_lbs")
-        fits = rest.join(s, ["carrier_id", "origin", "destination"]).filter(
-            (F.abs(F.datediff("ship_date", "_date")) <= tol.fallback_days) & (F.abs(F.col("billed_weight_lbs") - F.col("_weight")) <= F.lit(str(tol.fallback_weight_pct)).cast("decimal(8,6)") * F.col("_weight"))
-        )
-        one = fits.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("_n"), F.min("shipment_id").alias("_fallback")).filter("_n = 1").drop("_n")
+        one = only_fit(rest, shipments, lanes, tol)
         out, fallback = out.join(one, "invoice_id", "left"), F.col("_fallback")
     method = F.when(F.col("_exact").isNotNull(), "exact").when(fallback.isNotNull(), "fallback").otherwise("unmatched")
     return out.withColumn("shipment_id", F.coalesce("_exact", fallback)).withColumn("match_method", method).drop("_exact", "_fallback")
 
 
+def only_fit(rest: DataFrame, shipments: DataFrame, lanes: DataFrame, tol: Tolerances) -> DataFrame:
+    """invoice_id, _fallback: the one shipment of the carrier between the same cities within the band of dates and weights, where there is exactly one.
+
+    Shipments of one lane, day and weight are one point with their number and smallest id. Days and logarithmic weight cells (one tolerance wide, with both neighbours) are equality keys, so
+    an invoice meets its band's points and not its lane.
+    """
+    share = float(tol.fallback_weight_pct)
+    width = -math.log1p(-share) * (1 + 1e-9) if 0 < share < 1 else None
+
+    def cell(weight: Column) -> Column:
+        if width is None:  # a share of 0 means equal weights, one of 1 or more has no lower end
+            return (weight.cast("long") if share <= 0 else F.lit(0)).cast("long")
+        return F.when(weight > 0, F.floor(F.log(weight.cast("double")) / width)).otherwise(F.lit(-(1 << 40))).cast("long")
+
+    ends = lanes.select("lane_id", F.col("origin_city").alias("origin"), F.col("destination_city").alias("destination"))
+    points = shipments.join(ends, "lane_id").groupBy("carrier_id", "origin", "destination", F.col("ship_date").alias("day"), F.col("weight_lbs").alias("_weight")).agg(F.count(F.lit(1)).alias("_k"), F.min("shipment_id").alias("_id"))
+    points = points.withColumn("cell", cell(F.col("_weight")))
+    days = F.sequence(F.lit(-tol.fallback_days), F.lit(tol.fallback_days))
+    asked = rest.withColumn("_by", F.explode(days)).withColumn("day", F.date_add("ship_date", F.col("_by")))
+    asked = asked.withColumn("cell", F.explode(F.array(*[cell(F.col("billed_weight_lbs")) + k for k in ((-1, 0, 1) if width else (0,))])))
+    fits = asked.join(points, ["carrier_id", "origin", "destination", "day", "cell"]).filter(F.abs(F.col("billed_weight_lbs") - F.col("_weight")) <= F.lit(str(tol.fallback_weight_pct)).cast("decimal(8,6)") * F.col("_weight"))
+    return fits.groupBy("invoice_id").agg(F.sum("_k").alias("_n"), F.min("_id").alias("_fallback")).filter("_n = 1").drop("_n")
+
+
 def supersede(invoices: DataFrame) -> DataFrame:
     """is_superseded, superseded_on, superseded_by, and for rebills target_id (null where none was found).
 
     A rebill replaces the latest invoice received on an earlier day, not a balance due and not replaced yet, with the number it
-    cites or else with its own base pro number. Per carrier and number this is a stack: on each day rebills pop first, then
-    that day's invoices are pushed. Running sums give the depth (never below 0), and a pop's partner is the push just before it
-    at its depth, so no group is collected. A carrier whose rebills partly cite numbers and partly do not is treated as two
-    separate kinds of stack.
+    cites or else with its own base pro number; rebills of a day go in the order of their ids. Per carrier and number, and per carrier and pro number, this is a
+    stack: on each day rebills pop first, then that day's invoices are pushed.
+
+    Where no invoice can be popped from both of its stacks, the stacks are apart: running sums give the depth (never below 0), and a pop's partner is the push just
+    before it at its depth, so no group is collected. Stacks that share such an invoice (one cited by number and billed again by pro number) are connected, and
+    each connected set is folded in order of time with the stacks as state.
     """
     base = invoices.drop("is_superseded", "superseded_on", "superseded_by", "target_id")
     cited = F.nullif(F.col("supersedes_invoice_number"), F.lit(""))
     rebill = F.col("invoice_type") == "rebill"
-    event = base.select("carrier_id", "invoice_id", "received_date", "invoice_number", "pro_number", rebill.alias("rebill"), cited.alias("cited"), (F.col("invoice_type") != "balance_due").alias("pushes")).filter("received_date is not null")
-    pops = event.filter("rebill").select("carrier_id", F.when(F.col("cited").isNotNull(), "number").otherwise("pro").alias("kind"), F.coalesce("cited", "pro_number").alias("key"), "invoice_id", "received_date", F.lit(-1).alias("step"))
-    push = lambda kind, key: event.filter("pushes").select("carrier_id", F.lit(kind).alias("kind"), F.col(key).alias("key"), "invoice_id", "received_date", F.lit(1).alias("step"))
-    events = pops.unionByName(push("number", "invoice_number")).unionByName(push("pro", "pro_number"))
-    stack = Window.partitionBy("carrier_id", "kind", "key").orderBy("received_date", "step", "invoice_id")
-    running = stack.rowsBetween(Window.unboundedPreceding, 0)
-    depth = events.withColumn("sum", F.sum("step").over(running)).withColumn("low", F.least(F.min("sum").over(running), F.lit(0)))
-    depth = depth.withColumn("miss", (F.col("step") < 0) & (F.col("sum") == F.col("low")) & (F.col("low") < F.coalesce(F.lag("low").over(stack), F.lit(0))))
-    level = depth.filter("not miss").withColumn("level", F.col("sum") - F.col("low") + F.when(F.col("step") < 0, 1).otherwise(0))
-    partner = F.lag("invoice_id").over(Window.partitionBy("carrier_id", "kind", "key", "level").orderBy("received_date", "step", "invoice_id"))
-    links = level.withColumn("target_id", partner).filter("step < 0").select("carrier_id", F.col("invoice_id").alias("by"), "target_id", F.col("received_date").alias("on"))
+    stack_of = lambda kind, number: F.concat(F.lit(kind), F.to_json(F.array("carrier_id", number)))
+    event = base.select("carrier_id", "invoice_id", "received_date", rebill.alias("rebill"), (F.col("invoice_type") != "balance_due").alias("pushes"), stack_of("n", F.col("invoice_number")).alias("by_number"), stack_of("p", F.col("pro_number")).alias("by_pro"), F.when(cited.isNotNull(), stack_of("n", cited)).otherwise(stack_of("p", F.col("pro_number"))).alias("pops"), "invoice_number", "pro_number", cited.alias("cited")).filter("received_date is not null")
+    pops = event.filter(F.col("rebill") & F.coalesce("cited", "pro_number").isNotNull()).select("carrier_id", F.col("pops").alias("stack"), "invoice_id", "received_date", F.lit(-1).alias("step"))
+    push = lambda stack, number: event.filter(F.col("pushes") & F.col(number).isNotNull()).select("carrier_id", F.col(stack).alias("stack"), "invoice_id", "received_date", F.lit(1).alias("step"))
+    popped = pops.select("stack").distinct()
+    pushes = push("by_number", "invoice_number").unionByName(push("by_pro", "pro_number")).join(popped, "stack", "left_semi")
+    events = pops.unionByName(pushes)
+    shared = pushes.groupBy("carrier_id", "invoice_id").agg(F.min("stack").alias("a"), F.max("stack").alias("b")).filter("a != b").select("a", "b").distinct()
+    links = _apart(events)
+    if not shared.isEmpty():
+        sets = connected(shared).withColumnRenamed("node", "stack")
+        links = _apart(events.join(sets, "stack", "left_anti")).unionByName(_folded(events.join(sets, "stack")))
     hit = links.groupBy("carrier_id", F.col("target_id").alias("invoice_id")).agg(F.min("on").alias("superseded_on"), F.min_by("by", "on").alias("superseded_by"))
     got = links.select("carrier_id", F.col("by").alias("invoice_id"), "target_id")
     out = base.join(hit, ["carrier_id", "invoice_id"], "left").join(got, ["carrier_id", "invoice_id"], "left")
     return out.withColumn("is_superseded", F.col("superseded_on").isNotNull())
 
 
+def _apart(events: DataFrame) -> DataFrame:
+    """carrier_id, by, target_id, on of stacks that share no invoice."""
+    stack = Window.partitionBy("stack").orderBy("received_date", "step", "invoice_id")
+    running = stack.rowsBetween(Window.unboundedPreceding, 0)
+    depth = events.withColumn("sum", F.sum("step").over(running)).withColumn("low", F.least(F.min("sum").over(running), F.lit(0)))
+    depth = depth.withColumn("miss", (F.col("step") < 0) & (F.col("sum") == F.col("low")) & (F.col("low") < F.coalesce(F.lag("low").over(stack), F.lit(0))))
+    level = depth.filter("not miss").withColumn("level", F.col("sum") - F.col("low") + F.when(F.col("step") < 0, 1).otherwise(0))
+    partner = F.lag("invoice_id").over(Window.partitionBy("stack", "level").orderBy("received_date", "step", "invoice_id"))
+    return level.withColumn("target_id", partner).filter("step < 0").select("carrier_id", F.col("invoice_id").alias("by"), "target_id", F.col("received_date").alias("on"))
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """The same of connected stacks (column label): a fold over each set's events in order, whose state is the stacks' invoices that are not replaced yet."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, stacks, gone = None, {}, set()
+        for batch in batches:
+            by, target, on, carrier = [], [], [], []
+            for r in batch.to_pylist():
+                if r["label"] != label:
+                    label, stacks, gone = r["label"], {}, set()
+                own = stacks.setdefault(r["stack"], [])
+                if r["step"] > 0:
+                    own.append(r["invoice_id"])
+                    continue
+                while own and own[-1] in gone:  # replaced through its other stack
+                    gone.discard(own.pop())
+                if own:
+                    gone.add(own[-1])
+                    by.append(r["invoice_id"]), target.append(own.pop()), on.append(r["received_date"]), carrier.append(r["carrier_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(carrier, pa.string()), pa.array(by, pa.string()), pa.array(target, pa.string()), pa.array(on, pa.date32())], names=["carrier_id", "by", "target_id", "on"])
+
+    order = ["label", "received_date", "step", "invoice_id"]
+    return events.select(*order, "stack", "carrier_id").repartition("label").sortWithinPartitions(*order).mapInArrow(fold, "carrier_id string, by string, target_id string, on date")
+
+
 def live(invoices: DataFrame) -> DataFrame:
     return invoices.filter(~F.coalesce("is_superseded", F.lit(False)))
 

@@ -58,19 +58,32 @@ def freight_key() -> Column:
 def duplicate_pairs(books: Books, config: Config) -> DataFrame:
     """invoice_id, first_id, why: each repeat with the earliest invoice it repeats.
 
-    Repeats for the same freight have an earlier invoice with a total within the tolerance and received within the window;
-    a repeat of carrier and invoice number counts otherwise. Only keys with two or more invoices reach the self-join.
+    Repeats for the same freight have an earlier invoice (by receipt, then id) with a total within the tolerance and received within the window;
+    a repeat of carrier and invoice number counts otherwise.
+
+    Invoices of one freight, total and day are one point, which keeps its smallest id: no other of them can be the earliest. The points of one total in one stretch of days as long as the
+    window are one series. A point meets the series of its own and the neighbouring cells (one tolerance by one window) only, so what it meets is bounded by the tolerance in
+    cents, whatever the number of invoices of its freight.
     """
     t = config.tolerances
-    pool = live(books.invoices).filter(F.col("invoice_type").isin(*RATED)).withColumn("key", freight_key()).select("invoice_id", "key", "carrier_id", "invoice_number", "received_date", "total")
-    order = Window.partitionBy("key").orderBy(F.col("received_date").asc_nulls_last(), "invoice_id")
-    many = pool.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").drop("n")
-    a = many.select("key", F.col("rn").alias("rn_a"), F.col("invoice_id").alias("a"), F.col("total").alias("total_a"), F.col("received_date").alias("date_a"))
-    b = many.select("key", "rn", "invoice_id", "total", "received_date")
-    near = b.join(a, "key").filter((F.col("rn_a") < F.col("rn")) & (F.abs(F.col("total") - F.col("total_a")) <= money(t.duplicate_amount)) & (F.datediff("received_date", "date_a") <= t.duplicate_window_days))
-    same = near.groupBy("invoice_id").agg(F.min_by("a", "rn_a").alias("by_freight"))
-    number = Window.partitionBy("carrier_id", "invoice_number").orderBy(F.col("received_date").asc_nulls_last(), "invoice_id")
-    again = pool.filter("invoice_number is not null").withColumn("by_number", F.first("invoice_id").over(number)).filter("by_number != invoice_id").select("invoice_id", "by_number")
+    pool = live(books.invoices).filter(F.col("invoice_type").isin(*RATED)).withColumn("key", freight_key()).select("invoice_id", "key", "carrier_id", "invoice_number", F.col("received_date").alias("day"), "total")
+    dated = pool.filter("day is not null and total is not null")
+    width, days = max(float(t.duplicate_amount), 0.01), max(int(t.duplicate_window_days), 1)
+    many = dated.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    points = dated.join(many, "key").groupBy("key", "day", "total").agg(F.min("invoice_id").alias("first"))
+    points = points.withColumns({"x": F.floor(F.col("total") / F.lit(str(width)).cast("decimal(18,4)")).cast("long"), "y": F.floor(F.datediff("day", F.lit("2000-01-01").cast("date")) / days).cast("long")})
+    near = lambda c, low, high: F.explode(F.array(*[F.col(c) + k for k in range(low, high + 1)]))
+    later = points.select("key", "day", "total", near("x", -1, 1).alias("x"), "y").withColumn("y", near("y", -1, 0))
+    series = points.groupBy("key", "x", "y", F.col("total").alias("total_a")).agg(F.array_sort(F.collect_list(F.struct("day", F.col("first").alias("a")))).alias("days"))
+    meet = later.join(series, ["key", "x", "y"]).filter(F.abs(F.col("total") - F.col("total_a")) <= money(t.duplicate_amount))
+    start = F.date_sub("day", t.duplicate_window_days)
+    before = F.get(F.filter("days", lambda e: (e["day"] >= start) & (e["day"] < F.col("day"))), F.lit(0))
+    today = F.get(F.filter("days", lambda e: e["day"] == F.col("day")), F.lit(0))["a"]
+    best = meet.groupBy("key", "day", "total").agg(F.min(before)["a"].alias("before"), F.min(today).alias("today"))
+    same = dated.select("invoice_id", "key", "day", "total").join(best, ["key", "day", "total"]).select("invoice_id", F.coalesce("before", F.when(F.col("today") < F.col("invoice_id"), F.col("today"))).alias("by_freight")).filter("by_freight is not null")
+    numbered = pool.filter("invoice_number is not null")
+    first = numbered.groupBy("carrier_id", "invoice_number").agg(F.min(F.struct(F.col("day").isNull(), "day", "invoice_id"))["invoice_id"].alias("by_number"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = numbered.join(first, ["carrier_id", "invoice_number"]).filter("by_number != invoice_id").select("invoice_id", "by_number")
     got = same.join(again, "invoice_id", "full_outer")
     return got.select("invoice_id", F.coalesce("by_freight", "by_number").alias("first_id"), F.when(F.col("by_freight").isNotNull(), "same shipment or BOL, total within tolerance").otherwise("same carrier and invoice number").alias("why"))
 
