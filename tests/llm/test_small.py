@@ -322,6 +322,7 @@ def test_components_of_chains(spark):
 
 
 def test_lm_score(spark, docs, none):
+    from wharfline.llm import lm_score as lm
     from wharfline.llm.lm_score import ABSENT, EliasFano, Level, lm_score
 
     import math
@@ -351,11 +352,21 @@ def test_lm_score(spark, docs, none):
         seen, of = np.unique(key // 50, return_inverse=True)
         level = Level.build(contexts[seen], of, key % 50, np.arange(len(key), dtype=np.uint16), seen.astype(np.uint16) + 7, 50)
         every = np.arange(40 * 50)
-        p, back = level.find(contexts[every // 50], every % 50)
         want = {int(k): i for i, k in enumerate(key)}
-        assert p.tolist() == [want.get(k, ABSENT) for k in every.tolist()]
-        assert back.tolist() == [k // 50 + 7 if k // 50 in seen else 0 for k in every.tolist()]
-        assert level.find(contexts[:3] + np.uint64(1), np.zeros(3, np.int64))[0].tolist() == [ABSENT] * 3
+        for block in (1 << 16, 7, 1):
+            lm.BLOCK_KEYS = block
+            for asked in (every, every[g.random(len(every)) < 0.1]):
+                own, place = np.unique(asked // 50, return_inverse=True)
+                p, back = level.find(contexts[own], place, asked % 50)
+                assert p.tolist() == [want.get(k, ABSENT) for k in asked.tolist()]
+                assert back.tolist() == [c + 7 if c in seen else 0 for c in own.tolist()]
+            assert level.find(contexts[:3] + np.uint64(1), np.arange(3), np.zeros(3, np.int64))[0].tolist() == [ABSENT] * 3
+            x = np.unique(g.integers(0, 10 ** g.integers(2, 9), 500))
+            e = EliasFano.build(x, int(x[-1]) + 1)
+            assert all(e.part(a, b).tolist() == x[a:b].tolist() for a, b in ((0, len(x)), (3, 3), (5, 77), (len(x) - 1, len(x))))
+            q = np.unique(np.concatenate((g.integers(0, int(x[-1]) + 1, 50), g.choice(x, 20))))
+            assert e.find(q).tolist() == [int(np.searchsorted(x, k)) if k in x else -1 for k in q.tolist()]
+        lm.BLOCK_KEYS = 1 << 16
 
 
 def test_lm_score_keeps_all_grams(spark):

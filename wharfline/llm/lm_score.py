@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, store_parts
 from .common import NON_SPACE, bounded_batches, chunks, crc_mod, materialise, mix, release, table, word_hashes, word_spans
 
 ABSENT = 65535
@@ -30,6 +31,8 @@ DISCOUNT = 0.75
 CHUNK_TEXT = 8 << 20
 #: A word with more than 1 / FREQUENT of the training tokens is frequent: there are fewer than FREQUENT, and fewer than its square contexts of them.
 FREQUENT = 1024
+#: so many keys are searched at a time
+BLOCK_KEYS = 1 << 16
 STEP = 4096.0  # quantisation: codes per unit of log10
 
 
@@ -107,13 +110,40 @@ class EliasFano:
             live = live[at[live] < end[live]]
         return at
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it is absent."""
-        if not self.n:
-            return np.full(len(key), -1, np.int64)
-        at = self.successor(key)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == key.astype(np.uint64)), at, -1)
+    def part(self, a: int, b: int) -> np.ndarray:
+        """The values from index ``a`` to ``b``, read in one go."""
+        if a >= b:
+            return np.empty(0, np.uint64)
+        edge = self._select(self.high, self.ones_before, np.array([a, b - 1]))
+        word = int(edge[0]) // 64
+        bits = np.unpackbits(self.high[word : int(edge[1]) // 64 + 1].view(np.uint8), bitorder="little")
+        place = np.flatnonzero(bits)[a - int(self.ones_before[word]) :][: b - a] + word * 64
+        index = np.arange(a, b)
+        return ((place - index).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(index)
+
+    def find(self, key: np.ndarray, within: tuple[int, int] | None = None) -> np.ndarray:
+        """Index of each of the ascending keys, -1 where it is absent; ``within`` bounds the indices.
+
+        A block of keys has its successors in one stretch of the sequence, which is read in one go; a stretch that is much longer than the block is not, its keys are searched one by one.
+        """
+        out = np.full(len(key), -1, np.int64)
+        low, end = within or (0, self.n)
+        for at in range(0, len(key), BLOCK_KEYS):
+            own = key[at : at + BLOCK_KEYS].astype(np.uint64)
+            a, b = np.clip(self.successor(own[[0, -1]]), low, end).tolist()
+            b = min(b + 1, end)
+            if b - a > 16 * len(own) + 4096:
+                place = self.successor(own)
+                inside = np.minimum(place, self.n - 1)
+                hit = (place < end) & (self.get(inside) == own)
+            else:
+                values = self.part(a, b)
+                place = np.searchsorted(values, own)
+                hit = place < len(values)
+                hit[hit] = values[place[hit]] == own[hit]
+                place = place + a
+            out[at : at + len(own)] = np.where(hit, place, -1)
+        return out
 
 
 # ---------------------------------------------------------------- the model
@@ -158,18 +188,30 @@ class Level:
             buffer.write(part)
         return cls(buffer)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words after the contexts (ABSENT where not in training) and of the contexts' back-off weights (0, all mass, where not in training)."""
-        p, g = np.full(len(context), ABSENT, np.uint16), np.zeros(len(context), np.uint16)
+    def find(self, context: np.ndarray, of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words after the contexts (ABSENT where not in training) and of the contexts' back-off weights (0, all mass, where not in training).
+
+        Contexts ascend; ``of`` has each word's context's number, and words ascend within a context. The children of a block of contexts lie between the pointers of its first
+        and of the one after its last; there the words are searched, relative to their contexts.
+        """
+        p, g = np.full(len(word), ABSENT, np.uint16), np.zeros(len(context), np.uint16)
         node = self.contexts.find(context)
-        live = np.flatnonzero(node >= 0)
-        if len(live):
-            node = node[live]
-            g[live] = self.g[node]
-            begin, end = self.pointers.get(node).astype(np.int64), self.pointers.get(node + 1).astype(np.int64)
-            at = self.children.find(node.astype(np.uint64) * np.uint64(self.width) + word[live].astype(np.uint64))
-            hit = (at >= begin) & (at < end)
-            p[live[hit]] = self.p[at[hit]]
+        seen = np.flatnonzero(node >= 0)
+        g[seen] = self.g[node[seen]]
+        first = np.searchsorted(of, np.arange(len(context) + 1))
+        begins, at = first[seen], 0
+        while at < len(seen):
+            # contexts with about BLOCK_KEYS words together, or one
+            to = max(at + 1, int(np.searchsorted(begins, begins[at] + BLOCK_KEYS)))
+            block = seen[at:to]
+            begin, end = self.pointers.get(np.array([node[block[0]], node[block[-1]] + 1])).astype(np.int64).tolist()
+            mine = np.flatnonzero(node[of[first[block[0]] : first[block[-1] + 1]]] >= 0) + first[block[0]]
+            key = node[of[mine]].astype(np.uint64) * np.uint64(self.width) + word[mine].astype(np.uint64)
+            for k in range(0, len(key), BLOCK_KEYS):
+                child = self.children.find(key[k : k + BLOCK_KEYS], (begin, end))
+                hit = child >= 0
+                p[mine[k : k + BLOCK_KEYS][hit]] = self.p[child[hit]]
+            at = to
         return p, g
 
 
@@ -194,14 +236,14 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=np.uint64)
 
 
-CHUNK = "train binary, lengths binary, words binary, learned binary, by_count binary, seq binary, train_tokens long, train_docs long"
+CHUNK = "train binary, lengths binary, by_count binary, seq binary, train_tokens long, train_docs long, words binary, learned binary, part int"
 
 
 def chunk_documents(docs: DataFrame, limit: int) -> DataFrame:
     """Rows of the documents of about ``limit`` bytes of text (a longer text alone), as words rather than text.
 
-    Of each: chunk, ids, train flags, lengths in words, the sorted hashes of its distinct words, how often each is in training documents,
-    their places in the order of frequency, and the documents' words by that order; tokens and documents in training.
+    Of each a row of part 0: chunk, ids, train flags, lengths in words, the places of its distinct words in the order of frequency, and the documents' words by that order; tokens and
+    documents in training; and one of part 1: the sorted hashes of its distinct words, and how often each is in training documents.
     """
 
     def cut(batches):
@@ -221,12 +263,15 @@ def chunk_documents(docs: DataFrame, limit: int) -> DataFrame:
             by_count = np.argsort(-times, kind="stable").astype(np.uint32)
             rank = np.empty(len(word), np.uint32)
             rank[by_count] = np.arange(len(word), dtype=np.uint32)
-            made = [train.tobytes(), _pack(lengths.astype(np.uint32)), _pack_sorted(word), _pack(learned), _pack(by_count), _pack(rank[place])]
-            row = [pa.array([(task << 24) + number]), pa.array([ids], pa.list_(id_type)), *(pa.array([m], pa.binary()) for m in made), pa.array([int((lengths[train] + 1).sum())], pa.int64()), pa.array([int(train.sum())], pa.int64())]
+            two = lambda value, kind: pa.array([value, None], kind)
+            row = [
+                pa.array([(task << 24) + number] * 2), two(ids, pa.list_(id_type)), *(two(m, pa.binary()) for m in (train.tobytes(), _pack(lengths.astype(np.uint32)), _pack(by_count), _pack(rank[place]))),
+                two(int((lengths[train] + 1).sum()), pa.int64()), two(int(train.sum()), pa.int64()), *(pa.array([None, m], pa.binary()) for m in (_pack_sorted(word), _pack(learned))), pa.array([0, 1], pa.int32()),
+            ]
             number += 1
             held.clear()
             release()
-            return pa.RecordBatch.from_arrays(row, names=["chunk", "ids", "train", "lengths", "words", "learned", "by_count", "seq", "train_tokens", "train_docs"])
+            return pa.RecordBatch.from_arrays(row, names=["chunk", "ids", "train", "lengths", "by_count", "seq", "train_tokens", "train_docs", "words", "learned", "part"])
 
         for part, data, offs in chunks(batches, "text"):
             id_type = part.column("doc_id").type
@@ -336,8 +381,15 @@ def chunk_grams(chunk: pa.Table, replies: pa.Table, width: int, frequent: np.nda
     return count, firsts, starts, inner, c, w, at, cut, learned
 
 
+def changes(context: np.ndarray) -> np.ndarray:
+    """Whether a context differs from the one before it; the first one does."""
+    new = np.ones(len(context), bool)
+    new[1:] = context[1:] != context[:-1]
+    return new
+
+
 def gram_answers(requests: DataFrame, width: int, tokens: int, bits: int) -> DataFrame:
-    """For every requested gram the code of its discounted probability (ABSENT if not in training) and its context's back-off weight.
+    """For every requested gram the code of its discounted probability (ABSENT if not in training), and for each of a request's contexts its back-off weight.
 
     In the shards of contexts that are spread the code is the discounted count's share of all tokens, and a further row (chunk null) has
     the contexts (a) and their totals and numbers of children there (b).
@@ -348,20 +400,24 @@ def gram_answers(requests: DataFrame, width: int, tokens: int, bits: int) -> Dat
         spread = shard >> bits
         asked = [_unpack_sorted(b) for b in part.column("contexts").to_pylist()]
         words = [_unpack(b, np.uint32) for b in part.column("words").to_pylist()]
+        cut = np.cumsum([0, *map(len, asked)])
         context, of = np.unique(np.concatenate(asked), return_inverse=True)
         key, where = np.unique(of.astype(np.uint64) * np.uint64(width) + np.concatenate(words), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in part.column("counts").to_pylist()]), len(key))
-        key, total = key[total > 0], total[total > 0]
-        own = (key // np.uint64(width)).astype(np.int64)
+        times = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in part.column("counts").to_pylist()]), len(key))
+        learned = times > 0
+        total, own = times[learned], (key[learned] // np.uint64(width)).astype(np.int64)
         whole, kinds = np.bincount(own, total, len(context)), np.bincount(own, minlength=len(context))
         seen = np.flatnonzero(whole)
         number = np.cumsum(whole > 0) - 1
-        level = Level.build(context[seen], number[own], key % np.uint64(width), quantise(np.log10((total - DISCOUNT) / (tokens if spread else whole[own]))), quantise(np.log10(DISCOUNT * kinds[seen] / whole[seen])), width)
-        found = [level.find(c, w) for c, w in zip(asked, words)]
-        chunk, a, b = part.column("chunk").to_pylist(), [_pack(p) for p, _ in found], [_pack(g) for _, g in found]
+        level = Level.build(context[seen], number[own], key[learned] % np.uint64(width), quantise(np.log10((total - DISCOUNT) / (tokens if spread else whole[own]))), quantise(np.log10(DISCOUNT * kinds[seen] / whole[seen])), width)
+        # every gram that any chunk asks for is searched once
+        p, g = level.find(context, (key // np.uint64(width)).astype(np.int64), (key % np.uint64(width)).astype(np.uint32))
+        chunk = part.column("chunk").to_pylist()
+        a = [_pack(p[where[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+        b = [_pack(g[of[i:j][changes(of[i:j])]]) for i, j in zip(cut[:-1], cut[1:])]  # one for each of its contexts
         if spread:
             chunk.append(None), a.append(_pack(context[seen])), b.append(_pack(np.concatenate((whole[seen], kinds[seen])).astype(np.uint64)))
-        del level, found
+        del level
         release()
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "shard": pa.array([shard] * len(chunk), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "grams": pa.array([1] * len(chunk), pa.int32())})
 
@@ -405,21 +461,24 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
 
     Scale: texts are written once, as compressed words, in chunks; each chunk sends its distinct words and grams to hash shards (their
     number follows the chunks'), one to a task. No word or gram is dropped; only the totals of contexts of frequent words alone are broadcast
-    (their number is bounded). Ids must stay below 2**31, so that two make a context; there is one small blob per chunk and shard, so beyond
+    (their number is bounded). Ids must stay below 2**31, so that two make a context (an error beyond); there is one small blob per chunk and shard, so beyond
     about 1 TB of text ``chunk_text`` should grow with the square root of the input.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = dict(source.dtypes)["doc_id"]
-    packed = materialise(chunk_documents(source, chunk_text), "chunks")
+    packed, vocabulary = store_parts(chunk_documents(source, chunk_text), "part", [0, 1], "chunks")
     size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum("train_tokens").alias("t"), F.sum("train_docs").alias("d")).first()
     tokens, ends = size.t or 0, size.d or 0
     bits = max(4, int(size.n).bit_length())
-    answers = materialise(word_answers(word_requests(packed, bits).repartition(1 << bits, "shard"), tokens // FREQUENT), "counts")
+    answers = materialise(word_answers(word_requests(vocabulary, bits).repartition(1 << bits, "shard"), tokens // FREQUENT), "counts")
+    discard(vocabulary)
     shards = answers.filter("chunk is null").select("shard", "distinct", "a").collect()
     frequent = np.concatenate([np.array([END, START], np.uint64), *(word_ids(_unpack(r.a), r.shard, bits) for r in shards)])
     distinct = sum(r.distinct for r in shards)
     width = (max((r.distinct for r in shards), default=0) << bits) + END_AND_START
+    if width > 1 << 31:
+        raise ValueError(f"{width} word ids: beyond 2**31 two of them no longer make a context")
     types = distinct + (ends > 0)
     base_mass = math.log10(tokens + types + 1)
     end_base = math.log10(ends + 1) - base_mass
@@ -442,6 +501,9 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
         count, first, starts, inner, c, _, at, cut, _ = chunk_grams(chunk, replies, width, frequent, bits)
         by_shard = sorted((r["shard"], r["a"], r["b"]) for r in replies.to_pylist() if r["grams"] == 1)
         p, g = (np.concatenate([np.empty(0, np.uint16), *(_unpack(r[k], np.uint16) for r in by_shard)]) for k in (1, 2))
+        new = changes(c)
+        new[[k for k in cut if k < len(c)]] = True  # a shard's answer begins with its first context
+        g = g[np.cumsum(new) - 1]
         p, g = np.where(p == ABSENT, 0.0, 10 ** (p / -STEP)), 10 ** (g / -STEP)
         context, whole, kinds = sent.value
         half = cut[1 << bits]
