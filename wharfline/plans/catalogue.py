@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property, reduce
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..config import CARRIERS
 from ..functions import formats, stats, tariff, text
-from ..operators import accruals, action, resolve, rules, scoring, temporal
-from ..session import store
+from ..operators import accruals, action, knowledge, report, resolve, rules, scoring, temporal
+from ..session import shared_dir, store
 from ..sources.layouts import LAYOUTS
 from ..sources.normalize import parse
+from ..sources.numbered import fields, numbered_records
 from ..sources.render import as_raw, render
+from ..sources.stages import commit_stage, read_stage
 from . import projection
+from .audit_run import finding_lines
 
 D = "double"
 
@@ -63,6 +67,27 @@ class Case:
     def outcomes(self) -> DataFrame:
         return store(scoring.outcomes(self.counted, self.labels))
 
+    @cached_property
+    def naive_outcomes(self) -> DataFrame:
+        return store(scoring.outcomes(self.naive, self.labels))
+
+    @cached_property
+    def queue(self) -> DataFrame:
+        return store(action.exception_queue(self.counted, self.books.invoices, self.summary))
+
+    @cached_property
+    def accuracy(self) -> DataFrame:
+        return store(accruals.accuracy(self.detail, self.actuals, self.config))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return store(action.systemic_findings(self.books.invoices, self.counted, self.modes, self.config))
+
+    @cached_property
+    def sensitivity(self) -> DataFrame:
+        other = accruals.accuracy(accruals.accrue(accruals.authorizations_at_delivery(self.books), self.config, self.ends, self.modes, store), self.actuals, self.config)
+        return store(accruals.sensitivity(self.accuracy, other))
+
     @cached_property
     def modes(self) -> DataFrame:
         return store(self.books.shipments.select("carrier_id", "mode").distinct())
@@ -308,12 +333,12 @@ def recall_by_mode(c: Case) -> DataFrame:
 
 @query
 def trap_false_flags(c: Case) -> DataFrame:
-    return scoring.trap_table(c.labels, scoring.outcomes(c.naive, c.labels))
+    return scoring.trap_table(c.labels, c.naive_outcomes)
 
 
 @query
 def false_flag_causes(c: Case) -> DataFrame:
-    d = scoring.fp_causes(c.labels, scoring.outcomes(c.naive, c.labels))
+    d = scoring.fp_causes(c.labels, c.naive_outcomes)
     return d.select("cause", "false_flags", F.round("share", 9).alias("share"), "by_rule")
 
 
@@ -334,19 +359,19 @@ def sweep_recommendation(c: Case) -> DataFrame:
 
 @query
 def exception_queue(c: Case) -> DataFrame:
-    d = action.exception_queue(c.counted, c.books.invoices, c.summary)
+    d = c.queue
     return d.select("queue_rank", "invoice_id", "carrier_id", "error_types", F.col("n_flags").cast("long").alias("n_flags"), *money("total", "recoverable"))
 
 
 @query
 def top_n_per_carrier(c: Case) -> DataFrame:
-    d = action.top_per_carrier(action.exception_queue(c.counted, c.books.invoices, c.summary), c.config.top_n)
+    d = action.top_per_carrier(c.queue, c.config.top_n)
     return d.select("carrier_id", "carrier_rank", "invoice_id", *money("recoverable"))
 
 
 @query
 def queue_filter(c: Case) -> DataFrame:
-    d = action.filter_queue(action.exception_queue(c.counted, c.books.invoices, c.summary), ["CAR1", "CAR6"], ["fsc_mismatch", "phantom_invoice"])
+    d = action.filter_queue(c.queue, ["CAR1", "CAR6"], ["fsc_mismatch", "phantom_invoice"])
     return d.select("invoice_id", "error_types")
 
 
@@ -397,9 +422,7 @@ def binomial_tail(c: Case) -> DataFrame:
 @query
 def dispute_packs(c: Case) -> DataFrame:
     carriers = c.spark.createDataFrame([(f"CAR{i}", x.carrier_name) for i, x in enumerate(CARRIERS)], "carrier_id string, carrier_name string")
-    findings = action.systemic_findings(c.books.invoices, c.counted, c.modes, c.config)
-    queue = action.exception_queue(c.counted, c.books.invoices, c.summary)
-    return action.dispute_packs(queue, c.counted, c.books.invoices, findings, carriers, c.config.top_n)
+    return action.dispute_packs(c.queue, c.counted, c.books.invoices, c.findings, carriers, c.config.top_n)
 
 
 # ---------------------------------------------------------------- accruals
@@ -428,20 +451,18 @@ def shipment_actuals(c: Case) -> DataFrame:
 
 @query
 def accrual_accuracy(c: Case) -> DataFrame:
-    d = accruals.accuracy(c.detail, c.actuals, c.config)
+    d = c.accuracy
     return d.select("month_end", "shipments_accrued", "never_billed", *money("accrual_estimate", "actual_billed", "actual_payable", "error"), *[F.round(k, 9).alias(k) for k in ("error_pct", "shipment_mape", "shipment_median_ape", "shipment_share_over_band")])
 
 
 @query
 def accuracy_headline(c: Case) -> DataFrame:
-    return accruals.headline(accruals.accuracy(c.detail, c.actuals, c.config)).select(F.round("mape", 9).alias("mape"), F.round("bias", 9).alias("bias"))
+    return accruals.headline(c.accuracy).select(F.round("mape", 9).alias("mape"), F.round("bias", 9).alias("bias"))
 
 
 @query
 def accrual_sensitivity(c: Case) -> DataFrame:
-    built = accruals.accuracy(c.detail, c.actuals, c.config)
-    other = accruals.accuracy(accruals.accrue(accruals.authorizations_at_delivery(c.books), c.config, c.ends, c.modes, store), c.actuals, c.config)
-    return accruals.sensitivity(built, other).select("month_end", "shipments_accrued", *money("actual_payable", "accrual_estimate_as_built", "accrual_estimate_auth_at_delivery", "late_auth_effect"))
+    return c.sensitivity.select("month_end", "shipments_accrued", *money("actual_payable", "accrual_estimate_as_built", "accrual_estimate_auth_at_delivery", "late_auth_effect"))
 
 
 @query
@@ -469,8 +490,8 @@ def recoverable_text(c: Case) -> DataFrame:
 # ---------------------------------------------------------------- carrier files
 
 
-def _rendered(c: Case) -> list[tuple]:
-    """(layout, invoices, lines, fixes, exceptions) of the projected invoices, rendered in their carriers' layouts and parsed again."""
+def _rendered(c: Case, change=lambda raw, layout: raw) -> list[tuple]:
+    """(invoices, lines, fixes, exceptions) by layout of the projected invoices, rendered in their carriers' layouts, changed and parsed again."""
     names = ("A", "B", "C", "D")
     config = replace(c.config, carriers=tuple(replace(x, carrier_id=f"CAR{i}", layout=names[i % 4]) for i, x in enumerate(CARRIERS)))
     places = (("St. Louis", "MO"), ("Ft. Worth", "TX"), ("Chicago", "IL"))
@@ -484,7 +505,7 @@ def _rendered(c: Case) -> list[tuple]:
     out = []
     for k, name in enumerate(names):
         own = F.col("carrier_id").isin(f"CAR{k}", f"CAR{k + 4}")
-        raw = as_raw(render(inv.filter(own), lines.filter(own), LAYOUTS[name], config), LAYOUTS[name])
+        raw = change(as_raw(render(inv.filter(own), lines.filter(own), LAYOUTS[name], config), LAYOUTS[name]), LAYOUTS[name])
         out.append(parse(raw, LAYOUTS[name], config, cities))
     return out
 
@@ -504,3 +525,91 @@ def normaliser_fixes(c: Case) -> DataFrame:
     """How often each kind of fix was needed to read the rendered files, by carrier."""
     marks = reduce(DataFrame.unionByName, [p[2] for p in _rendered(c)])
     return marks.groupBy("carrier_id", "fix_type", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def flag_reasons_all(c: Case) -> DataFrame:
+    """The sentence of every flag of every rule."""
+    return c.counted.select("invoice_id", "error_type", "reason")
+
+
+@query
+def normaliser_exceptions(c: Case) -> DataFrame:
+    """The rendered files with some cells spoiled by the invoice's part number: what could not be read, what was kept nevertheless, and how often."""
+    part = F.element_at(F.split("control_id", "-"), 3).cast("long") % 50
+
+    def spoil(raw: DataFrame, layout) -> DataFrame:
+        at = lambda k, column, text_: raw_cols.update({column: F.when(part == k, F.lit(text_)).otherwise(raw_cols.get(column, F.col(f"`{column}`")))})
+        raw_cols: dict = {}
+        at(1, "invoice_date", "31/31/1998"), at(2, "ship_date", ""), at(3, "weight", "heavy"), at(4, "total", "n/a"), at(5, "origin", "Nowhere"), at(6, "bol", "??")
+        if not layout.wide:
+            at(7, "charge", "MYSTERY"), at(8, "amount", "x1")
+        return raw.withColumns(raw_cols)
+
+    told = reduce(DataFrame.unionByName, [p[3] for p in _rendered(c, spoil)])
+    return told.groupBy("carrier_id", "control_id", "exception_type", "raw_value", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def csv_record_numbers(c: Case) -> DataFrame:
+    """Documents written as CSV files of two hundred ids, and read back with record numbers: quotes, line feeds and commas of the texts lie within fields."""
+    path = f"{shared_dir(c.spark)}/wharfline/csv-{uuid.uuid4().hex}"
+    d = c.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 200).alias("file"))
+    writer = d.repartition("file").sortWithinPartitions("file", "doc_id").write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", '""')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy("file").csv(path)
+    records, _ = numbered_records(c.spark, f"{path}/file=*/*.csv")
+    v = fields(F.col("record"), 2)
+    return records.filter("csv_row > 1").select(v["c0"].cast("long").alias("doc_id"), F.col("folder").cast("long").alias("file"), "csv_row", F.sha2(F.coalesce(v["c1"], F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def supersession_mixed(c: Case) -> DataFrame:
+    """Half of the parts' rebills cite the number of the line before theirs, the others go by pro number; orders with a few lines hold both."""
+    line = F.element_at(F.split("invoice_number", "-"), 2).cast("int")
+    part = F.element_at(F.split("invoice_id", "-"), 3).cast("long")
+    cites = F.when((F.col("invoice_type") == "rebill") & (part % 2 == 0), F.concat(F.lit("N"), "pro_number", F.lit("-"), (line - 1).cast("string")))
+    d = resolve.supersede(c.books.invoices.withColumn("supersedes_invoice_number", cites))
+    return d.select("invoice_id", "is_superseded", "superseded_on", "superseded_by", "target_id")
+
+
+@query
+def accruals_as_known(c: Case) -> DataFrame:
+    """The accruals of three quarter-ends, each from the books as they were known that day; equal to those from all books."""
+    out = []
+    for end in ("1997-09-30", "1997-12-31", "1998-03-31"):
+        day = c.ends.filter(F.col("month_end") == F.lit(end).cast("date"))
+        out.append(accruals.accrue(knowledge.as_known(c.books, end), c.config, day, c.modes, store))
+    return reduce(DataFrame.unionByName, out).select("month_end", "shipment_id", *money("lh_estimate", "fsc_estimate", "accessorial_estimate", "accrual_estimate"))
+
+
+@query
+def stage_manifest(c: Case) -> DataFrame:
+    """The audit's tables committed as a stage and read back: rows and columns as the manifest has them and as they are."""
+    folder = f"{shared_dir(c.spark)}/wharfline/stages-{uuid.uuid4().hex}/audit"
+    told = commit_stage({"audit_flags": c.counted, "audit_invoice_summary": c.summary, "outcomes": c.outcomes}, folder)
+    found = [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(told[name]["rows"]).cast("long").alias("told_rows")) for name, d in read_stage(c.spark, folder, check=True).items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def overview_breakdown(c: Case) -> DataFrame:
+    d = report.breakdown(c.summary)
+    return d.select("level", "key", "audited", "flagged", *money("billed", "recoverable"), F.round("flag_rate", 9).alias("flag_rate"), F.round("recoverable_share", 9).alias("recoverable_share"))
+
+
+def _recommended(c: Case) -> DataFrame:
+    d = scoring.sweep(c.context.rerated, c.labels, c.books.invoices.join(c.modes, "carrier_id").select("invoice_id", "mode"), c.config)
+    return scoring.recommend(d, c.config)
+
+
+@query
+def summary_block(c: Case) -> DataFrame:
+    """The nested summary's numbers by path."""
+    block = report.summary_block(c.summary, c.counted, {"engine": c.outcomes, "baseline": c.naive_outcomes}, scoring.fp_causes(c.labels, c.naive_outcomes), c.findings, c.accuracy, c.sensitivity, _recommended(c), c.config)
+    return report.paths(block).select("path", F.round("value", 6).alias("value"))
+
+
+@query
+def key_findings(c: Case) -> DataFrame:
+    """The overview's sentences, in order."""
+    return finding_lines({"systemic_findings": c.findings, "baseline_fp_causes": scoring.fp_causes(c.labels, c.naive_outcomes), "accrual_accuracy": c.accuracy}, c.config)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import CARRIERS
 from .projection import AS_OF, lh_sql, pct_sql, projection, tl_sql
 
 M = "DECIMAL(18,2)"
@@ -274,3 +275,124 @@ ORACLES |= {
     "normaliser_fixes": sql([], _LAYOUT + "SELECT carrier_id, fix_type, unit, CAST(sum(k) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT carrier_id, '{t}' AS fix_type, '{u}' AS unit, {k} AS k FROM ly JOIN n USING (invoice_id) WHERE {w}" for t, u, k, w in _FIXES) + ") GROUP BY 1, 2, 3"),
 }
 ORACLES = {k: v.replace(")\n, ", "),\n") if "\n, " in v else v for k, v in ORACLES.items()}
+
+_USD = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', CAST(abs({0}) AS DOUBLE))"
+
+
+def usd(x: str) -> str:
+    return _USD.format(x)
+
+
+def pct(x: str) -> str:
+    return f"format('{{:,.1f}}', CAST({x} AS DOUBLE) * 100) || '%'"
+
+
+def pounds(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+_REASONS = f"""
+SELECT c.invoice_id, c.error_type, 'Repeats ' || du.f || ' received ' || coalesce(CAST(fb_.received_date AS VARCHAR), 'on an unknown date') || ' (' || CASE WHEN d1.f IS NOT NULL THEN 'same shipment or BOL, total within tolerance' ELSE 'same carrier and invoice number' END || '): ' || {usd("b.total")} AS reason
+  FROM co c JOIN du USING (invoice_id) JOIN bi b USING (invoice_id) LEFT JOIN bi fb_ ON fb_.invoice_id = du.f LEFT JOIN d1 ON d1.invoice_id = c.invoice_id WHERE c.error_type = 'duplicate_invoice'
+UNION ALL SELECT invoice_id, 'phantom_invoice', 'No shipment for BOL ' || bol_raw || ' of ' || carrier_id || ': ' || {usd("total")} FROM bi WHERE NOT is_superseded AND shipment_id IS NULL
+UNION ALL SELECT invoice_id, 'rate_overcharge', 'Linehaul ' || {usd("blh")} || ' vs contract ' || {usd("lhb")} || ' at ' || {pounds("bw")} || ' lb (rate version ' || version || '): +' || {usd("gap")} FROM rr WHERE gap > greatest(CAST(2.00 AS DECIMAL(28,8)), 0.01 * lhb)
+UNION ALL SELECT invoice_id, 'fsc_mismatch', 'Fuel ' || {usd("bfsc")} || ' vs expected ' || {usd("fexp")} || ' (week of ' || CAST(CAST(date_trunc('week', s.ship_date) AS DATE) AS VARCHAR) || ', ' ||
+    CASE WHEN rr.mode = 'LTL' THEN coalesce({pct("CAST(bfsc AS DOUBLE) / CAST(blh AS DOUBLE)")} || ' of linehaul vs ' || {pct("pct")}, 'no linehaul') ELSE 'over ' || {pounds("rr.miles")} || ' miles' END || '): +' || {usd("fsc_i")}
+  FROM rr JOIN ship s USING (shipment_id) WHERE (rr.mode = 'LTL' AND blh > 0 AND (bfsc - blh * pct) * 100 > 0.25 * blh AND fsc_i > 1.00) OR (rr.mode = 'TL' AND fsc_i > greatest(CAST(2.00 AS DECIMAL(28,8)), 0.005 * fexp))
+UNION ALL SELECT invoice_id, 'unauthorized_accessorial', upper(charge_code[1]) || lower(charge_code[2:]) || ' ' || {usd("amount")} || ' without an authorization on file for ' || shipment_id || ' as of {AS_OF}' FROM ac WHERE st = 'unauthorized'
+UNION ALL SELECT rr.invoice_id, 'weight_overbilling', 'Billed ' || {pounds("bw")} || ' lb vs ' || CASE WHEN ce.shipment_id IS NOT NULL THEN 'certified ' ELSE 'shipped ' END || {pounds("rw")} || ' lb: +' || {usd("weight_i")}
+  FROM rr LEFT JOIN (SELECT DISTINCT shipment_id FROM cert WHERE certified_at <= DATE '{AS_OF}') ce USING (shipment_id) WHERE rr.mode = 'LTL' AND bw > rw * 1.02"""
+
+_SPOILED = " UNION ALL ".join(
+    f"SELECT carrier_id, invoice_id AS control_id, '{kind}' AS exception_type, '{raw}' AS raw_value, '{detail}' AS detail, 1 AS n FROM ly WHERE l_partkey % 50 = {k}"
+    for k, kind, raw, detail in (
+        (1, "unparseable_date", "31/31/1998", "row dropped"), (2, "unparseable_date", "", "row dropped"), (3, "unparseable_weight", "heavy", "row dropped"),
+        (4, "unparseable_total", "n/a", "kept"), (5, "unknown_city", "Nowhere", "kept"), (6, "unparseable_bol", "??", "kept; cannot match exactly"),
+    )
+)
+
+#: the stacks of an order, one event after another, as lists; an entry is an invoice with its number and pro number
+_MIXED = """
+WITH RECURSIVE src AS (SELECT * FROM ({inv})),
+ev AS (
+  SELECT *, row_number() OVER (PARTITION BY carrier_id, pro_number ORDER BY received_date, step, invoice_id) AS at FROM (
+    SELECT carrier_id, pro_number, invoice_id, invoice_number, received_date, -1 AS step, cites FROM src WHERE invoice_type = 'rebill'
+    UNION ALL SELECT carrier_id, pro_number, invoice_id, invoice_number, received_date, 1, NULL FROM src WHERE invoice_type <> 'balance_due')),
+st AS (
+  SELECT carrier_id, pro_number, 0::BIGINT AS at, []::STRUCT(id VARCHAR, num VARCHAR)[] AS open, NULL::VARCHAR AS by_, NULL::VARCHAR AS target, NULL::DATE AS on_ FROM (SELECT DISTINCT carrier_id, pro_number FROM ev)
+  UNION ALL
+  SELECT e.carrier_id, e.pro_number, e.at, CASE WHEN e.step > 0 THEN list_append(open, {{'id': e.invoice_id, 'num': e.invoice_number}}) WHEN hit IS NULL THEN open ELSE list_filter(open, lambda x: x.id <> hit) END,
+    CASE WHEN e.step < 0 AND hit IS NOT NULL THEN e.invoice_id END, CASE WHEN e.step < 0 THEN hit END, CASE WHEN e.step < 0 AND hit IS NOT NULL THEN e.received_date END
+  FROM (SELECT s.open, e.*, CASE WHEN e.step < 0 THEN (list_filter(s.open, lambda x: e.cites IS NULL OR x.num = e.cites)[-1]).id END AS hit FROM st s JOIN ev e ON e.carrier_id = s.carrier_id AND e.pro_number = s.pro_number AND e.at = s.at + 1) e),
+lk AS (SELECT * FROM st WHERE by_ IS NOT NULL)
+SELECT src.invoice_id, h.by_ IS NOT NULL AS is_superseded, h.on_ AS superseded_on, h.by_ AS superseded_by, g.target AS target_id
+FROM src LEFT JOIN lk h ON h.target = src.invoice_id LEFT JOIN lk g ON g.by_ = src.invoice_id"""
+
+
+_SCORES = """SELECT s.system, coalesce(t.error_type, 'ALL') AS kind, count(*) FILTER (status <> 'FN') AS flags, count(*) FILTER (status = 'TP') AS tp, count(*) FILTER (status = 'FP') AS fp, count(*) FILTER (status = 'FN') AS fn,
+  coalesce(count(*) FILTER (status = 'TP') / nullif(CAST(count(*) FILTER (status <> 'FN') AS DOUBLE), 0), 0) AS precision, coalesce(count(*) FILTER (status = 'TP') / nullif(CAST(count(*) FILTER (status <> 'FP') AS DOUBLE), 0), 0) AS recall, sum(truth) FILTER (status = 'FN') AS missed
+  FROM (SELECT 'engine' AS system, error_type, status, truth FROM oc UNION ALL SELECT 'baseline', error_type, status, truth FROM no) s, LATERAL (SELECT s.error_type UNION ALL SELECT NULL) t(error_type) GROUP BY 1, 2"""
+
+ORACLES |= {
+    "flag_reasons_all": sql(_A, _REASONS),
+    "normaliser_exceptions": sql([], _LAYOUT + f"""SELECT carrier_id, control_id, exception_type, raw_value, detail, CAST(sum(n) AS BIGINT) AS n FROM ({_SPOILED}
+  UNION ALL SELECT ly.carrier_id, ly.invoice_id, 'unmapped_charge', 'MYSTERY', 'line not loaded, amount ' || CAST(line.amount AS VARCHAR), 1 FROM ly JOIN line USING (invoice_id) WHERE layout IN ('B', 'D') AND l_partkey % 50 = 7
+  UNION ALL SELECT ly.carrier_id, ly.invoice_id, 'unparseable_amount', 'x1', 'line not loaded', 1 FROM ly JOIN line USING (invoice_id) WHERE layout IN ('B', 'D') AND l_partkey % 50 = 8) GROUP BY ALL"""),
+    "csv_record_numbers": "SELECT doc_id, doc_id // 200 AS file, CAST(row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) + 1 AS INTEGER) AS csv_row, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "supersession_mixed": _MIXED.format(inv=sql([], "SELECT *, CASE WHEN invoice_type = 'rebill' AND l_partkey % 2 = 0 THEN 'N' || pro_number || '-' || (l_linenumber - 1) END AS cites FROM inv")),
+    "supersession_links": _MIXED.format(inv=sql([], "SELECT *, NULL::VARCHAR AS cites FROM inv")),
+    "accruals_as_known": sql([RESOLVED, PRICED, ACCRUED], f"SELECT m AS month_end, shipment_id, {d('lh lh_estimate', 'fsc fsc_estimate', 'ac_ accessorial_estimate', 'est accrual_estimate')} FROM de WHERE m IN (DATE '1997-09-30', DATE '1997-12-31', DATE '1998-03-31')"),
+    "stage_manifest": sql(_SCORE, "SELECT 'audit_flags' AS table_name, count(*) AS n_rows, count(*) AS told_rows FROM co UNION ALL SELECT 'audit_invoice_summary', count(*), count(*) FROM su UNION ALL SELECT 'outcomes', count(*), count(*) FROM oc"),
+    "overview_breakdown": sql(_A, """SELECT level, key, audited, flagged, CAST(billed AS DOUBLE) AS billed, CAST(recoverable AS DOUBLE) AS recoverable, round(flagged / CAST(audited AS DOUBLE), 9) AS flag_rate, round(CAST(recoverable AS DOUBLE) / CAST(billed AS DOUBLE), 9) AS recoverable_share FROM (
+  SELECT 'all' AS level, 'ALL' AS key, count(*) AS audited, count(*) FILTER (n_flags > 0) AS flagged, sum(total) AS billed, sum(recoverable) AS recoverable FROM su
+  UNION ALL SELECT 'carrier', carrier_id, count(*), count(*) FILTER (n_flags > 0), sum(total), sum(recoverable) FROM su GROUP BY 2 UNION ALL SELECT 'invoice_type', invoice_type, count(*), count(*) FILTER (n_flags > 0), sum(total), sum(recoverable) FROM su GROUP BY 2)"""),
+    "dispute_packs": sql([*_A], f""", names AS (SELECT * FROM (VALUES {", ".join(f"('CAR{i}', '{x.carrier_name}')" for i, x in enumerate(CARRIERS))}) t(carrier_id, carrier_name)),
+per AS (SELECT carrier_id, min(ship_date) AS a, max(ship_date) AS z FROM bi WHERE NOT is_superseded GROUP BY 1),
+bt AS (SELECT carrier_id, error_type, o, count(DISTINCT invoice_id) AS n, coalesce(sum(impact) FILTER (counted), 0) AS r FROM co JOIN bi USING (invoice_id) GROUP BY 1, 2, 3),
+tb AS (SELECT carrier_id, string_agg('| ' || error_type || ' | ' || n || ' | ' || {usd("r")} || ' |', chr(10) ORDER BY o) AS t, sum(r) AS claim FROM bt GROUP BY 1),
+rs AS (SELECT invoice_id, string_agg(reason, ' | ' ORDER BY o, error_type, reason) AS reasons FROM (SELECT q.*, list_position(['duplicate_invoice', 'phantom_invoice', 'rate_overcharge', 'fsc_mismatch', 'unauthorized_accessorial', 'weight_overbilling'], error_type) AS o FROM ({_REASONS}) q) GROUP BY 1),
+tn AS (SELECT *, row_number() OVER (PARTITION BY carrier_id ORDER BY recoverable DESC, received_date, invoice_id) AS k FROM su WHERE n_flags > 0),
+tp AS (SELECT carrier_id, string_agg(k || '. ' || invoice_number || ' ' || {usd("recoverable")} || ': ' || reasons, chr(10) ORDER BY k) AS t FROM tn JOIN rs USING (invoice_id) WHERE k <= 10 GROUP BY 1)
+SELECT carrier_id, '# Dispute summary: ' || carrier_name || chr(10) || chr(10) || 'Shipped ' || coalesce(CAST(a AS VARCHAR), '-') || ' to ' || coalesce(CAST(z AS VARCHAR), '-') || chr(10) || chr(10) ||
+  CASE WHEN tb.t IS NULL THEN 'No exceptions.' || chr(10) ELSE 'Claim: ' || {usd("claim")} || chr(10) || chr(10) || '| Type | Invoices | Recoverable |' || chr(10) || '|-|-|-|' || chr(10) || tb.t || chr(10) || chr(10) || coalesce(tp.t, '') || chr(10) || chr(10) || 'No systemic issue found.' || chr(10) END AS markdown
+FROM names LEFT JOIN per USING (carrier_id) LEFT JOIN tb USING (carrier_id) LEFT JOIN tp USING (carrier_id)"""),
+}
+
+
+def _of(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+_WHOLE = sql([*_A, ACTUALS, ACCRUED], """, sp2 AS (SELECT shipment_id, sum(ba) - sum(ra) AS pay_acc, sum(core) - sum(rc) AS pay_core FROM i2 GROUP BY 1),
+j AS (SELECT de.*, coalesce(sa.billed, 0) AS billed, coalesce(sa.payable, 0) AS payable, coalesce(pay_acc, 0) AS pay_acc, coalesce(pay_core, 0) AS pay_core, CASE WHEN sa.payable > 0 THEN CAST(abs(est - sa.payable) AS DOUBLE) / CAST(sa.payable AS DOUBLE) END AS ape FROM de LEFT JOIN sa USING (shipment_id) LEFT JOIN sp2 USING (shipment_id))
+SELECT m, count(*) AS n, CAST(sum(est) AS DOUBLE) AS est, CAST(sum(billed) AS DOUBLE) AS billed, CAST(sum(payable) AS DOUBLE) AS payable, CAST(sum(est) - sum(payable) AS DOUBLE) AS error, CAST(sum(ac_) AS DOUBLE) AS acc, CAST(sum(ac_) - sum(pay_acc) AS DOUBLE) AS acc_error, CAST(sum(pay_acc) AS DOUBLE) AS pay_acc,
+  CAST(sum(lh + fsc) - sum(pay_core) AS DOUBLE) AS core_error, CAST(sum(pay_core) AS DOUBLE) AS pay_core, avg(ape) AS mape, median(ape) AS mid, avg(CASE WHEN ape IS NOT NULL THEN CASE WHEN ape > 0.10 THEN 1.0 ELSE 0.0 END END) AS band FROM j GROUP BY GROUPING SETS ((m), ())""")
+
+ORACLES["key_findings"] = f"""SELECT 1 AS position, 'No systemic pattern passes the test.' AS text
+UNION ALL SELECT 2, text FROM (SELECT 'Most false flags of the baseline come from ' || replace(cause, '_', ' ') || ': ' || {pounds("false_flags")} || ' (' || {pct("share")} || ').' AS text FROM {_of("false_flag_causes")} WHERE cause <> 'other' AND false_flags > 0 ORDER BY false_flags DESC, cause LIMIT 1)
+UNION ALL SELECT 3, 'The accrual error of ' || {usd("error")} || ' is driven by ' || CASE WHEN acc_error / error > 0.5 THEN 'accessorials' ELSE 'linehaul and fuel' END || '.' FROM ({_WHOLE}) WHERE m IS NULL"""
+
+
+def _leaves(source: str, prefix: str, named: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {prefix} || '.{name}' AS path, CAST({value} AS DOUBLE) AS value FROM {source}" for name, value in named.items())
+
+
+_same = lambda *names: {n: n for n in names}
+_BLOCK = [
+    _leaves("ov", "'audit'", _same("audited", "flagged", "billed", "recoverable") | {"flag_rate": "flagged / CAST(audited AS DOUBLE)", "recoverable_share": "recoverable / billed"}),
+    _leaves("(SELECT error_type, count(*) AS flags, coalesce(sum(impact) FILTER (counted), 0) AS recoverable FROM co GROUP BY 1)", "'by_type.' || error_type", _same("flags", "recoverable")),
+    _leaves("sc", "'scores.' || system || '.' || kind", _same("flags", "tp", "fp", "fn", "precision", "recall")),
+    _leaves("(SELECT max(fp) FILTER (system = 'baseline' AND kind = 'ALL') - max(fp) FILTER (system = 'engine' AND kind = 'ALL') AS avoided, max(flags) FILTER (system = 'baseline' AND kind = 'duplicate_invoice') AS dup, max(fp) FILTER (system = 'baseline' AND kind = 'duplicate_invoice') AS dfp FROM sc)", "'disputes'", {"avoided": "avoided", "duplicate_flags": "dup", "false_duplicates": "dfp", "false_share": "coalesce(dfp / nullif(CAST(dup AS DOUBLE), 0), 0)"}),
+    _leaves("(SELECT * FROM sc WHERE system = 'engine' AND kind = 'ALL')", "'misses'", {"missed": "fn", "dollars": "coalesce(missed, 0)"}),
+    _leaves("fc", "'causes.' || cause", _same("false_flags", "share")),
+    "SELECT 'systemic.found' AS path, 0.0 AS value UNION ALL SELECT 'systemic.least_p', NULL",
+    _leaves("(SELECT * FROM aw WHERE m IS NULL)", "'accruals'", {"shipments_accrued": "n", "accrual_estimate": "est", "actual_billed": "billed", "actual_payable": "payable", "error": "error", "error_pct": "error / payable", "lh_fsc_error_pct": "core_error / pay_core", "accessorial_error_pct": "acc_error / pay_acc", "shipment_mape": "mape", "shipment_median_ape": "mid", "shipment_share_over_band": "band", "accessorial_share": "acc / est", "accessorial_share_of_error": "acc_error / error", "error_pct_of_billed": "(est - billed) / billed"}),
+    _leaves("(SELECT avg(abs(error / payable)) AS mape, avg(error / payable) AS bias, arg_max(error / payable, abs(error / payable)) AS worst_error_pct FROM aw WHERE m IS NOT NULL)", "'accruals'", _same("mape", "bias", "worst_error_pct")),
+    _leaves("(SELECT * FROM se WHERE month_end IS NULL)", "'accruals'", {"late_auth_effect": "late_auth_effect", "late_auth_share": "late_auth_effect / abs(accrual_estimate_as_built - actual_payable)", "error_pct_auth_at_delivery": "(accrual_estimate_auth_at_delivery - actual_payable) / actual_payable"}),
+    _leaves("(SELECT count(*) AS swept, count(*) FILTER (changed) AS changed, max(best_net - current_net) AS largest_gain FROM rc_)", "'tolerances'", _same("swept", "changed", "largest_gain")),
+    _leaves("rc_", "'swept.' || tolerance", _same("current_value", "best_value", "recommended_value")),
+]
+ORACLES["summary_block"] = sql(
+    [*_A, NAIVE, OUTCOMES, NAIVE_OUTCOMES.removeprefix(LABELS + ","), f"\nsc AS ({_SCORES})", f"\nov AS {_of('overview_metrics')}", f"\nfc AS {_of('false_flag_causes')}", f"\naw AS ({_WHOLE})", f"\nse AS {_of('accrual_sensitivity')}", f"\nrc_ AS {_of('sweep_recommendation')}"],
+    "SELECT path, round(value, 6) AS value FROM (" + " UNION ALL ".join(_BLOCK) + ")",
+)

@@ -68,16 +68,45 @@ class _Cleanup:
                 self.spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, name: str, by: str | None = None) -> str:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/wharfline/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    with _Cleanup(spark):
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    target, fs = _path(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
 def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     For tables that fan out to many consumers: they are computed once, survive lost executors, and later plans start from a scan
     (a persisted frame keeps its whole logical plan, which is analysed again with every operation on it). The files go when the application ends.
     """
-    spark = df.sparkSession
-    path, schema = f"{shared_dir(spark)}/wharfline/{name}-{uuid.uuid4().hex}", df.schema
-    with _Cleanup(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    schema = df.schema
+    return df.sparkSession.read.schema(schema).parquet(_write(df, name))
+
+
+def store_parts(df: DataFrame, by: str, values: list[int], name: str = "table") -> list[DataFrame]:
+    """The rows of ``df`` by the whole number in column ``by`` (which must be one of ``values``), computed in one pass and stored as tables of their own, so that each can be discarded."""
+    spark, schema = df.sparkSession, df.drop(by).schema
+    path = _write(df, name, by)
+    for v in values:  # a table without rows has no folder
+        target, fs = _path(spark, f"{path}/{by}={v}")
+        fs.mkdirs(target)
+    return [spark.read.schema(schema).parquet(f"{path}/{by}={v}") for v in values]
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a stored table's files, once all that is derived from it is stored."""
+    spark = stored.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        target, fs = _path(spark, folder)
+        fs.delete(target, True)
