@@ -96,6 +96,17 @@ SWEEPS = {
 }
 
 
+@dataclass(frozen=True)
+class Network:
+    """What a shipper's network must satisfy: lanes between its origins and destinations, shares of the year's shipments by month (empty: even), carriers of a mode on a lane."""
+
+    lanes: int = 60
+    origins: int = 8
+    destinations: int = 16
+    monthly_weights: tuple[float, ...] = ()
+    carriers_per_lane: tuple[tuple[str, int], ...] = ()
+
+
 @dataclass(frozen=True)
 class Config:
     start: date = date(2025, 1, 1)
@@ -112,6 +123,7 @@ class Config:
     economics: Economics = Economics()
     systemic: Systemic = Systemic()
     accruals: Accruals = Accruals()
+    network: Network = Network()
 
     def __post_init__(self) -> None:
         positive = {"months": self.months, "shipments": self.shipments, "top_n": self.top_n, "systemic.window_months": self.systemic.window_months, "accruals.trailing_days": self.accruals.trailing_days, "fuel.ltl_step": float(self.fuel.ltl_step), "fuel.tl_mpg": float(self.fuel.tl_mpg)}
@@ -132,6 +144,17 @@ class Config:
                 raise ConfigError(f"carriers.{c.carrier_id}.mode must be LTL or TL, not {c.mode}")
             if c.layout not in ("A", "B", "C", "D"):
                 raise ConfigError(f"carriers.{c.carrier_id}.layout must be one of A, B, C, D, not {c.layout}")
+        net = self.network
+        if net.lanes > net.origins * net.destinations:
+            raise ConfigError(f"network.lanes: {net.lanes} exceed the {net.origins * net.destinations} pairs of origins and destinations")
+        if net.monthly_weights and len(net.monthly_weights) != self.months:
+            raise ConfigError(f"network.monthly_weights has {len(net.monthly_weights)} entries for {self.months} months")
+        if net.monthly_weights and abs(sum(net.monthly_weights) - 1) > 1e-9:
+            raise ConfigError(f"network.monthly_weights must sum to 1, not {sum(net.monthly_weights)}")
+        for mode, needed in net.carriers_per_lane:
+            there = sum(c.mode == mode for c in self.carriers)
+            if needed > there:
+                raise ConfigError(f"network.carriers_per_lane.{mode}: {needed} of {there} carriers")
         for name in self.sweeps:
             if not hasattr(self.tolerances, name):
                 raise ConfigError(f"sweeps.{name} is no tolerance")
