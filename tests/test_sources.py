@@ -13,7 +13,7 @@ from wharfline.sources.normalize import fix_pivot, normalise
 from wharfline.sources.numbered import fields, numbered_records
 from wharfline.sources.prices import filled, price_series
 from wharfline.sources.render import write_raw
-from wharfline.sources.tables import text_csv, typed_csv, write_tables
+from wharfline.sources.tables import registry, rounded, text_csv, typed_csv, write_tables
 
 CITIES = [("Ames", "IA"), ("St. Cloud", "MN"), ("Gary", "IN"), ("Ft. Dodge", "IA")]
 
@@ -190,10 +190,14 @@ def test_tables(spark, tmp_path):
     assert text_csv(spark, f"file://{f}", ["shipment_id", "bol", "ship_date", "miles", "note"]).count() == 2
     write_tables({"x": spark.range(3).toDF("id")}, f"file://{tmp_path}/out", "csv")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/x").count() == 3
+    found = registry(spark, f"file://{tmp_path}", ["t"])
+    assert found["t"].count() == 2 and spark.sql("select shipment_id from t where miles = 500").first()[0] == "007"
+    assert tuple(rounded(spark.sql("select 0.123456D as a, cast(1.005 as decimal(18,3)) as b, 7 as c")).first()) == (0.1235, Decimal("1.01"), 7)
 
 
 def test_synthetic_run_and_stream(spark, tmp_path):
-    from wharfline.plans.audit_run import render, run, summary
+    from wharfline.plans.audit_run import STAGES, key_findings, render, run, summary, write_run
+    from wharfline.sources.stages import read_stage
     from wharfline.sources.synthetic import world
     from wharfline.streaming.ingest import invoice_stream, start
 
@@ -207,6 +211,14 @@ def test_synthetic_run_and_stream(spark, tmp_path):
     assert sorted(map(tuple, world(spark, config)[1].collect())) == sorted(map(tuple, labels.collect()))
     s = summary(t)
     assert s["audit"]["audited"] > 0 and render("{{audit.audited|int}} audited", s).endswith("audited")
+    lines = key_findings(t, config)
+    assert len(lines) == 3 and "systemic" in lines[0] or "pattern" in lines[0] and lines[2].startswith("The accrual error of")
+    told = write_run(t, f"file://{tmp_path}/run")
+    assert {n for m_ in told.values() for n in m_} == {n for names in STAGES.values() for n in names} == set(t)
+    assert write_run(t, f"file://{tmp_path}/again") == told
+    files = {str(f.relative_to(tmp_path / "run")): f.read_bytes() for f in (tmp_path / "run").rglob("*") if f.is_file() and f.suffix != ".crc"}
+    assert files == {str(f.relative_to(tmp_path / "again")): f.read_bytes() for f in (tmp_path / "again").rglob("*") if f.is_file() and f.suffix != ".crc"} and len(files) > len(t)
+    assert read_stage(spark, f"file://{tmp_path}/run/audit", check=True)["audit_flags"].count() == t["audit_flags"].count()
     t["invoices"].write.parquet(f"file://{tmp_path}/in")
     q = start(invoice_stream(spark, f"file://{tmp_path}/in", t["invoices"].schema), books, config, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.awaitTermination(120)
