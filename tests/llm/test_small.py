@@ -497,15 +497,34 @@ def test_background_counts():
 
 
 def test_fixity(spark):
-    from wharfline.llm.fixity import audit, leaves
-
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(5000)] + [(None, None, None), (None, "u", "x"), (7, "http://h/7", "again")]
-    a = spark.createDataFrame(rows, "page_id long, url string, html string")
-    b = spark.createDataFrame([(i, u, "<p>XX</p>" if i == 42 else h) for i, u, h in rows if i != 4999], a.schema)
-    got = {(r.page_id, r.status) for r in audit(leaves(a), leaves(b)).collect()}
-    assert (42, "corrupt") in got and (4999, "missing") in got and len({p for p, s in got if s != "shifted"}) == 2
-    assert audit(leaves(a), leaves(a)).isEmpty() and audit(leaves(a.limit(0)), leaves(a.limit(0))).isEmpty()
-    assert {r.status for r in audit(leaves(a.limit(0)), leaves(b)).collect()} == {"extra"}
+    from wharfline.llm.common import materialise
+    from wharfline.llm.fixity import FANOUT, LEVELS, VOLUME, audit, descent, leaves, tree
+
+    big = "x" * 1_200_000
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>", 1, "s") for i in range(5000)] + [(None, None, None, 1, "s"), (None, "u", "x", 1, "s"), (None, "u", "x", 1, "s"), (5001, "u", big, 1, "s"), (5001, "u", None, 1, "s"), (5001, "u", "", 1, "s")]
+    rows += [(7, "http://h/7", f"again {k % 50}", 1, "s") for k in range(400)]  # one id with many copies, repeated ones among them
+    schema = "page_id long, url string, html string, slot int, shelf string"
+    a = spark.createDataFrame(rows, schema).repartition(3)
+    changed = [(i, u, "<p>XX</p>" if i == 42 else "<p>longer than before</p>" if i == 1000 else h, n, s) for i, u, h, n, s in rows if i != 4999]
+    b = spark.createDataFrame([*changed, (6000, "new", "page", 1, "s")], schema)
+    ours, theirs = materialise(leaves(a), "leaves"), materialise(leaves(b), "leaves")
+    places = ours.collect()
+    assert len(places) == len(rows) and len({(r.volume, r.shelf, r.slot) for r in places}) == len(rows)
+    per = collections.defaultdict(list)
+    for r in places:
+        per[r.volume, r.shelf].append((r.slot, r.offset, r.length))
+    for v in per.values():
+        assert len(v) <= VOLUME and all(0 <= s < VOLUME for s, _, _ in v)
+        assert [o for _, o, _ in sorted(v)] == np.cumsum([0, *[n for _, _, n in sorted(v)]])[:-1].tolist()
+    got = {(r.page_id, r.status) for r in audit(ours, theirs).collect()}
+    moved = {(i, "shifted") for i in range(1001, (1000 // VOLUME + 1) * VOLUME)} | {(5001, "shifted")}  # the latter lies behind 4999
+    assert got == {(42, "corrupt"), (1000, "corrupt"), (4999, "missing"), (6000, "extra")} | moved
+    # clean branches are not looked into: every level holds one node for each damaged record here
+    levels = [d.collect() for d in descent(materialise(tree(ours), "tree"), materialise(tree(theirs), "tree"))]
+    assert len(levels) == LEVELS + 1 and all(len(x) == 4 for x in levels)
+    assert {(r.volume, r.node) for r in levels[-1]} == {(i // VOLUME, i % VOLUME) for i in (42, 1000, 4999, 6000)} and {r.node for r in levels[1]} == {i % VOLUME // FANOUT ** (LEVELS - 1) for i in (42, 1000, 4999, 6000)}
+    assert audit(ours, ours).isEmpty() and audit(leaves(a.limit(0)), leaves(a.limit(0))).isEmpty()
+    assert {r.status for r in audit(leaves(a.limit(0)), theirs).collect()} == {"extra"}
 
 
 def test_pipeline(spark, tmp_path):
