@@ -31,6 +31,8 @@ DISCOUNT = 0.75
 CHUNK_TEXT = 8 << 20
 #: A word with more than 1 / FREQUENT of the training tokens is frequent: there are fewer than FREQUENT, and fewer than its square contexts of them.
 FREQUENT = 1024
+#: a task has 2 ** TASK_BITS shards, one after another: shards stay small, and so does the number of files
+TASK_BITS = 2
 #: so many keys are searched at a time
 BLOCK_KEYS = 1 << 16
 STEP = 4096.0  # quantisation: codes per unit of log10
@@ -460,7 +462,7 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
     empty table gives an empty result. Very long texts are scored whole. Other columns are not read.
 
     Scale: texts are written once, as compressed words, in chunks; each chunk sends its distinct words and grams to hash shards (their
-    number follows the chunks'), one to a task. No word or gram is dropped; only the totals of contexts of frequent words alone are broadcast
+    number follows the chunks'), one at a time in a task. No word or gram is dropped; only the totals of contexts of frequent words alone are broadcast
     (their number is bounded). Ids must stay below 2**31, so that two make a context (an error beyond); there is one small blob per chunk and shard, so beyond
     about 1 TB of text ``chunk_text`` should grow with the square root of the input.
     """
@@ -471,7 +473,7 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
     size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum("train_tokens").alias("t"), F.sum("train_docs").alias("d")).first()
     tokens, ends = size.t or 0, size.d or 0
     bits = max(4, int(size.n).bit_length())
-    answers = materialise(word_answers(word_requests(vocabulary, bits).repartition(1 << bits, "shard"), tokens // FREQUENT), "counts")
+    answers = materialise(word_answers(word_requests(vocabulary, bits).repartition(1 << bits - TASK_BITS, "shard"), tokens // FREQUENT), "counts")
     discard(vocabulary)
     shards = answers.filter("chunk is null").select("shard", "distinct", "a").collect()
     frequent = np.concatenate([np.array([END, START], np.uint64), *(word_ids(_unpack(r.a), r.shard, bits) for r in shards)])
@@ -494,7 +496,7 @@ def lm_score(docs: DataFrame, train, chunk_text: int = CHUNK_TEXT, id_col: str =
         return pa.table({"shard": pa.array(shards, pa.int32()), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(shards), pa.int64()), "contexts": own(_pack_sorted, c), "words": own(_pack, w.astype(np.uint32)), "counts": own(_pack, learned)})
 
     requests = texts.groupBy("chunk").cogroup(by_chunk(words)).applyInArrow(ask, "shard int, chunk long, contexts binary, words binary, counts binary")
-    replied = materialise(gram_answers(requests.repartition(2 << bits, "shard"), width, max(tokens, 1), bits), "grams")
+    replied = materialise(gram_answers(requests.repartition(2 << bits - TASK_BITS, "shard"), width, max(tokens, 1), bits), "grams")
     sent = docs.sparkSession.sparkContext.broadcast(spread_totals(replied))
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
