@@ -108,11 +108,25 @@ class Case:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-_cases: dict[tuple[str, str], Case] = {}
+_cases: dict[tuple[str, str], tuple[tuple, Case]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the shared tables are derived from."""
+    out = []
+    for name in ("orders", "lineitem"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            out.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def case(spark: SparkSession, sf_dir: str) -> Case:
-    return _cases.setdefault((spark.sparkContext.applicationId, sf_dir), Case(spark, sf_dir))
+    """The shared tables of a data directory, built anew when its files change."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    if key not in _cases or _cases[key][0] != state:
+        _cases[key] = state, Case(spark, sf_dir)
+    return _cases[key][1]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
