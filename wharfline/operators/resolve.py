@@ -69,7 +69,7 @@ def supersede(invoices: DataFrame) -> DataFrame:
     base = invoices.drop("is_superseded", "superseded_on", "superseded_by", "target_id")
     cited = F.nullif(F.col("supersedes_invoice_number"), F.lit(""))
     rebill = F.col("invoice_type") == "rebill"
-    stack_of = lambda kind, number: F.concat(F.lit(kind), F.to_json(F.array("carrier_id", number)))
+    stack_of = lambda kind, number: F.concat(F.lit(kind), F.length("carrier_id").cast("string"), F.lit(":"), "carrier_id", number)
     event = base.select("carrier_id", "invoice_id", "received_date", rebill.alias("rebill"), (F.col("invoice_type") != "balance_due").alias("pushes"), stack_of("n", F.col("invoice_number")).alias("by_number"), stack_of("p", F.col("pro_number")).alias("by_pro"), F.when(cited.isNotNull(), stack_of("n", cited)).otherwise(stack_of("p", F.col("pro_number"))).alias("pops"), "invoice_number", "pro_number", cited.alias("cited")).filter("received_date is not null")
     pops = event.filter(F.col("rebill") & F.coalesce("cited", "pro_number").isNotNull()).select("carrier_id", F.col("pops").alias("stack"), "invoice_id", "received_date", F.lit(-1).alias("step"))
     push = lambda stack, number: event.filter(F.col("pushes") & F.col(number).isNotNull()).select("carrier_id", F.col(stack).alias("stack"), "invoice_id", "received_date", F.lit(1).alias("step"))
@@ -78,7 +78,8 @@ def supersede(invoices: DataFrame) -> DataFrame:
     events = pops.unionByName(pushes)
     shared = pushes.groupBy("carrier_id", "invoice_id").agg(F.min("stack").alias("a"), F.max("stack").alias("b")).filter("a != b").select("a", "b").distinct()
     links = _apart(events)
-    if not shared.isEmpty():
+    kinds = event.filter("rebill").select(F.col("cited").isNull()).distinct().count()  # only rebills of both kinds can share an invoice
+    if kinds == 2 and not shared.isEmpty():
         sets = connected(shared).withColumnRenamed("node", "stack")
         links = _apart(events.join(sets, "stack", "left_anti")).unionByName(_folded(events.join(sets, "stack")))
     hit = links.groupBy("carrier_id", F.col("target_id").alias("invoice_id")).agg(F.min("on").alias("superseded_on"), F.min_by("by", "on").alias("superseded_by"))

@@ -61,9 +61,9 @@ def duplicate_pairs(books: Books, config: Config) -> DataFrame:
     Repeats for the same freight have an earlier invoice (by receipt, then id) with a total within the tolerance and received within the window;
     a repeat of carrier and invoice number counts otherwise.
 
-    Invoices of one freight, total and day are one point, which keeps its smallest id: no other of them can be the earliest. The points of one total in one stretch of days as long as the
-    window are one series. A point meets the series of its own and the neighbouring cells (one tolerance by one window) only, so what it meets is bounded by the tolerance in
-    cents, whatever the number of invoices of its freight.
+    Invoices of one freight, total and day are one point, which keeps its smallest id: no other of them can be the earliest. The points of one total in one stretch of days are one series.
+    A point meets the series of the cells (two tolerances by two windows) that its tolerance and window reach into, four at most, so what it meets is bounded by the tolerance in cents,
+    whatever the number of invoices of its freight.
     """
     t = config.tolerances
     pool = live(books.invoices).filter(F.col("invoice_type").isin(*RATED)).withColumn("key", freight_key()).select("invoice_id", "key", "carrier_id", "invoice_number", F.col("received_date").alias("day"), "total")
@@ -71,10 +71,14 @@ def duplicate_pairs(books: Books, config: Config) -> DataFrame:
     width, days = max(float(t.duplicate_amount), 0.01), max(int(t.duplicate_window_days), 1)
     many = dated.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     points = dated.join(many, "key").groupBy("key", "day", "total").agg(F.min("invoice_id").alias("first"))
-    points = points.withColumns({"x": F.floor(F.col("total") / F.lit(str(width)).cast("decimal(18,4)")).cast("long"), "y": F.floor(F.datediff("day", F.lit("2000-01-01").cast("date")) / days).cast("long")})
-    near = lambda c, low, high: F.explode(F.array(*[F.col(c) + k for k in range(low, high + 1)]))
-    later = points.select("key", "day", "total", near("x", -1, 1).alias("x"), "y").withColumn("y", near("y", -1, 0))
-    series = points.groupBy("key", "x", "y", F.col("total").alias("total_a")).agg(F.array_sort(F.collect_list(F.struct("day", F.col("first").alias("a")))).alias("days"))
+    amount, at = F.col("total").cast("decimal(28,4)"), F.datediff("day", F.lit("2000-01-01").cast("date"))
+    wide = F.lit(str(2 * width)).cast("decimal(28,4)")
+    reach = F.lit(str(width)).cast("decimal(28,4)")
+    x = lambda c: F.floor(c / wide).cast("long")
+    y = lambda c: F.floor(c / (2 * days)).cast("long")
+    both = lambda low, high: F.explode(F.array_distinct(F.array(low, high)))
+    later = points.select("key", "day", "total", both(x(amount - reach), x(amount + reach)).alias("x")).withColumn("y", both(y(at - days), y(at)))
+    series = points.groupBy("key", x(amount).alias("x"), y(at).alias("y"), F.col("total").alias("total_a")).agg(F.array_sort(F.collect_list(F.struct("day", F.col("first").alias("a")))).alias("days"))
     meet = later.join(series, ["key", "x", "y"]).filter(F.abs(F.col("total") - F.col("total_a")) <= money(t.duplicate_amount))
     start = F.date_sub("day", t.duplicate_window_days)
     before = F.get(F.filter("days", lambda e: (e["day"] >= start) & (e["day"] < F.col("day"))), F.lit(0))
