@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.formats import pct, title, usd
-from ..functions.money import MONEY, money
+from ..functions.money import MONEY, money, ratio
 from .books import ERROR_TYPES, RATED, WHOLE_INVOICE, Books, ids
 from .resolve import at_one_home, exact_match, live
 from .rerate import accessorial_lines, rerate_invoices
@@ -122,7 +122,7 @@ def rate_overcharge(c: AuditContext) -> DataFrame:
 def fsc_mismatch(c: AuditContext) -> DataFrame:
     t = c.config.tolerances
     d = c.rerated.filter(ltl_fuel_hit(F.lit(t.fsc_ltl_pp), c.config) | tl_fuel_hit(F.lit(t.fsc_tl_pct), c.config))
-    detail = F.when(F.col("mode") == "LTL", F.concat(pct(F.try_divide("billed_fsc", "billed_lh")), F.lit(" of linehaul vs "), pct(F.col("fsc_pct_expected")))).otherwise(F.concat(F.lit("over "), F.format_number("miles", 0), F.lit(" miles")))
+    detail = F.when(F.col("mode") == "LTL", F.concat(pct(ratio(F.col("billed_fsc"), F.col("billed_lh"))), F.lit(" of linehaul vs "), pct(F.col("fsc_pct_expected")))).otherwise(F.concat(F.lit("over "), F.format_number("miles", 0), F.lit(" miles")))
     reason = F.concat(F.lit("Fuel "), usd(F.col("billed_fsc")), F.lit(" vs expected "), usd(F.col("fsc_expected")), F.lit(" (week of "), F.col("diesel_week").cast("string"), F.lit(", "), F.coalesce(detail, F.lit("no linehaul")), F.lit("): +"), usd(F.col("fsc_impact")))
     return flags(d, "fsc_mismatch", reason, F.col("fsc_impact"), F.col("billed_fsc"), F.col("fsc_expected"))
 
