@@ -62,10 +62,11 @@ def metrics_by_type(scored: DataFrame) -> DataFrame:
 
 def recall_by_mode(labels: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
     """Errors by type and mode, and how many each system (its outcomes) found."""
-    gone = labels.filter("label_kind = 'superseded'").select("invoice_id").distinct()
-    d = labels.filter("label_kind = 'error'").join(gone, "invoice_id", "left_anti").groupBy("invoice_id", F.col("label").alias("error_type"), F.coalesce("mode", F.lit("")).alias("mode")).agg(F.sum("true_dollar_impact").cast(MONEY).alias("dollars"))
+    own = ids(labels, *systems.values())
+    gone = labels.filter("label_kind = 'superseded'").select(*own).distinct()
+    d = labels.filter("label_kind = 'error'").join(gone, own, "left_anti").groupBy(*own, F.col("label").alias("error_type"), F.coalesce("mode", F.lit("")).alias("mode")).agg(F.sum("true_dollar_impact").cast(MONEY).alias("dollars"))
     for name, scored in systems.items():
-        d = d.join(scored.filter("status = 'TP'").select("invoice_id", "error_type", F.lit(1).alias(f"_{name}")), ["invoice_id", "error_type"], "left")
+        d = d.join(scored.filter("status = 'TP'").select(*own, "error_type", F.lit(1).alias(f"_{name}")), [*own, "error_type"], "left")
     cols = [F.count(F.lit(1)).alias("errors"), F.sum("dollars").cast(MONEY).alias("dollars")]
     for name in systems:
         cols += [F.count(f"_{name}").alias(f"{name}_found"), ratio(F.count(f"_{name}"), F.count(F.lit(1))).alias(f"{name}_recall")]
@@ -74,23 +75,25 @@ def recall_by_mode(labels: DataFrame, systems: dict[str, DataFrame]) -> DataFram
 
 def trap_table(labels: DataFrame, scored: DataFrame) -> DataFrame:
     """False flags on trapped invoices, per trap (an invoice with two traps counts under both) and on clean ones, with counts by type."""
-    groups = labels.filter("label_kind in ('trap', 'clean')").select("invoice_id", F.when(F.col("label_kind") == "clean", "(clean)").otherwise(F.col("label")).alias("trap")).distinct()
-    fp = scored.filter("status = 'FP'").select("invoice_id", "error_type")
-    size = groups.groupBy("trap").agg(F.countDistinct("invoice_id").alias("invoices"))
-    hit = groups.join(fp, "invoice_id")
+    own = ids(labels, scored)
+    groups = labels.filter("label_kind in ('trap', 'clean')").select(*own, F.when(F.col("label_kind") == "clean", "(clean)").otherwise(F.col("label")).alias("trap")).distinct()
+    fp = scored.filter("status = 'FP'").select(*own, "error_type")
+    size = groups.groupBy("trap").agg(F.count(F.lit(1)).alias("invoices"))
+    hit = groups.join(fp, own)
     by = hit.groupBy("trap", "error_type").agg(F.count(F.lit(1)).alias("n")).groupBy("trap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("error_type", "n"))), lambda x: F.concat(x["error_type"], F.lit(":"), x["n"].cast("string"))), ";").alias("by_type"), F.sum("n").alias("false_flags"))
-    flagged = hit.groupBy("trap").agg(F.countDistinct("invoice_id").alias("invoices_flagged"))
+    flagged = hit.select(*own, "trap").distinct().groupBy("trap").agg(F.count(F.lit(1)).alias("invoices_flagged"))
     d = size.join(by, "trap", "left").join(flagged, "trap", "left")
     return d.select("trap", "invoices", F.coalesce("invoices_flagged", F.lit(0)).alias("invoices_flagged"), F.coalesce("false_flags", F.lit(0)).alias("false_flags"), F.coalesce("by_type", F.lit("")).alias("by_type"))
 
 
 def fp_causes(labels: DataFrame, scored: DataFrame) -> DataFrame:
     """Each false flag under one cause (the first that fits the rule that raised it), every cause present; ``other`` comes last, the rest by count."""
-    sets = labels.groupBy("invoice_id").agg(
+    own = ids(labels, scored)
+    sets = labels.groupBy(*own).agg(
         F.collect_set(F.when(F.col("label_kind") == "trap", F.col("label"))).alias("traps"), F.collect_set(F.when(F.col("label_kind") == "error", F.col("label"))).alias("errors"),
         F.max((F.col("label_kind") == "trap") & (F.col("label") == "bol_format") & (F.col("mode") == "zeros_dropped")).alias("zeros"),
     )
-    d = scored.filter("status = 'FP'").join(sets, "invoice_id", "left")
+    d = scored.filter("status = 'FP'").join(sets, own, "left")
     trap = lambda *t: F.coalesce(F.arrays_overlap("traps", F.array(*[F.lit(x) for x in t])), F.lit(False))
     kind = F.col("error_type")
     cause = (
@@ -134,7 +137,7 @@ SWEEP_SCOPE = {"rate_pct": ("rate_overcharge", None), "fsc_ltl_pp": ("fsc_mismat
 def sweep(rerated: DataFrame, labels: DataFrame, invoice_mode: DataFrame, config: Config) -> DataFrame:
     """Every tolerance at every grid point, scored: one join of the rerated invoices with a grid of a few dozen rows, and one aggregation.
 
-    ``invoice_mode`` has invoice_id and mode of all invoices (the scope of labels). The grid is configuration, so its size is fixed.
+    ``invoice_mode`` has an invoice's ids and mode of all invoices (the scope of labels). The grid is configuration, so its size is fixed.
     """
     spark = rerated.sparkSession
     grid = sweep_grid(spark, config)
@@ -143,11 +146,12 @@ def sweep(rerated: DataFrame, labels: DataFrame, invoice_mode: DataFrame, config
     v, t = F.col("value").cast("decimal(12,6)"), F.col("tolerance")
     hit = ((t == "rate_pct") & rate_hit(v, config)) | ((t == "fsc_ltl_pp") & ltl_fuel_hit(v, config)) | ((t == "fsc_tl_pct") & tl_fuel_hit(v, config)) | ((t == "weight_pct") & weight_hit(v))
     impact = F.when(t == "rate_pct", F.col("rate_impact")).when(t == "weight_pct", F.col("weight_impact")).otherwise(F.col("fsc_impact"))
-    raised = rerated.crossJoin(F.broadcast(points)).filter(hit).select("tolerance", "value", "error_type", "invoice_id", impact.alias("flagged"))
-    gone = labels.filter("label_kind = 'superseded'").select("invoice_id").distinct()
-    truth = labels.filter("label_kind = 'error'").join(gone, "invoice_id", "left_anti").join(invoice_mode, "invoice_id").groupBy("invoice_id", F.col("label").alias("error_type"), invoice_mode["mode"].alias("inv_mode")).agg(F.sum("true_dollar_impact").cast(MONEY).alias("true_dollars"))
+    own = ids(rerated, labels, invoice_mode)
+    raised = rerated.crossJoin(F.broadcast(points)).filter(hit).select("tolerance", "value", "error_type", *own, impact.alias("flagged"))
+    gone = labels.filter("label_kind = 'superseded'").select(*own).distinct()
+    truth = labels.filter("label_kind = 'error'").join(gone, own, "left_anti").join(invoice_mode.select(*own, F.col("mode").alias("inv_mode")), own).groupBy(*own, F.col("label").alias("error_type"), "inv_mode").agg(F.sum("true_dollar_impact").cast(MONEY).alias("true_dollars"))
     positives = truth.join(F.broadcast(scope), "error_type").filter("scope_mode is null or scope_mode = inv_mode").groupBy("tolerance").agg(F.count(F.lit(1)).alias("positives"))
-    tp = raised.join(gone, "invoice_id", "left_anti").join(truth.select("invoice_id", "error_type", F.lit(True).alias("true")), ["invoice_id", "error_type"], "left")
+    tp = raised.join(gone, own, "left_anti").join(truth.select(*own, "error_type", F.lit(True).alias("true")), [*own, "error_type"], "left")
     got = tp.groupBy("tolerance", "value").agg(F.count_if(F.col("true")).alias("tp"), F.count_if(F.col("true").isNull()).alias("fp"), F.coalesce(F.sum(F.when(F.col("true"), F.col("flagged"))), F.lit(0)).cast(MONEY).alias("tp_dollars"))
     d = points.join(got, ["tolerance", "value"], "left").join(positives, "tolerance", "left")
     d = d.withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("tp", "fp", "positives")}).withColumn("tp_dollars", F.coalesce("tp_dollars", F.lit(0)).cast(MONEY))
