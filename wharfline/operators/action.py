@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions.formats import month_label, p_text, pct, usd
 from ..functions.money import MONEY, total
 from ..functions.stats import binomial_tail
-from .books import ERROR_TYPES
+from .books import ERROR_TYPES, ids
 from .ordered import indexed
 from .resolve import live
 from .rules import rule_order
@@ -18,9 +18,10 @@ from .rules import rule_order
 def exception_queue(counted: DataFrame, invoices: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per flagged invoice, ranked by recoverable dollars, then receipt, then id; types and reasons in rule order."""
     entry = F.struct(rule_order(F.col("error_type")).alias("o"), "error_type", "reason")
-    per = counted.groupBy("invoice_id").agg(F.array_sort(F.collect_list(entry)).alias("f"))
-    d = per.join(summary.select("invoice_id", "carrier_id", "invoice_number", "shipment_id", "total", "n_flags", "recoverable"), "invoice_id").join(invoices.select("invoice_id", "received_date", "ship_date", "match_method"), "invoice_id")
-    d = d.withColumns({"error_types": F.array_join(F.array_distinct(F.transform("f", lambda x: x["error_type"])), ";"), "reasons": F.array_join(F.transform("f", lambda x: x["reason"]), " | ")}).drop("f")
+    own = ids(counted, invoices, summary)
+    per = counted.groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    d = per.join(summary.select(*own, "carrier_id", "invoice_number", "shipment_id", "total", "n_flags", "recoverable"), own).join(invoices.select(*own, "received_date", "ship_date", "match_method"), own)
+    d = d.withColumns({"error_types": F.array_join(F.array_distinct(F.transform("f", lambda x: x["error_type"])), ";"), "reasons": F.array_join(F.transform("f", lambda x: x["reason"]), " | ")}).drop("f", "home")
     return ranked(d, "queue_rank", F.desc("recoverable"), F.col("received_date").asc_nulls_last(), "invoice_id")
 
 
@@ -46,9 +47,9 @@ def top_per_carrier(queue: DataFrame, n: int) -> DataFrame:
 
 def carrier_by_type(counted: DataFrame, invoices: DataFrame) -> DataFrame:
     """Per carrier and error type: invoices, flags, flagged and recoverable dollars."""
-    return counted.join(invoices.select("invoice_id", "carrier_id"), "invoice_id").groupBy("carrier_id", "error_type").agg(
-        F.countDistinct("invoice_id").alias("invoices"), F.count(F.lit(1)).alias("flags"), F.sum("dollar_impact").cast(MONEY).alias("flagged_dollars"), total(F.when(F.col("counted_in_recoverable"), F.col("dollar_impact"))).alias("recoverable_dollars"),
-    )
+    own = ids(counted, invoices)
+    per = counted.join(invoices.select(*own, "carrier_id"), own).groupBy(*own, "carrier_id", "error_type").agg(F.count(F.lit(1)).alias("n"), F.sum("dollar_impact").alias("all"), F.sum(F.when(F.col("counted_in_recoverable"), F.col("dollar_impact"))).alias("used"))
+    return per.groupBy("carrier_id", "error_type").agg(F.count(F.lit(1)).alias("invoices"), F.sum("n").alias("flags"), F.sum("all").cast(MONEY).alias("flagged_dollars"), total(F.col("used")).alias("recoverable_dollars"))
 
 
 def window_rates(invoices: DataFrame, counted: DataFrame, modes: DataFrame, months: int) -> DataFrame:
@@ -57,9 +58,10 @@ def window_rates(invoices: DataFrame, counted: DataFrame, modes: DataFrame, mont
     Windows run over the sorted months with invoices, not the calendar. Invoices are counted once per carrier and month
     before anything is spread over windows.
     """
-    inv = live(invoices).select("invoice_id", "carrier_id", F.trunc("ship_date", "MM").alias("month")).join(modes, "carrier_id")
+    own = ids(invoices, counted)
+    inv = live(invoices).select(*own, "carrier_id", F.trunc("ship_date", "MM").alias("month")).join(modes, "carrier_id")
     base = inv.groupBy("carrier_id", "mode", "month").agg(F.count(F.lit(1)).alias("n"))
-    hits = counted.select("invoice_id", "error_type").distinct().join(inv, "invoice_id").groupBy("carrier_id", "month", "error_type").agg(F.count(F.lit(1)).alias("k"))
+    hits = counted.select(*own, "error_type").distinct().join(inv, own).groupBy("carrier_id", "month", "error_type").agg(F.count(F.lit(1)).alias("k"))
     ordered = base.select("month").distinct().withColumn("i", F.row_number().over(Window.orderBy("month")))
     size = F.greatest(F.max("i").over(Window.partitionBy(F.lit(0))) - months + 1, F.lit(1))
     spans = ordered.withColumn("windows", size).withColumn("w", F.explode(F.sequence(F.greatest(F.col("i") - months + 1, F.lit(1)), F.least(F.col("i"), F.col("windows")))))
@@ -72,14 +74,14 @@ def window_rates(invoices: DataFrame, counted: DataFrame, modes: DataFrame, mont
     return per.join(edges, "w").withColumnRenamed("w", "window")
 
 
-def systemic_findings(invoices: DataFrame, counted: DataFrame, modes: DataFrame, config: Config) -> DataFrame:
+def systemic_findings(invoices: DataFrame, counted: DataFrame, modes: DataFrame, config: Config, rates: DataFrame | None = None) -> DataFrame:
     """Carrier and error type pairs whose flag rate in some window is far above their peers of the same mode (leave-one-out): the most significant window of each.
 
     Gates: least invoices and flags, a multiple of the peer rate, and a one-sided binomial p-value at or below alpha over the number
-    of tests (carriers x types x windows, tested or not).
+    of tests (carriers x types x windows, tested or not). ``rates`` may be their stored window rates.
     """
     s = config.systemic
-    d = window_rates(invoices, counted, modes, s.window_months)
+    d = window_rates(invoices, counted, modes, s.window_months) if rates is None else rates
     tests = d.agg((F.countDistinct("carrier_id") * len(ERROR_TYPES) * F.countDistinct("window")).alias("tests"))
     d = d.crossJoin(F.broadcast(tests)).withColumns({"carrier_rate": F.try_divide("k", "n"), "peer_rate": F.coalesce(F.try_divide("peer_k", "peer_n"), F.lit(0.0)), "alpha_adjusted": F.lit(s.alpha) / F.greatest("tests", F.lit(1))})
     d = d.filter((F.col("n") >= s.min_invoices) & (F.col("k") >= s.min_flags) & (F.col("carrier_rate") >= s.multiple * F.col("peer_rate")))
@@ -90,10 +92,12 @@ def systemic_findings(invoices: DataFrame, counted: DataFrame, modes: DataFrame,
 
 def finding_dollars(findings: DataFrame, counted: DataFrame, invoices: DataFrame) -> DataFrame:
     """Findings with the flags of their carrier and type on invoices shipped within the window: invoices and recoverable dollars."""
-    own = counted.join(live(invoices).select("invoice_id", "carrier_id", "ship_date"), "invoice_id").select("invoice_id", "carrier_id", "error_type", "ship_date", F.when(F.col("counted_in_recoverable"), F.col("dollar_impact")).alias("d"))
+    own = ids(counted, invoices)
+    flagged = counted.join(live(invoices).select(*own, "carrier_id", "ship_date"), own).select(*own, "carrier_id", "error_type", "ship_date", F.when(F.col("counted_in_recoverable"), F.col("dollar_impact")).alias("d"))
     keys = findings.select("carrier_id", "error_type", "window_start", "window_end")
-    hits = own.join(keys, ["carrier_id", "error_type"]).filter(F.col("ship_date").between(F.col("window_start"), F.col("window_end")))
-    sums = hits.groupBy("carrier_id", "error_type").agg(F.countDistinct("invoice_id").alias("window_invoices"), total(F.col("d")).alias("window_recoverable"))
+    hits = flagged.join(F.broadcast(keys), ["carrier_id", "error_type"]).filter(F.col("ship_date").between(F.col("window_start"), F.col("window_end")))
+    per = hits.groupBy(*own, "carrier_id", "error_type").agg(F.sum("d").alias("d"))
+    sums = per.groupBy("carrier_id", "error_type").agg(F.count(F.lit(1)).alias("window_invoices"), total(F.col("d")).alias("window_recoverable"))
     return keys.join(sums, ["carrier_id", "error_type"], "left").withColumns({"window_invoices": F.coalesce("window_invoices", F.lit(0).cast("long")), "window_recoverable": F.coalesce("window_recoverable", F.lit(0).cast(MONEY))})
 
 
@@ -103,11 +107,11 @@ def finding_text(findings: DataFrame) -> DataFrame:
     return findings.select("carrier_id", "error_type", line.alias("text"))
 
 
-def dispute_packs(queue: DataFrame, counted: DataFrame, invoices: DataFrame, findings: DataFrame, carriers: DataFrame, n: int) -> DataFrame:
-    """One Markdown pack per carrier (carrier_id, carrier_name in ``carriers``), also for those without flags: period, table by type, top invoices, systemic lines."""
+def dispute_packs(queue: DataFrame, counted: DataFrame, invoices: DataFrame, findings: DataFrame, carriers: DataFrame, n: int, by_type: DataFrame | None = None) -> DataFrame:
+    """One Markdown pack per carrier (carrier_id, carrier_name in ``carriers``), also for those without flags: period, table by type, top invoices, systemic lines. ``by_type`` may be the stored ``carrier_by_type``."""
     period = live(invoices).groupBy("carrier_id").agg(F.min("ship_date").alias("from"), F.max("ship_date").alias("to"))
     cell = F.concat(F.lit("| "), "error_type", F.lit(" | "), F.col("invoices").cast("string"), F.lit(" | "), usd(F.col("recoverable_dollars")), F.lit(" |"))
-    table = carrier_by_type(counted, invoices).groupBy("carrier_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rule_order(F.col("error_type")).alias("o"), cell.alias("l")))), lambda x: x["l"]), "\n").alias("table"), F.sum("recoverable_dollars").cast(MONEY).alias("claim"))
+    table = (carrier_by_type(counted, invoices) if by_type is None else by_type).groupBy("carrier_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rule_order(F.col("error_type")).alias("o"), cell.alias("l")))), lambda x: x["l"]), "\n").alias("table"), F.sum("recoverable_dollars").cast(MONEY).alias("claim"))
     item = F.concat(F.col("carrier_rank").cast("string"), F.lit(". "), "invoice_number", F.lit(" "), usd(F.col("recoverable")), F.lit(": "), "reasons")
     top = top_per_carrier(queue, n).groupBy("carrier_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("carrier_rank", item.alias("l")))), lambda x: x["l"]), "\n").alias("top"))
     lines = finding_text(findings).groupBy("carrier_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "text"))), "\n").alias("systemic"))

@@ -32,8 +32,8 @@ def _earlier(group: list[str]) -> Window:
 
 
 def _join(rows: DataFrame, parts: DataFrame, group: list[str]) -> DataFrame:
-    """Null-safe in the group's columns; a partition and group is one range's worth of rows."""
-    b = parts.select(*[F.col(c).alias(f"_k_{c}") for c in ("_p", *group)], *[c for c in parts.columns if c not in ("_p", *group)])
+    """Null-safe in the group's columns; a partition and group is one range's worth of rows. The parts are stored, as a table whose size is known is broadcast where it is small, and the rows stay in place."""
+    b = store(parts, "parts").select(*[F.col(c).alias(f"_k_{c}") for c in ("_p", *group)], *[c for c in parts.columns if c not in ("_p", *group)])
     cond = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("_p", *group)])
     return rows.join(b, cond).drop(*[f"_k_{c}" for c in ("_p", *group)])
 
