@@ -4,8 +4,9 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from wharfline.operators import action, scoring
+from wharfline.operators import accruals, action, resolve, rules, scoring
 from wharfline.plans import catalogue
 from wharfline.session import at_home
 
@@ -44,3 +45,24 @@ def test_a_bucket_of_the_baseline_is_one_file(spark, case):
     c = case
     assert len(c.naive.inputFiles()) <= c.buckets
     assert dealt_by_invoice(spark, scoring.fp_causes(c.labels, c.naive_outcomes)) == []
+
+
+def test_unions_at_home_keep_their_buckets(spark, case):
+    c = case
+    with at_home(spark):
+        plans = [resolve.supersede(c.views["inv"].withColumn("supersedes_invoice_number", F.lit(None).cast("string"))), rules.naive_audit(c.books, c.config, c.lay), rules.run_rules(c.context)]
+        for d in plans:
+            assert "Exchange" not in rules.count_recoverable(d.withColumns({k: F.lit("") for k in ("error_type", "related_invoice_id", "reason")}))._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
+def test_accruals_are_made_at_home_and_not_computed_again(spark, case, monkeypatch):
+    c = case
+    again = accruals.accuracy(accruals.accrue(accruals.authorizations_at_delivery(c.books), c.config, c.ends, c.modes), c.actuals, c.config)
+    want = sorted(map(str, accruals.sensitivity(c.accuracy, again).collect()))
+    with at_home(spark):
+        plain = c.books.with_(invoices=c.books.invoices.drop("home"), lines=c.books.lines.drop("home"))
+        assert sorted(map(str, c.actuals.collect())) == sorted(map(str, accruals.shipment_actuals(plain, c.counted.drop("home"), c.summary.drop("home")).collect()))
+        actuals = accruals.shipment_actuals(c.books, c.counted, c.summary)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in actuals
+    monkeypatch.setattr(accruals, "population", None)  # the what-if detail differs in its allowance alone
+    assert sorted(map(str, c.sensitivity.collect())) == want
