@@ -88,3 +88,13 @@ def test_network_settings():
         Config(network=Network(monthly_weights=(0.5, 0.5)))
     with pytest.raises(ConfigError, match="carriers_per_lane"):
         Config(network=Network(carriers_per_lane=(("LTL", 99),)))
+
+
+def test_wide_rows_are_cut_into_files_that_a_task_can_sort(spark, monkeypatch):
+    from wharfline.sources import stages
+
+    d = spark.range(100).selectExpr("id", "repeat('x', 1000) as text")
+    assert stages.ordered_files(d, 5_000_000).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(stages, "FILE_BYTES", 20_000)
+    assert stages.ordered_files(d, 5_000_000).rdd.getNumPartitions() == 6
+    assert stages.ordered_files(d, 5_000_000).count() == 100

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .tables import write_json
 
 MANIFEST = "manifest.json"
+#: bytes of values to a file at most, so that a task sorts its file in memory
+FILE_BYTES = 128_000_000
 
 
 class StageError(ValueError):
@@ -34,9 +37,12 @@ def content(d: DataFrame) -> dict:
 
 
 def ordered_files(d: DataFrame, per_file: int) -> DataFrame:
-    """Rows dealt by hash to as many partitions as their number asks for, each sorted by all columns."""
+    """Rows dealt by hash to as many partitions as their number and their width ask for, each sorted by all columns. Both follow from the content."""
     plain = [c for c, t in d.dtypes if not t.startswith("map")]
-    n = max(1, -(-d.count() // per_file))
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in d.dtypes if t in ("string", "binary")]
+    width = reduce(lambda a, b: a + b, long, F.lit(8 * len(d.columns))).cast("long")
+    got = d.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    n = max(1, -(-got.rows // per_file), -(-(got.bytes or 0) // FILE_BYTES))
     keys = [F.col(f"`{c}`") for c in plain]
     return d.repartition(n, *keys).sortWithinPartitions(*[k.asc_nulls_first() for k in keys])
 
