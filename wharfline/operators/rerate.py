@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -13,10 +13,10 @@ from .resolve import by_shipment, live
 from .temporal import earliest_as_of, effective, with_diesel
 
 
-def charges(lines: DataFrame) -> DataFrame:
-    """billed_lh and billed_fsc per invoice."""
+def charges(lines: DataFrame, *more: Column) -> DataFrame:
+    """billed_lh and billed_fsc per invoice, and ``more`` aggregates of its lines."""
     one = lambda code: F.coalesce(F.sum(F.when(F.col("charge_code") == code, F.col("amount"))), F.lit(0)).cast(MONEY)
-    return lines.groupBy(*ids(lines)).agg(one("LH").alias("billed_lh"), one("FSC").alias("billed_fsc"))
+    return lines.groupBy(*ids(lines)).agg(one("LH").alias("billed_lh"), one("FSC").alias("billed_fsc"), *more)
 
 
 def rerate_invoices(books: Books, config: Config) -> DataFrame:
@@ -24,12 +24,14 @@ def rerate_invoices(books: Books, config: Config) -> DataFrame:
 
     The reference weight is the certified one where a certificate was on file by the audit date. The impacts add up to
     the whole overcharge: weight and rate carry their own fuel (LTL fuel is a percentage of linehaul), fuel is measured on the billed linehaul.
+    Where invoices carry their billed_lh and billed_fsc, lines are not read.
     """
-    inv = live(books.invoices).filter(F.col("shipment_id").isNotNull() & F.col("invoice_type").isin(*RATED)).select(*ids(books.invoices), "carrier_id", "invoice_type", "received_date", "invoice_date", "billed_weight_lbs", "total", "shipment_id")
+    billed = [c for c in ("billed_lh", "billed_fsc") if c in books.invoices.columns]
+    inv = live(books.invoices).filter(F.col("shipment_id").isNotNull() & F.col("invoice_type").isin(*RATED)).select(*ids(books.invoices), "carrier_id", "invoice_type", "received_date", "invoice_date", "billed_weight_lbs", "total", "shipment_id", *billed)
     ship = books.shipments.select("shipment_id", "lane_id", "mode", "miles", "weight_lbs", "ship_date")
     cert = books.certificates.filter(F.col("certified_at") <= F.lit(config.audit_as_of)).groupBy("shipment_id").agg(F.max_by("certified_weight_lbs", "certified_at").alias("certified_weight_lbs"))
     r = by_shipment(inv, [ship, cert], lambda d, t, key: d.join(t[0], key).join(t[1], key, "left"))
-    r = r.join(charges(books.lines), ids(inv, books.lines), "left")
+    r = r if len(billed) == 2 else r.drop(*billed).join(charges(books.lines), ids(inv, books.lines), "left")
     r = with_diesel(effective(r, books.rate_card, ["carrier_id", "lane_id"], "ship_date"), books.diesel)
     f = config.fuel
     r = r.withColumns({"billed_lh": F.coalesce("billed_lh", F.lit(0).cast(MONEY)), "billed_fsc": F.coalesce("billed_fsc", F.lit(0).cast(MONEY)), "reference_weight_lbs": F.coalesce("certified_weight_lbs", "weight_lbs")})

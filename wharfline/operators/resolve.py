@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Tolerances
-from ..session import united
+from ..session import at_home, united
 from .books import ids
 from .ordered import connected
 
@@ -38,15 +38,16 @@ def exact_match(invoices: DataFrame, shipments: DataFrame, bol: str, name: str)
     Invoices with a home mostly match the shipment of that id, which lies there. The others meet all shipments, by their distinct keys; and so do all if several shipments share a key.
     """
     keys = ["carrier_id", bol]
-    exact = shipments.groupBy(*keys).agg(F.min("shipment_id").alias(name))
-    if "home" not in invoices.columns or not shipments.groupBy(*keys).agg(F.min("shipment_id").alias("a"), F.max("shipment_id").alias("b")).filter("a != b").isEmpty():
-        return invoices.join(exact, keys, "left")
+    if "home" not in invoices.columns or not spread(shipments, keys, "shipment_id")[0]:
+        return invoices.join(shipments.groupBy(*keys).agg(F.min("shipment_id").alias(name)), keys, "left")
     here = shipments.withColumnRenamed("shipment_id", "home").groupBy("home").agg(F.collect_set(F.struct(*keys)).alias("_keys"))
     near = F.col("carrier_id").isNotNull() & F.col(bol).isNotNull() & F.array_contains("_keys", F.struct(*keys))
     d = invoices.join(here, "home", "left").withColumn("_near", F.when(near, F.col("home"))).drop("_keys")
-    far = d.filter("_near is null").select("home", *keys).distinct().join(exact.withColumnRenamed(name, "_far"), keys)
-    # dealt by home, so that these few rows go to the invoices and not the invoices to them
-    return d.join(far.repartition("home"), ["home", *keys], "left").withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far")
+    far = d.filter("_near is null").select("home", *keys).distinct().join(shipments.filter("shipment_id is not null").select(*keys, F.col("shipment_id").alias("_far")).distinct(), keys)
+    # one row per home, as invoices lie in order of their home and not of these keys; dealt by it at last, so that these few rows go to the invoices and not the invoices to them
+    said = F.concat(F.length("carrier_id").cast("string"), F.lit(":"), "carrier_id", bol)
+    others = far.groupBy("home").agg(F.map_from_entries(F.collect_list(F.struct(said, "_far"))).alias("_others")).repartition(F.hash("home"))
+    return d.join(others, "home", "left").withColumn(name, F.coalesce("_near", F.try_element_at("_others", said))).drop("_near", "_others")
 
 
 def by_shipment(rows: DataFrame, shipments: list[DataFrame], join: Callable[[DataFrame, list[DataFrame], str], DataFrame]) -> DataFrame:
@@ -70,9 +71,22 @@ def per_shipment(rows: DataFrame, near: bool, *sums: Column) -> DataFrame:
 
 def at_one_home(rows: DataFrame, keys: list[str]) -> bool:
     """Whether no two rows of equal keys have different homes."""
-    if "home" not in rows.columns:
-        return False
-    return rows.groupBy(*keys).agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a != b").isEmpty()
+    return "home" in rows.columns and spread(rows, keys, "home")[0]
+
+
+def spread(rows: DataFrame, keys: list[str], name: str) -> tuple[bool, int]:
+    """Whether no two rows of equal keys have different values of ``name``, and how many rows the largest group of equal keys and value has.
+
+    Groups are counted where they lie and meet by a hash of their keys; only keys whose hashes are equal are compared themselves.
+    """
+    groups = rows.filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64(*keys))
+    met = groups.groupBy("_h").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"))
+    with at_home(rows.sparkSession):
+        seen = met.agg(F.count_if(F.col("_k") > 1).alias("several"), F.max("_n").alias("most")).first()
+        if not seen.several:
+            return True, seen.most or 0
+        doubtful = groups.join(met.filter("_k > 1").select("_h"), "_h")
+        return doubtful.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").isEmpty(), seen.most
 
 
 def only_fit(rest: DataFrame, shipments: DataFrame, lanes: DataFrame, tol: Tolerances) -> DataFrame:

@@ -16,10 +16,12 @@ from ..functions.formats import pct, title, usd
 from ..functions.money import MONEY, money, ratio
 from ..session import united
 from .books import ERROR_TYPES, RATED, WHOLE_INVOICE, Books, ids
-from .resolve import at_one_home, exact_match, live
+from .resolve import at_one_home, exact_match, live, spread
 from .rerate import accessorial_lines, rerate_invoices
 
 FLAGS = ("invoice_id", "error_type", "reason", "dollar_impact", "shipment_id", "related_invoice_id", "billed_value", "expected_value")
+#: how many invoices of one freight are compared with each other
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -64,12 +66,46 @@ def duplicate_pairs(books: Books, config: Config) -> DataFrame:
     Invoices of one freight, total and day are one point, which keeps its smallest id: no other of them can be the earliest. The points of one total in one stretch of days are one series.
     A point meets the series of the cells (two tolerances by two windows) that its tolerance and window reach into, four at most, so what it meets is bounded by the tolerance in cents,
     whatever the number of invoices of its freight.
+
+    Where all invoices of a freight have one home, those of a freight with at most FEW invoices are compared with each other instead, in one window: a frame of FEW rows before and after holds
+    the whole freight, so that its size never grows.
     """
-    t = config.tolerances
     pool = live(books.invoices).filter(F.col("invoice_type").isin(*RATED)).withColumn("key", freight_key()).select(*ids(books.invoices), "key", "carrier_id", "invoice_number", F.col("received_date").alias("day"), "total")
     dated, numbered = pool.filter("day is not null and total is not null"), pool.filter("invoice_number is not null")
-    near = ["home"] if at_one_home(dated, ["key"]) and at_one_home(numbered, ["carrier_id", "invoice_number"]) else []
+    near, most = [], 0
+    if "home" in pool.columns:
+        (by_key, most), (by_number, _) = spread(pool, ["key"], "home"), spread(numbered, ["carrier_id", "invoice_number"], "home")
+        near = ["home"] if by_key and by_number else []
     own = [*near, "invoice_id"]
+    if near:
+        got = _repeats_at_home(pool, config)
+        if most > FEW:
+            crowd = pool.groupBy("home", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("home", "key")
+            got = got.join(_freight_repeats(dated.join(crowd, ["home", "key"]), near, config).withColumnRenamed("by_freight", "_crowd"), own, "left").withColumn("by_freight", F.coalesce("by_freight", "_crowd"))
+        got = got.filter("by_freight is not null or by_number is not null")
+    else:
+        first = numbered.groupBy("carrier_id", "invoice_number").agg(F.min(F.struct(F.col("day").isNull(), "day", "invoice_id"))["invoice_id"].alias("by_number"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        again = numbered.join(first, ["carrier_id", "invoice_number"]).filter("by_number != invoice_id").select(*own, "by_number")
+        got = _freight_repeats(dated, near, config).join(again, own, "full_outer")
+    return got.select(*own, F.coalesce("by_freight", "by_number").alias("first_id"), F.when(F.col("by_freight").isNotNull(), "same shipment or BOL, total within tolerance").otherwise("same carrier and invoice number").alias("why"))
+
+
+def _repeats_at_home(pool: DataFrame, config: Config) -> DataFrame:
+    """home, invoice_id, by_freight (of freights with at most FEW invoices), by_number of all invoices, by two windows within their homes."""
+    t = config.tolerances
+    freight, number = Window.partitionBy("home", "key").orderBy("invoice_id"), Window.partitionBy("home", "carrier_id", "invoice_number").orderBy(F.col("day").isNull(), "day", "invoice_id")
+    d = pool.withColumns({"_n": F.count(F.lit(1)).over(freight.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_all": F.collect_list(F.struct("day", "invoice_id", "total")).over(freight.rowsBetween(-FEW, FEW))})
+    start, limit = F.date_sub("day", t.duplicate_window_days), money(t.duplicate_amount)
+    earlier = lambda e: (e["day"] >= start) & ((e["day"] < F.col("day")) | ((e["day"] == F.col("day")) & (e["invoice_id"] < F.col("invoice_id")))) & (F.abs(F.col("total") - e["total"]) <= limit)
+    few = F.when((F.col("_n") > 1) & (F.col("_n") <= FEW), F.array_min(F.filter("_all", earlier))["invoice_id"])
+    d = d.select("home", "invoice_id", "carrier_id", "invoice_number", "day", few.alias("by_freight")).withColumn("_first", F.first("invoice_id").over(number))
+    again = F.col("carrier_id").isNotNull() & F.col("invoice_number").isNotNull() & (F.col("_first") != F.col("invoice_id"))
+    return d.select("home", "invoice_id", "by_freight", F.when(again, F.col("_first")).alias("by_number"))
+
+
+def _freight_repeats(dated: DataFrame, near: list[str], config: Config) -> DataFrame:
+    """The same of freights of any size, by the points and series of ``duplicate_pairs``."""
+    t, own = config.tolerances, [*near, "invoice_id"]
     width, days = max(float(t.duplicate_amount), 0.01), max(int(t.duplicate_window_days), 1)
     many = dated.groupBy(*near, "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*near, "key")
     points = dated.join(many, [*near, "key"]).groupBy(*near, "key", "day", "total").agg(F.min("invoice_id").alias("first"))
@@ -86,11 +122,7 @@ def duplicate_pairs(books: Books, config: Config) -> DataFrame:
     before = F.get(F.filter("days", lambda e: (e["day"] >= start) & (e["day"] < F.col("day"))), F.lit(0))
     today = F.get(F.filter("days", lambda e: e["day"] == F.col("day")), F.lit(0))["a"]
     best = meet.groupBy(*near, "key", "day", "total").agg(F.min(before)["a"].alias("before"), F.min(today).alias("today"))
-    same = dated.select(*own, "key", "day", "total").join(best, [*near, "key", "day", "total"]).select(*own, F.coalesce("before", F.when(F.col("today") < F.col("invoice_id"), F.col("today"))).alias("by_freight")).filter("by_freight is not null")
-    first = numbered.groupBy(*near, "carrier_id", "invoice_number").agg(F.min(F.struct(F.col("day").isNull(), "day", "invoice_id"))["invoice_id"].alias("by_number"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = numbered.join(first, [*near, "carrier_id", "invoice_number"]).filter("by_number != invoice_id").select(*own, "by_number")
-    got = same.join(again, own, "full_outer")
-    return got.select(*own, F.coalesce("by_freight", "by_number").alias("first_id"), F.when(F.col("by_freight").isNotNull(), "same shipment or BOL, total within tolerance").otherwise("same carrier and invoice number").alias("why"))
+    return dated.select(*own, "key", "day", "total").join(best, [*near, "key", "day", "total"]).select(*own, F.coalesce("before", F.when(F.col("today") < F.col("invoice_id"), F.col("today"))).alias("by_freight")).filter("by_freight is not null")
 
 
 @rule("duplicate_invoice")
