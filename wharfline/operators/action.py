@@ -17,12 +17,16 @@ from .rules import rule_order
 
 def exception_queue(counted: DataFrame, invoices: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per flagged invoice, ranked by recoverable dollars, then receipt, then id; types and reasons in rule order."""
+    return ranked(flagged_invoices(counted, invoices, summary), "queue_rank", F.desc("recoverable"), F.col("received_date").asc_nulls_last(), "invoice_id")
+
+
+def flagged_invoices(counted: DataFrame, invoices: DataFrame, summary: DataFrame) -> DataFrame:
+    """The queue's rows without their rank."""
     entry = F.struct(rule_order(F.col("error_type")).alias("o"), "error_type", "reason")
     own = ids(counted, invoices, summary)
     per = counted.groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("f"))
     d = per.join(summary.select(*own, "carrier_id", "invoice_number", "shipment_id", "total", "n_flags", "recoverable"), own).join(invoices.select(*own, "received_date", "ship_date", "match_method"), own)
-    d = d.withColumns({"error_types": F.array_join(F.array_distinct(F.transform("f", lambda x: x["error_type"])), ";"), "reasons": F.array_join(F.transform("f", lambda x: x["reason"]), " | ")}).drop("f", "home")
-    return ranked(d, "queue_rank", F.desc("recoverable"), F.col("received_date").asc_nulls_last(), "invoice_id")
+    return d.withColumns({"error_types": F.array_join(F.array_distinct(F.transform("f", lambda x: x["error_type"])), ";"), "reasons": F.array_join(F.transform("f", lambda x: x["reason"]), " | ")}).drop("f", "home")
 
 
 def ranked(d: DataFrame, name: str, *order) -> DataFrame:
@@ -42,7 +46,7 @@ def filter_queue(queue: DataFrame, carriers: list[str] | None = None, types: lis
 def top_per_carrier(queue: DataFrame, n: int) -> DataFrame:
     """The first n of each carrier with their rank there."""
     w = Window.partitionBy("carrier_id").orderBy(F.desc("recoverable"), F.col("received_date").asc_nulls_last(), "invoice_id")
-    return queue.withColumn("carrier_rank", F.row_number().over(w).cast("long")).filter(F.col("carrier_rank") <= n)
+    return queue.withColumn("carrier_rank", F.row_number().over(w)).filter(F.col("carrier_rank") <= n).withColumn("carrier_rank", F.col("carrier_rank").cast("long"))  # cast last: each task then keeps n a carrier
 
 
 def carrier_by_type(counted: DataFrame, invoices: DataFrame) -> DataFrame:
