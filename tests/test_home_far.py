@@ -5,7 +5,9 @@ from decimal import Decimal
 
 import pytest
 
-from wharfline.operators import accruals, rules
+from pyspark.sql import functions as F
+
+from wharfline.operators import accruals, action, resolve, rules
 from wharfline.plans import catalogue, projection
 from wharfline.session import at_home, store
 
@@ -48,3 +50,34 @@ def test_only_they_are_dealt(spark, case):
         for d in (rules.count_recoverable(rules.run_rules(c.context)), rules.count_recoverable(rules.naive_audit(c.books, c.config, c.lay)), accruals.shipment_actuals(c.books, c.counted, c.summary)):
             above = d._jdf.queryExecution().executedPlan().toString().split("Union")
             assert len(above) > 1 and "Exchange" not in above[0]
+
+
+def test_parts_of_the_queue_are_not_ranked_with_all_of_it(spark, case, monkeypatch):
+    c, _ = case
+    want = rows(action.top_per_carrier(c.queue, c.config.top_n), "queue_rank"), rows(action.filter_queue(c.queue, ["CAR1"], ["phantom_invoice"]), "queue_rank")
+    monkeypatch.setattr(action, "indexed", None)
+    monkeypatch.setitem(catalogue._cases, (spark.sparkContext.applicationId, c.sf_dir), (catalogue._state(spark, c.sf_dir), c))
+    assert rows(c.top) == want[0] and "WindowGroupLimit" in action.top_per_carrier(c.listed, 3)._jdf.queryExecution().executedPlan().toString()
+    assert rows(action.filter_queue(c.listed, ["CAR1"], ["phantom_invoice"])) == want[1]
+    for name in ("top_n_per_carrier", "queue_filter"):
+        assert catalogue.QUERIES[name](spark, c.sf_dir).columns[-1] in ("recoverable", "error_types")
+
+
+def test_a_fallback_is_asked_for_once_a_home(spark, case):
+    c, _ = case
+    ships = c.books.shipments.withColumn("weight_lbs", (F.col("weight_lbs") % 400).cast("int"))
+    lanes = ships.select("lane_id", F.concat(F.lit("O"), "lane_id").alias("origin_city"), F.concat(F.lit("D"), "lane_id").alias("destination_city")).distinct()
+    inv = c.books.invoices.select("home", "invoice_id", "carrier_id", F.when(F.col("match_method") == "unmatched", F.col("bol_canonical")).alias("bol_canonical"), F.date_add("ship_date", F.length("invoice_id") % 3).alias("ship_date"), (F.col("billed_weight_lbs") % 400).cast("int").alias("billed_weight_lbs")).join(ships.select(F.col("shipment_id").alias("home"), "lane_id"), "home")
+    inv = inv.withColumns({"origin": F.concat(F.lit("O"), "lane_id"), "destination": F.concat(F.lit("D"), "lane_id")})
+    with at_home(spark):
+        got = resolve.match_shipments(inv, ships, lanes, c.config.tolerances)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "invoice_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    same = ("invoice_id", "shipment_id", "match_method")
+    assert rows(got.select(*same)) == rows(resolve.match_shipments(inv.drop("home"), ships, lanes, c.config.tolerances).select(*same))
+    s, i = ships.collect(), inv.collect()
+    found = {r.invoice_id: r.shipment_id for r in got.filter("match_method = 'fallback'").collect()}
+    for r in i[::7]:
+        fit = [x.shipment_id for x in s if x.carrier_id == r.carrier_id and x.lane_id == r.lane_id and abs((x.ship_date - r.ship_date).days) <= 1 and 50 * abs(r.billed_weight_lbs - x.weight_lbs) <= x.weight_lbs]
+        assert r.bol_canonical is not None or found.get(r.invoice_id) == (fit[0] if len(fit) == 1 else None)
+    assert len(found) > 20

@@ -25,9 +25,10 @@ def match_shipments(invoices: DataFrame, shipments: DataFrame, lanes: DataFrame
     out = exact_match(invoices.drop("shipment_id", "match_method"), shipments.select("shipment_id", "carrier_id", F.col("bol").alias("bol_canonical")), "bol_canonical", "_exact")
     fallback = F.lit(None).cast("string")
     if lanes is not None:
-        rest = out.filter("_exact is null").select("invoice_id", "carrier_id", "origin", "destination", "ship_date", "billed_weight_lbs")
-        one = only_fit(rest, shipments, lanes, tol)
-        out, fallback = out.join(one, "invoice_id", "left"), F.col("_fallback")
+        what = ["carrier_id", "origin", "destination", "ship_date", "billed_weight_lbs"]
+        at = ["home", *what] if "home" in out.columns else ["invoice_id"]  # invoices of one home that ask the same ask once
+        rest = out.filter("_exact is null").select(*dict.fromkeys([*at, *what]))
+        out, fallback = out.join(only_fit(rest.distinct() if "home" in at else rest, at, shipments, lanes, tol), at, "left"), F.col("_fallback")
     method = F.when(F.col("_exact").isNotNull(), "exact").when(fallback.isNotNull(), "fallback").otherwise("unmatched")
     return out.withColumn("shipment_id", F.coalesce("_exact", fallback)).withColumn("match_method", method).drop("_exact", "_fallback")
 
@@ -56,12 +57,15 @@ def by_shipment(rows: DataFrame, shipments: list[DataFrame], join: Callable[[Dat
         return join(rows, shipments, "shipment_id")
     near = join(rows.filter("shipment_id = home"), [s.withColumnRenamed("shipment_id", "home") for s in shipments], "home")
     far = rows.filter("shipment_id != home")
-    return near if far.isEmpty() else united([near, come_home(join(far, shipments, "shipment_id"), rows)])
+    with at_home(rows.sparkSession):
+        none = far.isEmpty()
+    return near if none else united([near, come_home(join(far, shipments, "shipment_id"), rows)])
 
 
 def at_shipment(rows: DataFrame) -> bool:
     """Whether every row's home is its shipment's id."""
-    return "home" in rows.columns and rows.filter(~F.col("shipment_id").eqNullSafe(F.col("home"))).isEmpty()
+    with at_home(rows.sparkSession):
+        return "home" in rows.columns and rows.filter(~F.col("shipment_id").eqNullSafe(F.col("home"))).isEmpty()
 
 
 def per_shipment(rows: DataFrame, near: bool, *sums: Column) -> DataFrame:
@@ -105,28 +109,35 @@ def spread(rows: DataFrame, keys: list[str], name: str) -> tuple[bool, int]:
         return doubtful.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").isEmpty(), seen.most
 
 
-def only_fit(rest: DataFrame, shipments: DataFrame, lanes: DataFrame, tol: Tolerances) -> DataFrame:
-    """invoice_id, _fallback: the one shipment of the carrier between the same cities within the band of dates and weights, where there is exactly one.
+def only_fit(rest: DataFrame, key: list[str], shipments: DataFrame, lanes: DataFrame, tol: Tolerances) -> DataFrame:
+    """The ``key`` of each row of ``rest`` and _fallback: the one shipment of the carrier between the same cities within the band of dates and weights, where there is exactly one.
 
-    Shipments of one lane, day and weight are one point with their number and smallest id. Days and logarithmic weight cells (one tolerance wide, with both neighbours) are equality keys, so
-    an invoice meets its band's points and not its lane.
+    Shipments of one lane, day and weight are one point with their number and smallest id. Blocks of days and of logarithmic weights, each twice as wide as a band, are equality keys, so
+    that a band reaches into four blocks at most, and an invoice meets the points around its band and not its lane.
     """
-    share = float(tol.fallback_weight_pct)
-    width = -math.log1p(-share) * (1 + 1e-9) if 0 < share < 1 else None
+    share, days = float(tol.fallback_weight_pct), int(tol.fallback_days)
+    low, high = (-math.log1p(share) * (1 + 1e-9), -math.log1p(-share) * (1 + 1e-9)) if 0 < share < 1 else (0.0, 0.0)
 
-    def cell(weight: Column) -> Column:
-        if width is None:  # a share of 0 means equal weights, one of 1 or more has no lower end
+    def cell(weight: Column, by: float = 0.0) -> Column:
+        if not high:  # a share of 0 means equal weights, one of 1 or more has no lower end
             return (weight.cast("long") if share <= 0 else F.lit(0)).cast("long")
-        return F.when(weight > 0, F.floor(F.log(weight.cast("double")) / width)).otherwise(F.lit(-(1 << 40))).cast("long")
+        return F.when(weight > 0, F.floor((F.log(weight.cast("double")) + by) / (2 * (high - low)))).otherwise(F.lit(-(1 << 40))).cast("long")
+
+    def block(day: Column, by: int = 0) -> Column:
+        return F.floor((F.unix_date(day) + by) / (4 * max(days, 1)))
+
+    both = lambda a, b: F.explode(F.array_distinct(F.array(a, b)))
+    keys = ["carrier_id", "origin", "destination", "block", "cell"]
 
     ends = lanes.select("lane_id", F.col("origin_city").alias("origin"), F.col("destination_city").alias("destination"))
-    points = shipments.join(ends, "lane_id").groupBy("carrier_id", "origin", "destination", F.col("ship_date").alias("day"), F.col("weight_lbs").alias("_weight")).agg(F.count(F.lit(1)).alias("_k"), F.min("shipment_id").alias("_id"))
-    points = points.withColumn("cell", cell(F.col("_weight")))
-    days = F.sequence(F.lit(-tol.fallback_days), F.lit(tol.fallback_days))
-    asked = rest.withColumn("_by", F.explode(days)).withColumn("day", F.date_add("ship_date", F.col("_by")))
-    asked = asked.withColumn("cell", F.explode(F.array(*[cell(F.col("billed_weight_lbs")) + k for k in ((-1, 0, 1) if width else (0,))])))
-    fits = asked.join(points, ["carrier_id", "origin", "destination", "day", "cell"]).filter(F.abs(F.col("billed_weight_lbs") - F.col("_weight")) <= F.lit(str(tol.fallback_weight_pct)).cast("decimal(8,6)") * F.col("_weight"))
-    return fits.groupBy("invoice_id").agg(F.sum("_k").alias("_n"), F.min("_id").alias("_fallback")).filter("_n = 1").drop("_n")
+    points = shipments.join(ends, "lane_id").select("carrier_id", "origin", "destination", block(F.col("ship_date")).alias("block"), cell(F.col("weight_lbs")).alias("cell"), F.col("ship_date").alias("_day"), F.col("weight_lbs").alias("_weight"), "shipment_id")
+    points = points.repartition(*keys).groupBy(*keys, "_day", "_weight").agg(F.count(F.lit(1)).alias("_k"), F.min("shipment_id").alias("_id"))
+    day, weight = F.col("ship_date"), F.col("billed_weight_lbs")
+    asked = rest.withColumn("block", both(block(day, -days), block(day, days))).withColumn("cell", both(cell(weight, low), cell(weight, high)))
+    inside = F.col("_day").between(F.date_sub("ship_date", days), F.date_add("ship_date", days)) & (F.abs(weight - F.col("_weight")) <= F.lit(str(tol.fallback_weight_pct)).cast("decimal(8,6)") * F.col("_weight"))
+    found = [F.sum("_k").alias("_k"), F.min("_id").alias("_id")]
+    fits = asked.join(points, keys).filter(inside).groupBy(*dict.fromkeys([*keys, *key])).agg(*found)  # where they met, then at their homes
+    return come_home(fits, rest).groupBy(*key).agg(*found).filter("_k = 1").select(*key, F.col("_id").alias("_fallback"))
 
 
 def supersede(invoices: DataFrame) -> DataFrame:
